@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, simhash
+from flowlens.llm import ann, bpe, chat, decontamination, html_text, licenses, line_templates, passages, simhash, toxicity
 
 #: Where the public vocabularies lie; a parameter of the operators that need one.
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -37,6 +37,57 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op2_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "canonical_chars", "canonical_sha256", "license_id")
+
+
+ORACLES["op4_license_scan"] = licenses.oracle()
+
+
+@_query
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_back(chat.format_conversations(table.unionByName(extra)))
+
+
+@_query
+def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.line_counts(table, line_templates.drop_recurring(table))
+
+
+@_query
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.main_text(_table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 @_query
 def op9_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest_columns(simhash.near_duplicates(_table(spark, sf_dir, "documents")))
+
+
+@_query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.toxic(docs, _table(spark, sf_dir, "labels"))
+    return scored.where("toxic").select("doc_id", "p_low_quality", "p_toxic")
