@@ -9,7 +9,8 @@ longest common subsequence of words: the item is found at ``full`` of its words,
 them if its answer, its last ``answer`` words, is there in full as well. Reordered words lower the
 first measure, replaced words both, so that paraphrases pass only with the answer kept.
 
-Frequencies and the factorisation cover every passage of every document; nothing is sampled. Items
+Words in more than ``share`` of the passages say little and are left out of the matrix, save the rarest
+of each item; the check counts all words. Frequencies and the factorisation cover every passage of every document; nothing is sampled. Items
 are taken in blocks of ``items``, which bounds what is sent to all tasks. Documents are read once for
 each block and kept as word numbers in the shared folder; nothing but sums is shuffled.
 
@@ -80,12 +81,15 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return lists.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _blocks(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(known words, their block, first block of each row): blocks never cross rows."""
-    sizes = np.diff(offsets)
-    counts = -(-sizes // BLOCK)
-    first = np.concatenate([[0], np.cumsum(counts)])
-    at = np.flatnonzero(words >= 0)
+def _first_blocks(offsets: np.ndarray) -> np.ndarray:
+    """First block of each row, and the number of all: blocks never cross rows."""
+    return np.concatenate([[0], np.cumsum(-(-np.diff(offsets) // BLOCK))])
+
+
+def _blocks(words: np.ndarray, offsets: np.ndarray, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words that count, their block, first block of each row); ``kept`` tells which words count."""
+    first = _first_blocks(offsets)
+    at = np.flatnonzero(words >= 0 if kept is None else np.append(kept, False)[words])  # -1 is the last entry
     row = np.searchsorted(offsets, at, side="right") - 1
     return words[at], first[row] + (at - offsets[row]) // BLOCK, first
 
@@ -103,14 +107,21 @@ def document_frequencies(rows: DataFrame, n_words: int) -> tuple[np.ndarray, int
     """(passages that hold each word, passages)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, blocks = np.zeros(n_words, np.int64), 0
+        total, blocks = np.zeros(n_words + 1, np.int64), 0
         for batch in batches:
-            w, b, first = _blocks(*_flat(batch))
-            seen = np.unique(b * n_words + w)
-            total += np.bincount(seen % n_words, minlength=n_words)
-            blocks += int(first[-1])
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([*some, -1], pa.int64()), pa.array([*total[some], blocks], pa.int64())], names=["w", "n"])
+            words, offsets = _flat(batch)
+            first = _first_blocks(offsets)
+            row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+            grid = np.full((int(first[-1]), BLOCK), -1, np.int32)
+            place = np.arange(len(words)) - offsets[row]
+            grid[first[row] + place // BLOCK, place % BLOCK] = words
+            grid.sort(axis=1)
+            new = np.ones(grid.shape, bool)
+            new[:, 1:] = grid[:, 1:] != grid[:, :-1]
+            total += np.bincount(grid[new] + 1, minlength=n_words + 1)
+            blocks += len(grid)
+        some = np.flatnonzero(total[1:])
+        yield pa.RecordBatch.from_arrays([pa.array([*some, -1], pa.int64()), pa.array([*total[1:][some], blocks], pa.int64())], names=["w", "n"])
 
     out, passages = np.zeros(n_words, np.int64), 0
     for r in rows.select("words").mapInArrow(run, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")).toLocalIterator():
@@ -121,21 +132,30 @@ def document_frequencies(rows: DataFrame, n_words: int) -> tuple[np.ndarray, int
     return out, passages
 
 
-def latent_space(rows: DataFrame, idf: np.ndarray, rank: int, seed: int = 3) -> np.ndarray:
+def informative(counts: np.ndarray, passages: int, items: list[list[int]], share: float, always: int, least: int) -> np.ndarray:
+    """Which words count: those in at most ``share`` of the passages, or at most ``always`` of them, and
+    of each item the ``least`` rarest."""
+    kept = counts <= max(always, share * passages)
+    for words in items:
+        kept[sorted(set(words), key=lambda w: (counts[w], w))[:least]] = True
+    return kept
+
+
+def latent_space(rows: DataFrame, idf: np.ndarray, kept: np.ndarray, rank: int, seed: int = 3) -> np.ndarray:
     """Leading right singular vectors of the passages' TF-IDF matrix, times idf: a row for each word."""
     n = len(idf)
     rank = min(rank, n)
     draw = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, rank)))[0]
     weighted = (draw * idf[:, None]).astype(np.float32)
-    shared = rows.sparkSession.sparkContext.broadcast(weighted)
+    shared = rows.sparkSession.sparkContext.broadcast((weighted, kept))
     per = 256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w0 = shared.value
+        w0, kept = shared.value
         total = np.zeros(w0.shape, np.float64)
         for batch in batches:
             words, offsets = _flat(batch)
-            w, b, first = _blocks(words, offsets)
+            w, b, first = _blocks(words, offsets, kept)
             passages = _sums(w0[w], b, int(first[-1]))
             order = np.argsort(w, kind="stable")
             total += _sums(passages[b[order]], w[order], n)
@@ -161,57 +181,109 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
-def find(rows: DataFrame, items: list[tuple[int, list[int]]], space: np.ndarray, cosine: float, full: float, part: float, answer: int) -> DataFrame:
+class Targets:
+    """Items of one window scale: unit vectors, word numbers, and what bounds a common subsequence."""
+
+    def __init__(self, chosen: list[int], items: list[tuple[int, list[int]]], space: np.ndarray):
+        self.chosen, n_words = chosen, len(space)
+        words = [items[i][1] for i in chosen]
+        self.lengths = np.array([len(w) for w in words], np.int64)
+        self.units = _unit(np.array([space[w].sum(axis=0) for w in words], np.float32)) if chosen else np.zeros((0, space.shape[1]), np.float32)
+        self.member = np.zeros((len(chosen), n_words + 1), bool)  # the last column is for unknown words
+        distinct = [sorted(set(w)) for w in words]
+        width = max(map(len, distinct), default=0)
+        self.distinct, self.times = np.full((len(chosen), width), -9, np.int32), np.zeros((len(chosen), width), np.int64)
+        for i, (w, d) in enumerate(zip(words, distinct, strict=True)):
+            self.member[i, d] = True
+            self.distinct[i, : len(d)] = d
+            self.times[i, : len(d)] = [w.count(x) for x in d]
+
+    def promising(self, items: np.ndarray, regions: np.ndarray, part: float) -> np.ndarray:
+        """Pairs whose common words, each as often as in both, could make up ``part`` of the item.
+
+        No common subsequence is longer than that count, so no match is lost.
+        """
+        need = part * self.lengths[items]
+        left = np.flatnonzero(self.member[items[:, None], regions].sum(axis=1) >= need)
+        good = []
+        for k in range(0, len(left), 512):
+            at = left[k : k + 512]
+            times = (regions[at][:, :, None] == self.distinct[items[at]][:, None, :]).sum(axis=1)
+            good.append(at[np.minimum(times, self.times[items[at]]).sum(axis=1) >= need[at]])
+        return np.concatenate(good) if good else left
+
+
+def find(rows: DataFrame, items: list[tuple[int, list[int]]], space: np.ndarray, kept: np.ndarray, cosine: float, full: float, part: float, answer: int) -> DataFrame:
     """Candidates by cosine and their checks, for one block of items."""
-    by_scale = [[i for i, (_, w) in enumerate(items) if (size == SCALES[0][0] or len(w) > SCALES[s - 1][0] * BLOCK) and (s + 1 == len(SCALES) or len(w) <= size * BLOCK)] for s, (size, _) in enumerate(SCALES)]
-    shared = rows.sparkSession.sparkContext.broadcast((items, space, by_scale, _unit(np.array([space[w].sum(axis=0) for _, w in items], np.float32))))
+    sizes = [size * BLOCK for size, _ in SCALES]
+    scale_of = [next((s for s, n in enumerate(sizes) if len(w) <= n), len(sizes) - 1) for _, w in items]
+    by_scale = [Targets([i for i, t in enumerate(scale_of) if t == s], items, space) for s in range(len(SCALES))]
+    # an item beyond the largest window is sought in a region as much longer
+    spare = [max([BLOCK, size // 2, *(len(items[i][1]) for i in t.chosen if len(items[i][1]) > size)]) for size, t in zip(sizes, by_scale, strict=True)]
+    shared = rows.sparkSession.sparkContext.broadcast((items, space, kept, by_scale))
+
+    def candidates(words: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+        """(row, item, first word, last word, cosine) of pairs that can pass the check."""
+        _, space, kept, by_scale = shared.value
+        w, b, first = _blocks(words, offsets, kept)
+        n_blocks = int(first[-1])
+        sums = np.zeros((n_blocks + 1, space.shape[1]))
+        np.cumsum(_sums(space[w], b, n_blocks), axis=0, out=sums[1:])
+        count = np.concatenate([[0], np.cumsum(np.bincount(b, minlength=n_blocks))])
+        row_of = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+        padded = np.append(words, -1)
+        for (size, step), targets, margin in zip(SCALES, by_scale, spare, strict=True):
+            if not targets.chosen:
+                continue
+            start = np.flatnonzero((np.arange(n_blocks) - first[row_of]) % step == 0)
+            end = np.minimum(start + size, first[row_of[start] + 1])
+            some = count[end] - count[start] > 0
+            start, end = start[some], end[some]
+            for k in range(0, len(start), 8192):
+                s, e = start[k : k + 8192], end[k : k + 8192]
+                near = _unit((sums[e] - sums[s]).astype(np.float32)) @ targets.units.T
+                at, item = np.nonzero(near >= cosine)
+                r = row_of[s[at]]
+                lo = np.maximum(0, (s[at] - first[r]) * BLOCK - margin)
+                hi = np.minimum(np.diff(offsets)[r], (e[at] - first[r]) * BLOCK + margin)
+                for j in range(0, len(at), 16384):
+                    part_of = slice(j, j + 16384)
+                    place = lo[part_of, None] + np.arange(size * BLOCK + 2 * margin)
+                    place = np.where(place < hi[part_of, None], offsets[r[part_of]][:, None] + place, len(words))
+                    for g in targets.promising(item[part_of], padded[place], part) + j:
+                        yield int(r[g]), targets.chosen[item[g]], int(lo[g]), int(hi[g]), float(near[at[g], item[g]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, space, by_scale, targets = shared.value
+        items = shared.value[0]
         names = ["doc_id", "item_id", "start_word", "end_word", "lcs", "answer_found", "cosine"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.float64()]
         for whole in batches:
-            for s0 in range(0, whole.num_rows, 512):
-                batch = whole.slice(s0, 512)
+            for s0 in range(0, whole.num_rows, 256):
+                batch = whole.slice(s0, 256)
                 words, offsets = _flat(batch)
-                w, b, first = _blocks(words, offsets)
-                sums = np.concatenate([np.zeros((1, space.shape[1])), np.cumsum(_sums(space[w], b, int(first[-1])), axis=0, dtype=np.float64)])
                 best: dict[tuple[int, int], tuple] = {}
-                for (size, step), chosen in zip(SCALES, by_scale, strict=True):
-                    if not chosen:
+                for r, item, lo, hi, near in candidates(words, offsets):
+                    known = best.get((r, item))
+                    if known is not None and known[0] >= 1.0:
+                        continue
+                    region = words[offsets[r] + lo : offsets[r] + hi].tolist()
+                    target = items[item][1]
+                    share = common_subsequence(target, region) / len(target)
+                    if share < part or (known is not None and share <= known[0]):
                         continue
-                    # windows of all rows; those of short rows are the row itself
-                    row = np.repeat(np.arange(len(first) - 1), -(-np.diff(first) // step))
-                    start = np.concatenate([np.arange(f, t, step) for f, t in zip(first[:-1], first[1:], strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)
-                    end = np.minimum(start + size, first[row + 1])
-                    for k in range(0, len(start), 20_000):
-                        part_of = slice(k, k + 20_000)
-                        vectors = _unit((sums[end[part_of]] - sums[start[part_of]]).astype(np.float32))
-                        near = vectors @ targets[chosen].T
-                        for i, j in zip(*np.nonzero(near >= cosine), strict=True):
-                            r, item = int(row[k + i]), chosen[j]
-                            length = len(items[item][1])
-                            lo = max(0, int(start[k + i] - first[r]) * BLOCK - max(BLOCK, size * BLOCK // 2))
-                            hi = min(int(offsets[r + 1] - offsets[r]), int(end[k + i] - first[r]) * BLOCK + max(BLOCK, size * BLOCK // 2))
-                            known = best.get((r, item))
-                            if known is not None and known[0] >= 1.0:
-                                continue
-                            region = words[offsets[r] + lo : offsets[r] + hi].tolist()
-                            share = common_subsequence(items[item][1], region) / length
-                            if share < part or (known is not None and share <= known[0]):
-                                continue
-                            last = items[item][1][-answer:]
-                            there = common_subsequence(last, region) == len(last)
-                            if share >= full or there:
-                                best[r, item] = (share, lo, hi, there, float(near[i, j]))
-                out = [(batch.column(0)[r].as_py(), items[i][0], lo, hi, share, there, near) for (r, i), (share, lo, hi, there, near) in best.items()]
+                    last = target[-answer:]
+                    there = common_subsequence(last, region) == len(last)
+                    if share >= full or there:
+                        best[r, item] = (share, lo, hi, there, near)
+                ids = batch.column(0).to_pylist()
+                out = [(ids[r], items[i][0], lo, hi, share, there, near) for (r, i), (share, lo, hi, there, near) in best.items()]
                 columns = zip(*out, strict=True) if out else [[]] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     return rows.mapInArrow(run, SCHEMA)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", items: int = 5000, rank: int = 64, cosine: float = 0.5, full: float = 0.8, part: float = 0.6, answer: int = 8) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", items: int = 5000, rank: int = 64, cosine: float = 0.45, full: float = 0.8, part: float = 0.6, answer: int = 8, share: float = 0.002, always: int = 20, least: int = 6) -> DataFrame:
     """Documents that hold items of the benchmark."""
     spark = docs.sparkSession
     blocks: list[list[tuple[int, list[str]]]] = [[]]
@@ -227,9 +299,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text:
         numbers = {w: i for i, w in enumerate(sorted({w for _, ws in block for w in ws}))}
         rows = materialise(encoded(docs, numbers, id_col, text), "encoded")
         counts, passages = document_frequencies(rows, len(numbers))
-        idf = np.log((passages + 1) / (counts + 1)) + 1e-3
-        space = latent_space(rows, idf, rank)
-        out = out.union(find(rows, [(i, [numbers[w] for w in ws]) for i, ws in block], space, cosine, full, part, answer))
+        numbered = [(i, [numbers[w] for w in ws]) for i, ws in block]
+        kept = informative(counts, passages, [ws for _, ws in numbered], share, always, least)
+        idf = np.where(kept, np.log((passages + 1) / (counts + 1)) + 1e-3, 0.0)
+        space = latent_space(rows, idf, kept, rank)
+        out = out.union(find(rows, numbered, space, kept, cosine, full, part, answer))
     return out
 
 
