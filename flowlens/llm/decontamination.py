@@ -283,7 +283,7 @@ def find(rows: DataFrame, items: list[tuple[int, list[int]]], space: np.ndarray,
     return rows.mapInArrow(run, SCHEMA)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", items: int = 5000, rank: int = 64, cosine: float = 0.45, full: float = 0.8, part: float = 0.6, answer: int = 8, share: float = 0.002, always: int = 20, least: int = 6) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", items: int = 5000, rank: int = 64, cosine: float = 0.4, full: float = 0.8, part: float = 0.6, answer: int = 8, share: float = 0.002, always: int = 20, least: int = 6) -> DataFrame:
     """Documents that hold items of the benchmark."""
     spark = docs.sparkSession
     blocks: list[list[tuple[int, list[str]]]] = [[]]
