@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from flowlens.plans import flow_queries  # noqa: F401
