@@ -1,7 +1,7 @@
 """Operator 10: toxicity by a classifier chain.
 
-Categories are predicted one after the other. Each has a logistic regression over the presence of
-words and the probabilities of the categories before it. For training, those probabilities are
+Categories are predicted one after the other. Each has a logistic regression over the counts of
+words and word stems and the probabilities of the categories before it. For training, those probabilities are
 out-of-fold: each fold's rows are scored by models fitted on the other folds, so that later models
 see the errors that they will meet. Scoring feeds the probabilities of the final models.
 
@@ -25,9 +25,17 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.common import materialise, text_or_empty
 
+#: Lengths of stems.
+STEMS = (4, 6)
+
 def words_of(column: str) -> Column:
-    """Lower-case words: runs of letters, digits and apostrophes."""
-    return F.split(F.lower(text_or_empty(column)), r"[^\p{L}\p{N}']+")
+    """Lower-case words, runs of letters, digits and apostrophes, and the stems of long ones.
+
+    A stem is a word's first characters after a mark; inflected and compound forms share it.
+    """
+    words = F.split(F.lower(text_or_empty(column)), r"[^\p{L}\p{N}']+")
+    stem = lambda n: F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.lit("^"), F.substring(w, 1, n)))
+    return F.concat(words, *map(stem, STEMS))
 
 
 class Chain:
@@ -67,10 +75,10 @@ def _fitted(df: DataFrame, label: str, rounds: int, penalty: float) -> LogisticR
     low, high, mean = rows.agg(F.min(label), F.max(label), F.avg(label)).first()
     if low is None or low == high:
         return float(mean or 0)
-    return LogisticRegression(featuresCol="_features", labelCol=label, maxIter=rounds, regParam=penalty, elasticNetParam=1.0, standardization=False, family="binomial").fit(rows)
+    return LogisticRegression(featuresCol="_features", labelCol=label, maxIter=rounds, regParam=penalty, elasticNetParam=1.0, standardization=True, family="binomial").fit(rows)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, id_col: str = "doc_id", text: str = "text", sample: int = 8000, words: int = 40_000, min_docs: int = 8, folds: int = 3, rounds: int = 40, penalty: float = 1e-3) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, id_col: str = "doc_id", text: str = "text", sample: int = 8000, words: int = 10_000, min_docs: int = 10, folds: int = 2, rounds: int = 25, penalty: float = 2e-3) -> Chain:
     """Fit a chain. ``categories``: output column to 0/1 label expression over ``labels``, in order."""
     categories = categories or {"p_low_quality": 1 - F.col("quality"), "p_toxic": F.col("toxic")}
     wanted = labels.select(F.col(id_col).alias("_id"), *(e.cast("double").alias(f"_y_{n}") for n, e in categories.items()))
@@ -82,7 +90,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | No
     if not table:
         means = rows.agg(*(F.avg(f"_y_{n}") for n in categories)).first()
         return Chain(None, [(n, float(m or 0)) for n, m in zip(categories, means, strict=True)])
-    vocabulary = CountVectorizerModel.from_vocabulary(table, inputCol="_words", outputCol="_x", minTF=1.0).setBinary(True)
+    vocabulary = CountVectorizerModel.from_vocabulary(table, inputCol="_words", outputCol="_x", minTF=1.0)
     data = vocabulary.transform(rows).drop("_words").withColumn("_fold", F.pmod(F.xxhash64("_id"), F.lit(folds)))
     data = materialise(data.repartition(spark_cores(data)), "features")
     models: list[tuple[str, LogisticRegressionModel | float]] = []
@@ -108,7 +116,7 @@ def spark_cores(df: DataFrame) -> int:
     return max(2, df.sparkSession.sparkContext.defaultParallelism)
 
 
-def toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **settings) -> DataFrame:
+def toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.35, **settings) -> DataFrame:
     """The rows of ``docs`` with p_low_quality, p_toxic and toxic (p_toxic at least the threshold)."""
     chain = train(docs, labels, **settings)
     return chain.transform(docs.drop("toxic")).withColumn("toxic", F.col("p_toxic") >= threshold)
