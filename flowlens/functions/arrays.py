@@ -16,7 +16,11 @@ def densify(df: DataFrame, values: Sequence[str], buckets: int, keys: Sequence[s
     rows = df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("bucket").cast("int"), F.struct(*names)))).alias("_m"))
     places = F.sequence(F.lit(0), F.lit(buckets - 1))
     kinds = dict(df.dtypes)
-    dense = [F.transform(places, lambda i, n=n: F.coalesce(F.element_at("_m", i)[n], F.lit(0).cast(kinds[n]))).alias(n) for n in names]
+
+    def dense_of(n: str) -> Column:
+        return F.transform(places, lambda i: F.coalesce(F.element_at("_m", i)[n], F.lit(0).cast(kinds[n]))).alias(n)
+
+    dense = [dense_of(n) for n in names]
     return rows.select(*keys, *dense, F.transform(places, lambda i: F.element_at("_m", i).isNotNull().cast("int")).alias("mask"))
 
 

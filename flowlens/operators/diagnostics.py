@@ -65,9 +65,9 @@ def field_differences(pairs: DataFrame, events: DataFrame, fields: list[str], le
     a = lists.select(*(F.col(k).alias(n) for k, n in zip(keys, left, strict=True)), *(F.col(f).alias(f"_a_{f}") for f in fields))
     b = lists.select(*(F.col(k).alias(n) for k, n in zip(keys, right, strict=True)), *(F.col(f).alias(f"_b_{f}") for f in fields))
     joined = pairs.join(a, left).join(b, right)
-    entries = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"_a_{f}").alias("a"), F.col(f"_b_{f}").alias("b")) for f in fields))
-    long = joined.select(*pairs.columns, F.explode(entries).alias("e")).select(*pairs.columns, "e.*").where("a <> b")
-    gap = F.when(F.size("a") == F.size("b"), F.array_max(F.zip_with("a", "b", lambda x, y: F.abs(x - y))))
+    entries = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"_a_{f}").alias("_va"), F.col(f"_b_{f}").alias("_vb")) for f in fields))
+    long = joined.select(*pairs.columns, F.explode(entries).alias("e")).select(*pairs.columns, "e.*").where("_va <> _vb")
+    gap = F.when(F.size("_va") == F.size("_vb"), F.array_max(F.zip_with("_va", "_vb", lambda x, y: F.abs(x - y))))
     return long.select(*pairs.columns, "field", gap.alias("largest_difference"))
 
 

@@ -62,14 +62,32 @@ def with_ctes(body: str, *names: str) -> str:
     return f"WITH {ctes}{', ' if body.startswith('+') else ' '}{body.lstrip('+')}"
 
 
+_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def shared(f):
+    """Keep a view for the queries of one session: computed once, recomputed if an executor is lost."""
+
+    def get(spark: SparkSession, sf: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf, f.__name__)
+        if key not in _SHARED:
+            _SHARED[key] = f(spark, sf).persist()
+        return _SHARED[key]
+
+    return get
+
+
+@shared
 def events(spark: SparkSession, sf: str) -> DataFrame:
     return sq.events_on_grid(event_flows(spark, sf, extra=True), GRID)
 
 
+@shared
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
     return sq.primary_attack(events(spark, sf))
 
 
+@shared
 def with_ids(spark: SparkSession, sf: str) -> DataFrame:
     return sq.dense_ids(sequences(spark, sf))
 
@@ -78,15 +96,18 @@ def attacks(spark: SparkSession, sf: str) -> DataFrame:
     return sq.sequence_attacks(events(spark, sf))
 
 
+@shared
 def folded(spark: SparkSession, sf: str) -> DataFrame:
     """Sequences with the label-free fold of their time block."""
     return sp.hash_folds(with_ids(spark, sf), 1, BLOCK)
 
 
+@shared
 def purged(spark: SparkSession, sf: str) -> DataFrame:
     return sp.exclude_boundaries(folded(spark, sf), GRID.window_ms, EMBARGO, BLOCK)
 
 
+@shared
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of six runs: whole-number draws, so that both engines agree and ties occur."""
     runs = spark.createDataFrame([(m, s) for m in ("base", "alt") for s in (1, 2, 3)], "model string, seed int")
