@@ -1,7 +1,8 @@
 """Operator 8: main text of web pages by the maximum-scoring subsequence of tokens.
 
 A page becomes a sequence of words and tags. Each token scores by the log odds of being inside the
-main text, given where it stands: a word by its nearest named container, a tag by its own name.
+main text, given where it stands: a word by its nearest named container, a tag by its own name
+(all tags of parts that hold no main text as one).
 Words of content score positive, tags negative; the weights come from labelled pages. One linear scan
 (Kadane's) finds the contiguous region of the largest sum. Inside that region blocks that belong to a
 menu, header, footer, sidebar, notice, advert, form, script, style or comment section are left out,
@@ -90,8 +91,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
         top = stack[-1]
         named = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(m[4] or ""))
         aside = top.aside or name in ASIDE or bool(named and name not in ("html", "body", *SEMANTIC) and ASIDE_NAME.search(named))
-        place = "aside" if aside else name if name in ASIDE or name in SEMANTIC or name in ("div", "section", "td", "li") else top.place
         main = top.main or name in SEMANTIC
+        place = ("inner aside" if main else "aside") if aside else name if name in ASIDE or name in SEMANTIC or name in ("div", "section", "td", "li") else top.place
         yield "tag", name, place, aside, main and not aside
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -105,6 +106,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
 #: Weights before any labelled page is seen.
 PRIOR_WORD = {"aside": -2.0}
 PRIOR_TAG = -0.05
+#: Least weights of words and tags inside a semantic main element.
+MAIN_WORD, MAIN_TAG = 0.5, -0.01
 
 
 def count_tokens(page: str) -> Counter:
@@ -113,7 +116,7 @@ def count_tokens(page: str) -> Counter:
     for kind, value, place, _, main in tokens(page):
         if kind == "tag":
             marked = marked or value in SEMANTIC
-            found["tag", value, main] += 1
+            found["tag", "aside" if place.endswith("aside") else value, main] += 1
         elif n := len(value.split()):
             found["word", place, main] += n
     return found if marked else Counter()
@@ -125,25 +128,36 @@ def weights(counts: Counter) -> dict[tuple[str, str], float]:
     for kind, value in {(k, v) for k, v, _ in counts}:
         odds = math.log((counts[kind, value, True] + 0.5) / (counts[kind, value, False] + 0.5))
         if kind == "tag":
-            out[kind, value] = -0.01 if odds > 0 else max(-4.0, odds)
+            out[kind, value] = MAIN_TAG if odds > 0 else max(-4.0, odds)
         else:
-            out[kind, value] = min(4.0, max(0.5, odds)) if odds > 0 else max(-4.0, odds)
+            out[kind, value] = min(4.0, max(MAIN_WORD, odds)) if odds > 0 else max(-4.0, odds)
     return out
 
 
+def score(token: tuple[str, str, str, bool, bool], weight: dict[tuple[str, str], float]) -> float:
+    """Score of one token: words of content positive, tags negative.
+
+    A semantic main element outweighs what its tags mean elsewhere. What stands aside within one is left
+    out later and counts nothing, so that it does not cut the region.
+    """
+    kind, value, place, aside, main = token
+    if place == "inner aside":
+        return 0.0
+    if kind == "tag":
+        w = weight.get((kind, "aside" if place == "aside" else value), PRIOR_TAG)
+        return max(w, MAIN_TAG) if main else w
+    w = weight.get(("word", place), PRIOR_WORD.get(place, 1.0))
+    w = max(w, MAIN_WORD) if main else -abs(w) if aside else w
+    return len(value.split()) * w
+
+
 def extract(page: str, weight: dict[tuple[str, str], float]) -> str:
     """Main text of one page."""
     best = total = 0.0
     start, region = 0, (0, 0)
     seen = list(tokens(page))
-    for i, (kind, value, place, aside, _) in enumerate(seen):
-        if kind == "tag":
-            w = weight.get((kind, value), PRIOR_TAG)
-        else:
-            w = len(value.split()) * weight.get(("word", place), PRIOR_WORD.get(place, 1.0))
-        if kind == "text" and aside and w > 0:
-            w = -w
-        total += w
+    for i, token in enumerate(seen):
+        total += score(token, weight)
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
