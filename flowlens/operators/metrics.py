@@ -82,7 +82,7 @@ def with_measures(counts: DataFrame) -> DataFrame:
         "precision": precision,
         "recall": recall,
         "fpr": 1 - specificity,
-        "f1": safe(2 * precision * recall, precision + recall),
+        "f1": safe(2 * tp, 2 * tp + fp + fn),
         "accuracy": (tp + tn) / (tp + fp + tn + fn),
         "balanced_accuracy": (recall + specificity) / 2,
         "mcc": safe(tp * tn - fp * fn, product),
