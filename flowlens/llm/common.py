@@ -52,3 +52,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def text_or_empty(column: str) -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def hash_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """At most ``n`` rows, chosen by a hash of ``keys``: a bounded sample that no order can steer.
+
+    Rows are thinned to about 1.5 n by their hash before they are ranked, so that little more than the
+    sample itself meets in one task.
+    """
+    share = min(1.0, 1.5 * n / max(1, df.count()))
+    thinned = df.where(F.pmod(F.xxhash64(F.lit(1), *keys), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
+    return thinned.orderBy(F.xxhash64(*keys), *keys).limit(n)

@@ -8,8 +8,8 @@ Words of content score positive, tags negative; the weights come from labelled p
 menu, header, footer, sidebar, notice, advert, form, script, style or comment section are left out,
 and the rest is written block by block.
 
-Labelled pages are those that mark their own main text with an ``article`` or ``main`` element: at
-most ``sample`` pages, by hash of the url and id. Where a table has none, the prior weights alone
+Labelled pages are those that mark their own main text with an ``article`` or ``main`` element, among
+at most ``sample`` pages chosen by a hash of the html. Where a table has none, the prior weights alone
 decide. Extraction uses every page whole.
 
 Defined results: null html counts as empty and gives an empty text; markup cut off at the end of a
@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.llm.common import hash_sample
+
 #: Fixed values of HTML: elements without end tags, elements whose content is no text, block elements.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noframes xmp svg math".split())
@@ -179,8 +181,7 @@ def extract(page: str, weight: dict[tuple[str, str], float]) -> str:
 
 def fit(df: DataFrame, html: str = "html", sample: int = 2000) -> dict[tuple[str, str], float]:
     """Weights from at most ``sample`` pages that mark their main text."""
-    marked = df.where(F.col(html).rlike(r"(?i)<(article|main)[\s>]"))
-    chosen = marked.orderBy(F.xxhash64(html), html).limit(sample).select(html)
+    chosen = hash_sample(df.select(F.col(html)), sample, html).where(F.col(html).rlike(r"(?i)<(article|main)[\s>]"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
