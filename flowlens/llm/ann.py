@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import materialise
+from flowlens.llm.common import hash_sample, materialise
 
 SCHEMA = "query_id bigint, rank int, vec_id bigint, score double"
 
@@ -112,7 +112,7 @@ def search(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", eve
     total = rows.count()
     if not total:
         return spark.createDataFrame([], SCHEMA)
-    drawn = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toLocalIterator()], np.float64)
+    drawn = np.array([r["v"] for r in hash_sample(rows, sample, "id").select("v").toLocalIterator()], np.float64)
     half = drawn.shape[1] // 2
     cut = max(half, 1)  # both halves need at least one component
     centres = [kmeans(drawn[:, :cut], centroids), kmeans(drawn[:, half:], centroids)]
