@@ -9,7 +9,7 @@ Training uses a bounded sample: at most ``sample`` labelled rows, by hash of the
 least ``min_docs`` of these rows, at most ``words`` of them; an L1 penalty keeps few weights. Scoring
 covers every row and its whole text, by MLlib's transformers inside the JVM.
 
-Defined results: null text counts as empty. Labels null in a category, or of unknown ids, are left
+Defined results: null text counts as empty and, like any text without a word, is never toxic. Labels null in a category, or of unknown ids, are left
 out. A category with a single class in the sample gets that class as its probability. Repeated rows
 are scored each; repeated labels of an id count as often. Columns of ``df`` pass through; those named
 like an output column are replaced. An empty table gives an empty table.
@@ -116,7 +116,11 @@ def spark_cores(df: DataFrame) -> int:
     return max(2, df.sparkSession.sparkContext.defaultParallelism)
 
 
-def toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.35, **settings) -> DataFrame:
-    """The rows of ``docs`` with p_low_quality, p_toxic and toxic (p_toxic at least the threshold)."""
-    chain = train(docs, labels, **settings)
-    return chain.transform(docs.drop("toxic")).withColumn("toxic", F.col("p_toxic") >= threshold)
+def toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.35, text: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` with p_low_quality, p_toxic and toxic (p_toxic at least the threshold).
+
+    A text without a word is never toxic, whatever the models say without evidence.
+    """
+    chain = train(docs, labels, text=text, **settings)
+    said = text_or_empty(f"`{text}`").rlike(r"[\p{L}\p{N}]")
+    return chain.transform(docs.drop("toxic"), text).withColumn("toxic", said & (F.col("p_toxic") >= threshold))
