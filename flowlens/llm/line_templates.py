@@ -6,9 +6,10 @@ place a token that enough documents have there stays, any other is generalised t
 template with enough constant places that recurs across enough documents is boilerplate; its lines
 are dropped everywhere.
 
-Documents are counted by content, not by row: the smallest and greatest leaf hash of a document's lines
-stand for it, which copies and most near copies share. A line thus recurs only if unrelated documents hold it, and a
-group of copies does not lose its own text.
+Documents are counted by content, not by row: a document counts as its class of operator 9 (SimHash of
+its words, components of near fingerprints), which copies and near copies share. A line thus recurs
+only if documents of ``min_docs`` classes hold it, and a group of copies does not lose its own text. A document
+counts once for a template, however many of its lines have it.
 
 Only hashes are counted and shuffled, with partial aggregation before each shuffle; texts are shuffled
 once, when lines are dropped. Frequent leaves and dropped lines are small against the corpus; Catalyst
@@ -24,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.llm import simhash_native
 from flowlens.llm.common import materialise
 
 WILD = "<*>"
@@ -47,11 +49,15 @@ def _masks(text: str) -> Column:
 
 
 def line_hashes(df: DataFrame, id_col: str, text: str, depth: int) -> DataFrame:
-    """(id, content, lines): hashes (leaf, h) of each row's lines, and the hash that stands for its content."""
+    """(id, content, lines): hashes (leaf, h) of each row's lines, and the fingerprint that stands for its content."""
     lines = F.transform(_masks(text), lambda m: F.struct(leaf(m, depth).alias("leaf"), F.xxhash64(m).alias("h")))
-    rows = materialise(df.select(F.col(f"`{id_col}`").alias("id"), lines.alias("lines")), "lines")
-    leaves = F.transform("lines", lambda x: x["leaf"])
-    return rows.withColumn("content", F.xxhash64(F.array_min(leaves), F.array_max(leaves)))
+    key, said = F.col(f"`{id_col}`"), F.col(f"`{text}`")
+    prints = materialise(simhash_native.fingerprints(df, [key, F.xxhash64(said)], said).distinct(), "fingerprints")
+    parts = materialise(simhash_native.classes(prints), "parts")
+    named = prints.join(parts, "fp", "left").select("k0", "k1", F.coalesce("part", "fp").alias("content"))
+    rows = df.select(key.alias("id"), F.xxhash64(said).alias("digest"), lines.alias("lines"))
+    joined = rows.join(named, F.col("id").eqNullSafe(F.col("k0")) & (F.col("digest") == F.col("k1")), "left")
+    return materialise(joined.select("id", F.coalesce("content", F.lit(0).cast("bigint")).alias("content"), "lines"), "lines")
 
 
 def templates(df: DataFrame, hashes: DataFrame, text: str = "text", min_docs: int = 10, constant: float = 0.6) -> DataFrame:
@@ -60,9 +66,11 @@ def templates(df: DataFrame, hashes: DataFrame, text: str = "text", min_docs: in
     ``hashes`` is ``line_hashes`` of ``df``, whose texts are read once more for the words of frequent leaves.
     """
     spots = hashes.select("content", F.explode("lines").alias("x")).select("content", "x.leaf", "x.h")
+    spots = materialise(spots.distinct(), "spots")
     seen = spots.select("content", "leaf").distinct()
     often = materialise(seen.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
-    counted = spots.join(often, "leaf", "left_semi").distinct().groupBy("leaf", "h").agg(F.count("*").alias("docs"))
+    spots = spots.join(often, "leaf", "left_semi")
+    counted = spots.groupBy("leaf", "h").agg(F.count("*").alias("docs"))
     counted = materialise(counted, "counted")
     named = df.select(F.explode(F.transform(_masks(text), lambda m: F.struct(F.xxhash64(m).alias("h"), m.alias("mask")))).alias("x")).select("x.h", "x.mask")
     words = named.join(counted.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("mask").alias("mask"))
@@ -76,7 +84,8 @@ def templates(df: DataFrame, hashes: DataFrame, text: str = "text", min_docs: in
         F.xxhash64(F.array_sort(F.collect_list(F.struct("place", F.when(stays, F.col("token")).otherwise(WILD).alias("token"))))).alias("template"),
     )
     general = materialise(general.where(F.col("share") >= constant), "general")
-    recurring = general.groupBy("leaf", "template").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs)
+    holders = spots.join(general.select("leaf", "h", "template"), ["leaf", "h"]).select("content", "leaf", "template").distinct()
+    recurring = holders.groupBy("leaf", "template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
     return general.join(recurring, ["leaf", "template"]).select("h", "leaf", "template", F.col("n").alias("docs"))
 
 

@@ -1,0 +1,88 @@
+"""Operator 9's fingerprints and classes in DataFrame functions only, for operators that run no Python.
+
+Fingerprints equal those of ``simhash.fingerprint``: Spark's ``xxhash64`` of one string has the same seed.
+Shingles become rows that are summed before the shuffle: four bits of the hash share one sum, in lanes of
+16 bits, so CHUNK shingles of one row are summed at a time. Links span the same components as those of
+``simhash.near_links``: of the near pairs in a bucket only those go that close a triangle as its greatest
+edge, in the order of (greater end, smaller end), which leaves the components as they are.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from flowlens.llm.common import materialise
+from flowlens.llm.graph import connected_components
+from flowlens.llm.simhash import BLOCK, covering_masks
+
+#: Shingles that lanes of 16 bits count without reaching the sign.
+CHUNK = 1 << 14
+#: What ``lower`` changes besides A-Z; op9 changes A-Z only.
+OTHER_CAPITALS = r"[\p{Lu}\p{Lt}Ⅰ-ⅯⒶ-Ⓩ&&[^A-Z]]"
+AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _bound(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def shingles(text: Column, width: int = 4) -> Column:
+    """Hashes of the word shingles, with repeats; none for a text without words."""
+    low = F.when(text.rlike(OTHER_CAPITALS), F.translate(text, AZ, AZ.lower())).otherwise(F.lower(text))
+    words = F.filter(F.split(low, r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    many = lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ws) - (width - 1))), lambda i: F.xxhash64(F.array_join(F.slice(ws, i, width), " ")))
+    return _bound(words, lambda ws: F.when(F.size(ws) > 0, many(ws)))
+
+
+def fingerprints(df: DataFrame, keys: list[Column], text: Column, width: int = 4) -> DataFrame:
+    """``keys`` and fp, one row for each row of ``df`` that has words."""
+    names = [f"k{i}" for i in range(len(keys))]
+    rows = df.select(F.monotonically_increasing_id().alias("row"), *(k.alias(n) for k, n in zip(keys, names, strict=True)), text.alias("text"))
+    rows = rows.select("row", *names, F.posexplode(shingles(F.col("text"), width)).alias("place", "h"))
+    lanes = 0x0001000100010001
+    part = F.floor(F.col("place") / CHUNK).alias("part")
+    sums = rows.groupBy("row", *names, part).agg(F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(lanes))).alias(f"s{k}") for k in range(16)))
+    ones = [F.sum(F.shiftrightunsigned(f"s{b % 16}", b - b % 16).bitwiseAND(F.lit(0xFFFF))).alias(f"b{b}") for b in range(64)]
+    whole = sums.groupBy("row", *names).agg(F.sum("n").alias("n"), *ones)
+    bits = [F.when(F.col(f"b{b}") * 2 > F.col("n"), F.lit(_signed(1 << b))).otherwise(F.lit(0).cast("bigint")) for b in range(64)]
+    return whole.select(*names, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp"))
+
+
+def near_links(prints: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
+    """(u, v): links among distinct fingerprints ``fp`` that join all within the radius."""
+    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= radius
+    keys = F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(covering_masks(64, radius))))
+    entries = prints.select("fp", F.explode(keys).alias("e")).select("fp", "e.mask", "e.key")
+    buckets = entries.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1")
+    buckets = materialise(buckets, "buckets")
+    pairs = buckets.where("n = 2").where(near(F.col("u"), F.col("v"))).select("u", "v")
+    large = entries.join(buckets.where("n > 2").select("mask", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), ["mask", "key"])
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    large = large.select("mask", "key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    large = large.select("mask", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.struct("fp", "own").alias("x"))
+    groups = large.groupBy("mask", "key", "a", "b").agg(F.collect_list("x").alias("xs"))  # at most two blocks
+
+    def below(z: Column) -> Column:
+        return F.filter("xs", lambda y: (y["fp"] < z["fp"]) & near(y["fp"], z["fp"]))
+
+    def kept(z: Column, ns: Column) -> Column:
+        crossing = F.filter(ns, lambda y: (F.col("a") == F.col("b")) | (y["own"] != z["own"]))
+        least = F.filter(crossing, lambda y: ~F.exists(ns, lambda x: (x["fp"] < y["fp"]) & near(x["fp"], y["fp"])))
+        return F.transform(least, lambda y: F.struct(y["fp"].alias("u"), z["fp"].alias("v")))
+
+    links = F.flatten(F.transform("xs", lambda z: _bound(below(z), lambda ns: kept(z, ns))))
+    return pairs.union(groups.select(F.explode(links).alias("l")).select("l.u", "l.v"))
+
+
+def classes(prints: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
+    """(fp, part): the fingerprints that have another one in their class, with one of the class for all."""
+    distinct = materialise(prints.select("fp").distinct(), "prints")
+    return connected_components(near_links(distinct, radius, block), "links").select(F.col("node").alias("fp"), F.col("component").alias("part"))
