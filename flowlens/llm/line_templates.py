@@ -1,10 +1,12 @@
 """Operator 7: line dedup with a log-template tree, in DataFrame functions only.
 
 A line goes down a tree of fixed depth: by its number of tokens, then by its leading tokens, where a
-token that holds a digit counts as a variable field. Lines of one leaf share a template: at each
-place a token that enough documents have there stays, any other is generalised to a wildcard. A
-template with enough constant places that recurs across enough documents is boilerplate; its lines
-are dropped everywhere.
+token that holds a digit counts as a variable field. Lines of one leaf are generalised at rising levels of
+support: at a level a token stays that so many documents have at its place, any other becomes a wildcard. The
+levels go by factors of LADDER from ``min_docs`` to the most frequent token of the line, so that one of them
+lies between the values of a variable field and the words around it at any size of the corpus. A line
+is boilerplate if at some level its template has enough constant places and recurs across ``min_docs``
+documents; it is dropped everywhere.
 
 Documents are counted by content, not by row: a document counts as its class of operator 9 (SimHash of
 its words, components of near fingerprints), which copies and near copies share. A line thus recurs
@@ -29,6 +31,8 @@ from flowlens.llm import simhash_native
 from flowlens.llm.common import materialise
 
 WILD = "<*>"
+#: Factor between the levels of support at which lines are generalised.
+LADDER = 4
 VARIABLE = r"\S*[0-9]\S*"
 
 
@@ -61,7 +65,7 @@ def line_hashes(df: DataFrame, id_col: str, text: str, depth: int) -> DataFrame:
 
 
 def templates(df: DataFrame, hashes: DataFrame, text: str = "text", min_docs: int = 10, constant: float = 0.6) -> DataFrame:
-    """(h, leaf, template, docs): masks, by hash, of lines whose template is boilerplate.
+    """(h, leaf, template, docs): masks, by hash, of lines with a template that is boilerplate, once for each.
 
     ``hashes`` is ``line_hashes`` of ``df``, whose texts are read once more for the words of frequent leaves.
     """
@@ -76,15 +80,20 @@ def templates(df: DataFrame, hashes: DataFrame, text: str = "text", min_docs: in
     words = named.join(counted.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("mask").alias("mask"))
     tokens = counted.join(words, "h").select("leaf", "h", "docs", F.posexplode(F.split("mask", " ")).alias("place", "token"))
     tokens = materialise(tokens, "tokens")
-    support = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("with_token"))
-    stays = (F.col("with_token") >= min_docs) & (F.col("token") != WILD)
-    general = tokens.join(support, ["leaf", "place", "token"]).groupBy("leaf", "h").agg(
-        F.max("docs").alias("docs"),
-        F.avg(stays.cast("double")).alias("share"),
-        F.xxhash64(F.array_sort(F.collect_list(F.struct("place", F.when(stays, F.col("token")).otherwise(WILD).alias("token"))))).alias("template"),
+    support = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("held"))
+    held = F.when(F.col("token") == WILD, 0).otherwise(F.col("held"))
+    lines = tokens.join(support, ["leaf", "place", "token"]).groupBy("leaf", "h").agg(
+        F.max(held).alias("most"), F.array_sort(F.collect_list(F.struct("place", "token", held.alias("held")))).alias("tokens")
     )
-    general = materialise(general.where(F.col("share") >= constant), "general")
-    holders = spots.join(general.select("leaf", "h", "template"), ["leaf", "h"]).select("content", "leaf", "template").distinct()
+    steps = F.floor(F.log(F.greatest(F.col("most"), F.lit(min_docs)) / min_docs) / F.log(F.lit(LADDER)) + 1e-9).cast("int")
+    lines = lines.select("leaf", "h", "tokens", F.explode(F.sequence(F.lit(0), steps)).alias("step"))
+    needed = lines.select("*", (min_docs * F.pow(F.lit(LADDER), "step")).alias("needed"))
+    stays = F.transform("tokens", lambda t: F.when((t["held"] >= F.col("needed")), t["token"]).otherwise(WILD))
+    general = needed.select("leaf", "h", "step", stays.alias("kept"))
+    fixed = F.size(F.filter("kept", lambda t: t != WILD))
+    general = general.where(fixed >= constant * F.size("kept")).select("leaf", "h", F.xxhash64("step", "kept").alias("template"))
+    general = materialise(general, "general")
+    holders = spots.join(general, ["leaf", "h"]).select("content", "leaf", "template").distinct()
     recurring = holders.groupBy("leaf", "template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
     return general.join(recurring, ["leaf", "template"]).select("h", "leaf", "template", F.col("n").alias("docs"))
 

@@ -186,6 +186,15 @@ def test_line_templates_count_documents(spark):
     assert all(got[i] == t for i, t in copies + one)
 
 
+def test_line_templates_at_two_sizes(spark):
+    names, places = prose(81, 60), prose(82, 40)
+    for n in (400, 8000):  # 60 x 40 combinations; each name and place is in over 10 of the larger number of documents
+        draw = random.Random(n)
+        rows = [(i, "\n".join([" ".join(prose(i, 8)), f"Article posted online today by {draw.choice(names)} in {draw.choice(places)}", " ".join(prose(20000 + i, 9))])) for i in range(n)]
+        out = line_templates.drop_recurring(docs(spark, rows)).select("text").collect()
+        assert sum("posted" in r["text"] for r in out) == 0 and all(r["text"].count("\n") == 1 for r in out)
+
+
 def test_native_fingerprints_and_classes(spark):
     draw = random.Random(5)
     rows = [(i, " ".join(prose(i, draw.randint(1, 60)))) for i in range(60)] + [(100, "\u00c9T\u00c9 \u01c5 Ab\x0bC\x1cd \u2160 E\u0130"), (101, None), (102, " \t\n"), (103, "One"), (104, "x " * 40000)]
