@@ -1,4 +1,4 @@
-"""What several operators share: tables in the shared folder, and text columns."""
+"""What several operators share: tables in the shared folder, joins with crowded keys, free names, samples."""
 
 from __future__ import annotations
 
@@ -10,18 +10,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: A key with more than one in CROWDED of a table's rows, and more than LEAST rows, is dealt to several tasks.
+CROWDED, LEAST = 1024, 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share, as the session names it.
 
-    It is read from the session. Where it is unset, as in tests on one machine, a temporary
-    folder is made and set, so that all later calls use the same one.
+    On one machine, as in tests, a temporary folder stands in where it is unset. On a cluster that is an
+    error, as executors would write to disks that others cannot read.
     """
     found = spark.conf.get(CHECKPOINT_DIR, None)
     if not found:
         current = spark.sparkContext.getCheckpointDir()
-        found = current.rsplit("/", 1)[0] if current else "file://" + tempfile.mkdtemp(prefix="flowlens-")
+        if current:
+            found = current.rsplit("/", 1)[0]
+        elif spark.sparkContext.master.startswith("local"):
+            found = "file://" + tempfile.mkdtemp(prefix="flowlens-")
+        else:
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that driver and executors share")
         spark.conf.set(CHECKPOINT_DIR, found)
     return found.rstrip("/")
 
@@ -35,18 +42,56 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, done: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
-    This cuts the lineage: later stages read files that survive the loss of any executor. The
-    files are removed when the driver exits.
+    This cuts the lineage: later stages read files that survive the loss of any executor. Tables that
+    nothing reads any more once this one is written can be named as ``done``; the others are removed when
+    the driver exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/flowlens-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._flowlens_path = path
+    for table in done:
+        _remove(spark, table._flowlens_path)
+    return out
+
+
+def spread_join(many: DataFrame, one: DataFrame, on: str | list[str], how: str = "inner", crowded: int = CROWDED, least: int = LEAST) -> DataFrame:
+    """``many`` joined to ``one``, which has a row for each key; any key may hold a large part of ``many``.
+
+    Keys with more rows than both ``least`` and one in ``crowded`` of all are fewer than ``crowded``, so that
+    their counts can be broadcast; their rows are dealt to several tasks and their row of ``one`` is repeated for each.
+    ``many`` is read once more for the counts, so it should be a written table. Rows whose key is null
+    match nothing. ``many`` has more columns than the keys; their hash deals the rows.
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    n, salts, salt = unused([*many.columns, *one.columns], "n", "salts", "salt")
+    counts = many.groupBy(*keys).agg(F.count("*").alias(n))
+    per = max(least, many.count() // crowded)
+    large = counts.where((F.col(n) > per) & F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
+    rows = large.select(*keys, F.ceil(F.col(n) / per).cast("int").alias(salts)).collect()  # at most ``crowded``
+    if not rows:
+        return many.join(one, keys, how)
+    table = F.broadcast(many.sparkSession.createDataFrame(rows, large.select(*keys, F.lit(0).alias(salts)).schema))
+    dealt = many.join(table, keys, "left").withColumn(salt, F.when(F.col(salts).isNull(), 0).otherwise(F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in many.columns if c not in keys)), F.col(salts))).cast("int"))
+    copies = one.join(table, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(salts), F.lit(1)) - 1)))
+    return dealt.drop(salts).join(copies.drop(salts), [*keys, salt], how).drop(salt)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names like ``names`` that no column has, in any letter case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def text_or_empty(column: str) -> Column:
