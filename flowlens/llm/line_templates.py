@@ -8,18 +8,22 @@ lies between the values of a variable field and the words around it at any size
 is boilerplate if at some level its template has enough constant places and recurs across ``min_docs``
 documents; it is dropped everywhere.
 
-Documents are counted by content, not by row: a document counts as its class of operator 9 (SimHash of
-its words, components of near fingerprints), which copies and near copies share. A line thus recurs
-only if documents of ``min_docs`` classes hold it, and a group of copies does not lose its own text. A document
-counts once for a template, however many of its lines have it.
-
-Only hashes are counted and shuffled, with partial aggregation before each shuffle; texts are shuffled
-once, when lines are dropped. Frequent leaves and dropped lines are small against the corpus; Catalyst
-broadcasts them where their measured size allows.
-
-Defined results: null text stays null, an empty text stays empty; blank lines are kept. Repeated rows
+Documents are counted by content: equal texts count once, and near copies count as one document with the texts
+that they are linked to. For that a text is cut into pieces where a letter of SPLIT_AFTER ends a word and at
+line ends, and the four least hashes of its pieces are its sketch. Texts whose sketches share three hashes are
+linked (texts of fewer than four pieces: only with the same pieces), and the components of these links count
+as one. So a group of copies does not lose its own text, while unrelated documents, which share a few lines
+only, count each, even if templates are all that they hold. A document counts once for a template, however
+many of its lines have it.
+
+Each text is masked once. Hashes are counted and shuffled, with partial aggregation before each shuffle; masks
+are read again for the lines of frequent leaves, texts are shuffled once, when lines are dropped. Joins on
+leaves, lines and templates deal crowded keys to several tasks.
+
+Defined results: null text stays null, an empty text stays empty; blank lines are kept. Rows that repeat an id
 keep their own lines. A document may lose all its lines and stays as an empty text. All columns and
-their order are kept, n_chars too, as it tells of the input. An empty table gives an empty table.
+their order are kept, whatever their names; n_chars too, as it tells of the input. An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -27,18 +31,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm import simhash_native
-from flowlens.llm.common import materialise
+from flowlens.llm.common import materialise, spread_join, unused
+from flowlens.llm.graph import connected_components
 
 WILD = "<*>"
 #: Factor between the levels of support at which lines are generalised.
 LADDER = 4
-VARIABLE = r"\S*[0-9]\S*"
+#: A token that holds a digit, without a second look at tokens that hold none.
+VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*"
+#: Last letters of words after which a text is cut for its sketch, where a letter of A-M follows.
+SPLIT_AFTER = "eyaoдия"
+PIECES = rf"\n|(?<=[{SPLIT_AFTER}]) (?=[a-mA-Mа-мА-М])"
+SKETCH = 4
 
 
-def masked(line: Column) -> Column:
-    """The line with single spaces and each token that holds a digit as a wildcard."""
-    return F.regexp_replace(F.regexp_replace(F.trim(line), r"\s+", " "), VARIABLE, WILD)
+def masks(text: Column) -> Column:
+    """Each line of the text with single spaces and each token that holds a digit as a wildcard."""
+    whole = F.when(text.rlike("[0-9]"), F.regexp_replace(text, VARIABLE, WILD)).otherwise(text)
+    spaced = F.regexp_replace(whole, r"[^\S\n]{2,}|[^\S\n ]", " ")
+    return F.transform(F.split(spaced, "\n"), F.trim)
 
 
 def leaf(mask: Column, depth: int) -> Column:
@@ -47,70 +58,84 @@ def leaf(mask: Column, depth: int) -> Column:
     return F.xxhash64(count, F.substring_index(mask, " ", depth))
 
 
-def _masks(text: str) -> Column:
-    """Masks of the non-blank lines, each computed once."""
-    return F.filter(F.transform(F.split(F.col(f"`{text}`"), "\n"), masked), lambda m: m != "")
+def sketch(text: Column) -> Column:
+    """Keys of a text that near copies share: hashes of all but one of its SKETCH least pieces."""
+    pieces = F.transform(F.filter(F.split(text, PIECES), lambda p: p != ""), lambda p: F.xxhash64(p))
+    least = F.slice(F.sort_array(F.array_distinct(pieces)), 1, SKETCH)
+    but = lambda xs: F.transform(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda i: F.xxhash64(F.filter(xs, lambda _, j: j != i)))
+    return F.element_at(F.transform(F.array(least), lambda xs: F.when(F.size(xs) < SKETCH, F.array(F.xxhash64(xs))).otherwise(but(xs))), 1)
+
+
+def prepared(df: DataFrame, id_col: str, text: str, depth: int) -> DataFrame:
+    """(id, digest, keys, lines): of each text its hash, the keys of its sketch, and its lines as (leaf, h, mask)."""
+    said = F.col(f"`{text}`")
+    lines = F.transform(masks(said), lambda m: F.when(m != "", F.struct(leaf(m, depth).alias("leaf"), F.xxhash64(m).alias("h"), m.alias("mask"))))
+    rows = df.where(said.isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(said).alias("digest"), sketch(said).alias("keys"), lines.alias("lines"))
+    return materialise(rows, "lines")
 
 
-def line_hashes(df: DataFrame, id_col: str, text: str, depth: int) -> DataFrame:
-    """(id, content, lines): hashes (leaf, h) of each row's lines, and the fingerprint that stands for its content."""
-    lines = F.transform(_masks(text), lambda m: F.struct(leaf(m, depth).alias("leaf"), F.xxhash64(m).alias("h")))
-    key, said = F.col(f"`{id_col}`"), F.col(f"`{text}`")
-    prints = materialise(simhash_native.fingerprints(df, [key, F.xxhash64(said)], said).distinct(), "fingerprints")
-    parts = materialise(simhash_native.classes(prints), "parts")
-    named = prints.join(parts, "fp", "left").select("k0", "k1", F.coalesce("part", "fp").alias("content"))
-    rows = df.select(key.alias("id"), F.xxhash64(said).alias("digest"), lines.alias("lines"))
-    joined = rows.join(named, F.col("id").eqNullSafe(F.col("k0")) & (F.col("digest") == F.col("k1")), "left")
-    return materialise(joined.select("id", F.coalesce("content", F.lit(0).cast("bigint")).alias("content"), "lines"), "lines")
+def contents(rows: DataFrame) -> DataFrame:
+    """(digest, content): the texts that are linked to others, with one of the texts for all."""
+    keys = materialise(rows.select("digest", F.explode("keys").alias("key")).distinct(), "keys")
+    shared = keys.groupBy("key").agg(F.min("digest").alias("u"), F.count("*").alias("n")).where("n > 1").select("key", "u")
+    links = spread_join(keys, materialise(shared, "shared"), "key").select("u", F.col("digest").alias("v"))
+    return connected_components(links, "links").select(F.col("node").alias("digest"), F.col("component").alias("content"))
 
 
-def templates(df: DataFrame, hashes: DataFrame, text: str = "text", min_docs: int = 10, constant: float = 0.6) -> DataFrame:
+def templates(rows: DataFrame, min_docs: int = 10, constant: float = 0.6) -> DataFrame:
     """(h, leaf, template, docs): masks, by hash, of lines with a template that is boilerplate, once for each.
 
-    ``hashes`` is ``line_hashes`` of ``df``, whose texts are read once more for the words of frequent leaves.
+    ``rows`` are those of ``prepared``.
     """
-    spots = hashes.select("content", F.explode("lines").alias("x")).select("content", "x.leaf", "x.h")
-    spots = materialise(spots.distinct(), "spots")
-    seen = spots.select("content", "leaf").distinct()
-    often = materialise(seen.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
-    spots = spots.join(often, "leaf", "left_semi")
-    counted = spots.groupBy("leaf", "h").agg(F.count("*").alias("docs"))
-    counted = materialise(counted, "counted")
-    named = df.select(F.explode(F.transform(_masks(text), lambda m: F.struct(F.xxhash64(m).alias("h"), m.alias("mask")))).alias("x")).select("x.h", "x.mask")
-    words = named.join(counted.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("mask").alias("mask"))
-    tokens = counted.join(words, "h").select("leaf", "h", "docs", F.posexplode(F.split("mask", " ")).alias("place", "token"))
+    spots = rows.select("digest", F.explode("lines").alias("x")).where("x IS NOT NULL").select("digest", "x.leaf", "x.h").distinct()
+    spots = materialise(spots, "spots")
+    often = materialise(spots.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
+    parts = materialise(contents(rows), "contents")
+    named = materialise(spread_join(spots, often, "leaf", "left_semi"), "frequent", done=(spots,))
+    named = named.join(parts, "digest", "left").select(F.coalesce("content", "digest").alias("content"), "leaf", "h").distinct()
+    spots = materialise(named, "spots")
+    counted = materialise(spots.groupBy("leaf", "h").agg(F.count("*").alias("docs")), "counted")
+    held = counted.groupBy("leaf").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    counted = materialise(spread_join(counted, held, "leaf", "left_semi"), "counted", done=(counted,))
+    words = rows.select(F.explode("lines").alias("x")).where("x IS NOT NULL").select("x.h", "x.mask").join(counted.select("h").distinct(), "h", "left_semi")
+    words = materialise(words.groupBy("h").agg(F.min("mask").alias("mask")), "words")
+    tokens = spread_join(counted, words, "h").select("leaf", "h", "docs", F.posexplode(F.split("mask", " ")).alias("place", "token"))
     tokens = materialise(tokens, "tokens")
-    support = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("held"))
-    held = F.when(F.col("token") == WILD, 0).otherwise(F.col("held"))
-    lines = tokens.join(support, ["leaf", "place", "token"]).groupBy("leaf", "h").agg(
-        F.max(held).alias("most"), F.array_sort(F.collect_list(F.struct("place", "token", held.alias("held")))).alias("tokens")
-    )
+    place = ["leaf", "place", "token"]
+    support = materialise(tokens.groupBy(*place).agg(F.sum("docs").alias("held")), "support")
+    joined = spread_join(tokens.where(F.col("token") != WILD), support, place)
+    joined = joined.unionByName(tokens.where(F.col("token") == WILD).withColumn("held", F.lit(0).cast("bigint")))
+    lines = joined.groupBy("leaf", "h").agg(F.max("held").alias("most"), F.array_sort(F.collect_list(F.struct("place", "token", "held"))).alias("tokens"))
     steps = F.floor(F.log(F.greatest(F.col("most"), F.lit(min_docs)) / min_docs) / F.log(F.lit(LADDER)) + 1e-9).cast("int")
     lines = lines.select("leaf", "h", "tokens", F.explode(F.sequence(F.lit(0), steps)).alias("step"))
     needed = lines.select("*", (min_docs * F.pow(F.lit(LADDER), "step")).alias("needed"))
     stays = F.transform("tokens", lambda t: F.when((t["held"] >= F.col("needed")), t["token"]).otherwise(WILD))
     general = needed.select("leaf", "h", "step", stays.alias("kept"))
     fixed = F.size(F.filter("kept", lambda t: t != WILD))
-    general = general.where(fixed >= constant * F.size("kept")).select("leaf", "h", F.xxhash64("step", "kept").alias("template"))
-    general = materialise(general, "general")
-    holders = spots.join(general, ["leaf", "h"]).select("content", "leaf", "template").distinct()
-    recurring = holders.groupBy("leaf", "template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    return general.join(recurring, ["leaf", "template"]).select("h", "leaf", "template", F.col("n").alias("docs"))
+    general = general.where(fixed >= constant * F.size("kept")).select("leaf", "h", F.xxhash64("leaf", "step", "kept").alias("template"))
+    general = materialise(general, "general", done=(tokens, support))
+    holders = spread_join(spots, general.groupBy("leaf", "h").agg(F.collect_list("template").alias("ts")), ["leaf", "h"])  # one for each level
+    holders = holders.select("content", F.explode("ts").alias("template")).distinct()
+    recurring = materialise(holders.groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs), "recurring")
+    return spread_join(general, recurring, "template").select("h", "leaf", "template", F.col("n").alias("docs"))
 
 
 def drop_recurring(df: DataFrame, id_col: str = "doc_id", text: str = "text", depth: int = 3, min_docs: int = 10, constant: float = 0.6) -> DataFrame:
     """``df`` with the lines of recurring templates taken out of ``text``."""
-    hashes = line_hashes(df, id_col, text, depth)
-    boilerplate = materialise(templates(df, hashes, text, min_docs, constant).select("h").distinct(), "boilerplate")
-    spots = hashes.select("id", F.explode(F.transform("lines", lambda x: x["h"])).alias("h"))
-    gone = spots.join(boilerplate, "h", "left_semi").groupBy(F.col("id").alias("_id")).agg(F.collect_set("h").alias("_gone"))
-    joined = df.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "left")
-    kept = F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda x: ~F.array_contains("_gone", F.xxhash64(masked(x))))
-    changed = F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n"))
+    rows = prepared(df, id_col, text, depth)
+    boilerplate = materialise(templates(rows, min_docs, constant).select("h").distinct(), "boilerplate")
+    key, digest, gone = unused(df.columns, "key", "digest", "gone")
+    spots = rows.select("id", "digest", F.posexplode("lines").alias("place", "x")).select("id", "digest", "place", "x.h")
+    spots = materialise(spots.where("h IS NOT NULL"), "lines-at")
+    dropped = spread_join(spots, boilerplate, "h", "left_semi").groupBy(F.col("id").alias(key), F.col("digest").alias(digest)).agg(F.collect_set("place").alias(gone))  # at most a text's lines
+    said = F.col(f"`{text}`")
+    joined = df.join(dropped, F.col(f"`{id_col}`").eqNullSafe(F.col(key)) & (F.xxhash64(said) == F.col(digest)), "left")
+    kept = F.filter(F.split(said, "\n"), lambda _, i: ~F.array_contains(gone, i))
+    changed = F.when(F.col(gone).isNull(), said).otherwise(F.array_join(kept, "\n"))
     return joined.select(*(changed.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns))
 
 
-def line_counts(before: DataFrame, after: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, lines_kept, text_sha256) of the cleaned texts; ``before`` gives the ids."""
+def line_counts(after: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, lines_kept, text_sha256) of the cleaned texts."""
     lines = F.size(F.split(F.col(text), "\n"))
     return after.select(F.col(id_col).alias("doc_id"), F.when(F.col(text).isNull() | (F.col(text) == ""), 0).otherwise(lines).cast("bigint").alias("lines_kept"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("text_sha256"))

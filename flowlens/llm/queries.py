@@ -72,7 +72,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_templates.line_counts(table, line_templates.drop_recurring(table))
+    return line_templates.line_counts(line_templates.drop_recurring(table))
 
 
 @_query

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from flowlens.llm import ann, bpe, chat, decontamination, html_text, licenses, line_templates, passages, simhash, simhash_native, toxicity
+from flowlens.llm import ann, bpe, chat, decontamination, html_text, licenses, line_templates, passages, simhash, toxicity
 from flowlens.llm.graph import connected_components
 from flowlens.llm.license_texts import MIT
 from flowlens.llm.queries import BYTE_BPE
@@ -195,24 +195,6 @@ def test_line_templates_at_two_sizes(spark):
         assert sum("posted" in r["text"] for r in out) == 0 and all(r["text"].count("\n") == 1 for r in out)
 
 
-def test_native_fingerprints_and_classes(spark):
-    draw = random.Random(5)
-    rows = [(i, " ".join(prose(i, draw.randint(1, 60)))) for i in range(60)] + [(100, "\u00c9T\u00c9 \u01c5 Ab\x0bC\x1cd \u2160 E\u0130"), (101, None), (102, " \t\n"), (103, "One"), (104, "x " * 40000)]
-    base = prose(77, 400)
-    for i in range(200):
-        rows.append((200 + i, " ".join(base[:i] + ["edit"] + base[i + 1 :])))
-    table = docs(spark, rows)
-    prints = simhash_native.fingerprints(table, [F.col("doc_id")], F.col("text"))
-    got = {r["k0"]: r["fp"] for r in prints.collect()}
-    want = {i: np.uint64(simhash.fingerprint(t or "")).astype(np.int64) for i, t in rows}
-    assert got == {i: int(fp) for i, fp in want.items() if i not in (101, 102)}
-    for block in (16, 2048):  # buckets of several blocks, and of one
-        parts = {r["fp"]: r["part"] for r in simhash_native.classes(prints, block=block).collect()}
-        label = {i: parts.get(fp, fp) for i, fp in got.items()}
-        op9 = {r["id"]: r["component"] for r in simhash.near_duplicates(table.where("doc_id NOT IN (101, 102)")).collect()}
-        assert len(set(label.values())) == len(set(op9.values())) == len({(label[i], op9[i]) for i in label})
-
-
 PAGE = '<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu one</a></li></ul></nav><div class="ad">Buy now and here</div>{}<aside>Related things to see</aside><form>Sign up now</form><footer>&copy; site words in footer</footer>'
 
 
@@ -243,8 +225,8 @@ def test_passages(spark):
 
 
 def test_chain_prefers_collinear_matches():
-    found = passages.chains(np.array([0, 20, 40, 60]), np.array([5, 25, 500, 65]), 8)
-    assert found[0] == [(0, 5), (20, 25), (60, 65)]
+    found = passages.segments(np.array([0, 20, 40, 60]), np.array([5, 25, 500, 65]), 8)
+    assert [s[:3] for s in passages.chains(found, 8)[0]] == [(0, 8, 5), (20, 28, 5), (60, 68, 5)]
 
 
 def test_common_subsequence():
