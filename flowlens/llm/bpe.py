@@ -22,16 +22,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The pre-tokenisation of the byte-level vocabulary; white space is Unicode's.
-#: Contractions can only start at an apostrophe, so that the order of the first three is free.
-PATTERN = r" ?\p{L}+|'(?:[stmd]|re|ve|ll)| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Pieces kept by a task; the table is emptied when it is full, which changes no result.
-MEMO = 300_000
+#: The published pre-tokenisation of the byte-level vocabulary. Its white space is Unicode's, which
+#: ``\s`` of this engine exceeds by the separators U+001C to U+001F.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
+#: Bytes that each of a task's two tables of known pieces may take; a full one is emptied, which changes no result.
+MEMO = 60_000_000
 #: Fragments of more bytes are merged one by one, with a heap.
 LONG = 64
 NEVER = 1 << 40
@@ -47,6 +48,11 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _room(pieces: Iterable[str | bytes]) -> int:
+    """About the bytes that a table needs for pieces: each with its ids, of which it has no more than bytes."""
+    return sum(200 + 9 * len(p) for p in pieces)
+
+
 class Vocabulary:
     """Token bytes, merge ranks, and the byte pairs that occur inside tokens."""
 
@@ -69,6 +75,7 @@ class Vocabulary:
         self.pieces = regex.compile(PATTERN).findall
         self.by_piece: dict[str, tuple[int, ...]] = {}
         self.by_fragment: dict[bytes, tuple[int, ...]] = {}
+        self.piece_room = self.fragment_room = 0
 
     def fragments(self, piece: bytes) -> list[bytes]:
         """``piece`` cut at every forced boundary."""
@@ -144,9 +151,11 @@ class Vocabulary:
         """Ids of pieces: each is cut at its forced boundaries, fragments are encoded on their own."""
         cut = {p: self.fragments(p.encode()) for p in pieces}
         new = list({f for fragments in cut.values() for f in fragments} - self.by_fragment.keys())
-        if len(self.by_fragment) + len(new) > MEMO:
+        if self.fragment_room > MEMO:
             self.by_fragment.clear()
+            self.fragment_room = 0
             new = list({f for fragments in cut.values() for f in fragments})
+        self.fragment_room += _room(new)
         new.sort(key=len)
         short = bisect_right(new, LONG, key=len)
         for start in range(0, short, 4096):  # fragments of like length together
@@ -161,9 +170,11 @@ class Vocabulary:
         split = [self.added_at.split(t) if self.added_at else [t] for t in texts]
         cut = [[p if p in self.added else self.pieces(p) for p in parts] for parts in split]
         new = {p for parts in cut for part in parts if not isinstance(part, str) for p in part} - self.by_piece.keys()
-        if len(self.by_piece) + len(new) > MEMO:
+        if self.piece_room > MEMO:
             self.by_piece.clear()
+            self.piece_room = 0
             new = {p for parts in cut for part in parts if not isinstance(part, str) for p in part}
+        self.piece_room += _room(new)
         self.by_piece.update(self.learn(new))
         known = self.by_piece.__getitem__
         out = []
@@ -191,6 +202,19 @@ def _loaded(text: str) -> Vocabulary:
     return _LOADED[text]
 
 
+def _parts(values: pa.Array, rows: int = 512, size: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """(start, rows) of parts of a column, of at most ``size`` bytes or ids if more than one row."""
+    sizes = (pc.binary_length(values) if pa.types.is_string(values.type) or pa.types.is_large_string(values.type) else pc.list_value_length(values)).fill_null(0).to_pylist()
+    start = held = 0
+    for i, n in enumerate(sizes):
+        if i > start and (held + n > size or i - start == rows):
+            yield start, i - start
+            start, held = i, 0
+        held += n
+    if sizes:
+        yield start, len(sizes) - start
+
+
 def _mapped(df: DataFrame, vocabulary: str, source: str, added: list[T.StructField], f) -> DataFrame:
     """``df`` with the fields ``added``, made from column ``source`` by ``f(vocabulary, values)``."""
     names = {a.name.lower() for a in added}
@@ -204,8 +228,8 @@ def _mapped(df: DataFrame, vocabulary: str, source: str, added: list[T.StructFie
         v = _loaded(shared.value)
         for batch in batches:
             at = batch.schema.names.index(source)
-            for start in range(0, batch.num_rows, 512):  # small batches keep long texts within bounds
-                part = batch.slice(start, 512)
+            for start, rows in _parts(batch.column(at)):
+                part = batch.slice(start, rows)
                 made = f(v, part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *(a.name for a in added)])
 

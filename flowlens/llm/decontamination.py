@@ -9,15 +9,18 @@ longest common subsequence of words: the item is found at ``full`` of its words,
 them if its answer, its last ``answer`` words, is there in full as well. Reordered words lower the
 first measure, replaced words both, so that paraphrases pass only with the answer kept.
 
-Words in more than ``share`` of the passages say little and are left out of the matrix, save the rarest
-of each item; the check counts all words. Frequencies and the factorisation cover every passage of every document; nothing is sampled. Items
-are taken in blocks of ``items``, which bounds what is sent to all tasks. Documents are read once for
-each block and kept as word numbers in the shared folder; nothing but sums is shuffled.
-
-Defined results: null text counts as empty; items without words find nothing; rows with a null id
+Frequencies and the factorisation cover every word and every passage of every document; nothing is sampled. A
+window is only projected if its region holds one of the rarest words of some item, so many of each item that a
+common subsequence of ``part`` of its words must use one of them: no match is lost by that. Items are taken in
+blocks of at most ``items`` with at most ``cells`` pairs of item and word, which bounds what is sent to all
+tasks. Documents are read once for each block and kept as word numbers in the shared folder; nothing but sums is
+shuffled, one table of them for each task that runs at once.
+
+Items of fewer than ``short`` words are found only where all their words follow each other. Defined results: null
+text counts as empty; items without words find nothing; rows with a null id
 take part under that id. Repeated items are items of their own. Repeated documents are found each.
 Result: (doc_id, item_id, start_word, end_word, lcs, answer_found, cosine), one row for each document
-and item. Other columns are not carried. Without documents or items there are no rows.
+and item. Other columns are not read, whatever their names. Without documents or items there are no rows.
 """
 
 from __future__ import annotations
@@ -30,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import materialise, text_or_empty
+from flowlens.llm.common import materialise, text_or_empty, unused
 
 WORD = re.compile(r"\w+")
-#: Words of a block; windows are 2, 4 or 8 blocks and move by 1, 1 or 2 blocks.
+#: Words of a block; windows are so many blocks and move by so many. An item takes the least that holds it.
 BLOCK = 8
-SCALES = ((2, 1), (4, 1), (8, 2))
+SCALES = ((2, 1), (4, 1), (8, 2), (16, 4), (32, 8), (64, 16))
 SCHEMA = "doc_id bigint, item_id bigint, start_word int, end_word int, lcs double, answer_found boolean, cosine double"
 
 
@@ -86,10 +89,10 @@ def _first_blocks(offsets: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(-(-np.diff(offsets) // BLOCK))])
 
 
-def _blocks(words: np.ndarray, offsets: np.ndarray, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words that count, their block, first block of each row); ``kept`` tells which words count."""
+def _blocks(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words of the benchmark, their block, first block of each row)."""
     first = _first_blocks(offsets)
-    at = np.flatnonzero(words >= 0 if kept is None else np.append(kept, False)[words])  # -1 is the last entry
+    at = np.flatnonzero(words >= 0)
     row = np.searchsorted(offsets, at, side="right") - 1
     return words[at], first[row] + (at - offsets[row]) // BLOCK, first
 
@@ -132,30 +135,27 @@ def document_frequencies(rows: DataFrame, n_words: int) -> tuple[np.ndarray, int
     return out, passages
 
 
-def informative(counts: np.ndarray, passages: int, items: list[list[int]], share: float, always: int, least: int) -> np.ndarray:
-    """Which words count: those in at most ``share`` of the passages, or at most ``always`` of them, and
-    of each item the ``least`` rarest."""
-    kept = counts <= max(always, share * passages)
-    for words in items:
-        kept[sorted(set(words), key=lambda w: (counts[w], w))[:least]] = True
-    return kept
+def certain_words(counts: np.ndarray, words: list[int], part: float) -> list[int]:
+    """The rarest words of an item, so many that no ``part`` of it can do without all of them."""
+    ordered = sorted(words, key=lambda w: (counts[w], w))
+    return ordered[: int((1 - part) * len(words) + 1e-9) + 1]
 
 
-def latent_space(rows: DataFrame, idf: np.ndarray, kept: np.ndarray, rank: int, seed: int = 3) -> np.ndarray:
+def latent_space(rows: DataFrame, idf: np.ndarray, rank: int, seed: int = 3) -> np.ndarray:
     """Leading right singular vectors of the passages' TF-IDF matrix, times idf: a row for each word."""
     n = len(idf)
     rank = min(rank, n)
     draw = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, rank)))[0]
     weighted = (draw * idf[:, None]).astype(np.float32)
-    shared = rows.sparkSession.sparkContext.broadcast((weighted, kept))
-    per = 256
+    context = rows.sparkSession.sparkContext
+    shared, per = context.broadcast(weighted), 256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w0, kept = shared.value
+        w0 = shared.value
         total = np.zeros(w0.shape, np.float64)
         for batch in batches:
             words, offsets = _flat(batch)
-            w, b, first = _blocks(words, offsets, kept)
+            w, b, first = _blocks(words, offsets)
             passages = _sums(w0[w], b, int(first[-1]))
             order = np.argsort(w, kind="stable")
             total += _sums(passages[b[order]], w[order], n)
@@ -167,8 +167,8 @@ def latent_space(rows: DataFrame, idf: np.ndarray, kept: np.ndarray, rank: int,
         out["sums"] = [np.sum([np.frombuffer(x) for x in group["sums"]], axis=0).tobytes()]
         return out
 
-    # each task sends one table of words by rank; they are added by parts of it
-    parts = rows.select("words").coalesce(64).mapInArrow(run, "part int, sums binary").groupBy("part").applyInPandas(add, "part int, sums binary").collect()
+    # each task sends one table of words by rank, so that there are no more tasks than run at once in four waves
+    parts = rows.select("words").coalesce(4 * context.defaultParallelism).mapInArrow(run, "part int, sums binary").groupBy("part").applyInPandas(add, "part int, sums binary").collect()
     product = np.concatenate([np.frombuffer(r["sums"]).reshape(-1, rank) for r in sorted(parts, key=lambda r: r["part"])]) * idf[:, None] if parts else np.zeros((n, rank))
     shift = 1e-7 * max(np.linalg.norm(product), 1e-30)
     shifted = product + shift * draw
@@ -213,32 +213,49 @@ class Targets:
         return np.concatenate(good) if good else left
 
 
-def find(rows: DataFrame, items: list[tuple[int, list[int]]], space: np.ndarray, kept: np.ndarray, cosine: float, full: float, part: float, answer: int) -> DataFrame:
+def _runs(item: list[int], region: list[int]) -> bool:
+    """Whether all words of a short item follow each other somewhere."""
+    n = len(item)
+    return any(region[i : i + n] == item for i in range(len(region) - n + 1))
+
+
+def find(rows: DataFrame, items: list[tuple[int, list[int]]], space: np.ndarray, counts: np.ndarray, cosine: float, full: float, part: float, answer: int, short: int) -> DataFrame:
     """Candidates by cosine and their checks, for one block of items."""
     sizes = [size * BLOCK for size, _ in SCALES]
     scale_of = [next((s for s, n in enumerate(sizes) if len(w) <= n), len(sizes) - 1) for _, w in items]
     by_scale = [Targets([i for i, t in enumerate(scale_of) if t == s], items, space) for s in range(len(SCALES))]
+    certain = []
+    for t in by_scale:
+        held = np.zeros(len(counts) + 1, bool)  # the last entry is for unknown words
+        held[[w for i in t.chosen for w in certain_words(counts, items[i][1], part)]] = True
+        certain.append(held)
     # an item beyond the largest window is sought in a region as much longer
     spare = [max([BLOCK, size // 2, *(len(items[i][1]) for i in t.chosen if len(items[i][1]) > size)]) for size, t in zip(sizes, by_scale, strict=True)]
-    shared = rows.sparkSession.sparkContext.broadcast((items, space, kept, by_scale))
+    shared = rows.sparkSession.sparkContext.broadcast((items, space, certain, by_scale))
 
     def candidates(words: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
         """(row, item, first word, last word, cosine) of pairs that can pass the check."""
-        _, space, kept, by_scale = shared.value
-        w, b, first = _blocks(words, offsets, kept)
+        _, space, certain, by_scale = shared.value
+        w, b, first = _blocks(words, offsets)
         n_blocks = int(first[-1])
-        sums = np.zeros((n_blocks + 1, space.shape[1]))
-        np.cumsum(_sums(space[w], b, n_blocks), axis=0, out=sums[1:])
-        count = np.concatenate([[0], np.cumsum(np.bincount(b, minlength=n_blocks))])
         row_of = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+        low, high = first[row_of], first[row_of + 1]
         padded = np.append(words, -1)
-        for (size, step), targets, margin in zip(SCALES, by_scale, spare, strict=True):
-            if not targets.chosen:
-                continue
-            start = np.flatnonzero((np.arange(n_blocks) - first[row_of]) % step == 0)
-            end = np.minimum(start + size, first[row_of[start] + 1])
-            some = count[end] - count[start] > 0
-            start, end = start[some], end[some]
+        plans, live = [], np.zeros(n_blocks + 1, np.int64)
+        for (size, step), targets, margin, held in zip(SCALES, by_scale, spare, certain, strict=True):
+            start = np.flatnonzero((np.arange(n_blocks) - low) % step == 0) if targets.chosen else np.zeros(0, np.int64)
+            if len(start):
+                count = np.concatenate([[0], np.cumsum(np.bincount(b[held[w]], minlength=n_blocks))])
+                end, wide = np.minimum(start + size, high[start]), -(-margin // BLOCK)
+                some = count[np.minimum(end + wide, high[start])] > count[np.maximum(start - wide, low[start])]
+                start, end = start[some], end[some]
+                np.add.at(live, start, 1)
+                np.add.at(live, end, -1)
+                plans.append((size, targets, margin, start, end))
+        used = np.cumsum(live)[b] > 0
+        sums = np.zeros((n_blocks + 1, space.shape[1]))
+        np.cumsum(_sums(space[w[used]], b[used], n_blocks), axis=0, out=sums[1:])
+        for size, targets, margin, start, end in plans:
             for k in range(0, len(start), 8192):
                 s, e = start[k : k + 8192], end[k : k + 8192]
                 near = _unit((sums[e] - sums[s]).astype(np.float32)) @ targets.units.T
@@ -269,7 +286,7 @@ def find(rows: DataFrame, items: list[tuple[int, list[int]]], space: np.ndarray,
                     region = words[offsets[r] + lo : offsets[r] + hi].tolist()
                     target = items[item][1]
                     share = common_subsequence(target, region) / len(target)
-                    if share < part or (known is not None and share <= known[0]):
+                    if share < part or (known is not None and share <= known[0]) or (len(target) < short and not _runs(target, region)):
                         continue
                     last = target[-answer:]
                     there = common_subsequence(last, region) == len(last)
@@ -283,31 +300,37 @@ def find(rows: DataFrame, items: list[tuple[int, list[int]]], space: np.ndarray,
     return rows.mapInArrow(run, SCHEMA)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", items: int = 5000, rank: int = 64, cosine: float = 0.4, full: float = 0.8, part: float = 0.6, answer: int = 8, share: float = 0.002, always: int = 20, least: int = 6) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", items: int = 5000, rank: int = 64, cosine: float = 0.4, full: float = 0.8, part: float = 0.6, answer: int = 8, short: int = 8, cells: int = 32_000_000) -> DataFrame:
     """Documents that hold items of the benchmark."""
-    spark = docs.sparkSession
-    blocks: list[list[tuple[int, list[str]]]] = [[]]
-    for r in benchmark.select("item_id", text_or_empty("text").alias("text")).orderBy("item_id", "text").toLocalIterator():
-        if found := words_of(r["text"]):
-            if len(blocks[-1]) >= items:
-                blocks.append([])
-            blocks[-1].append((r["item_id"], found))
-    out = spark.createDataFrame([], SCHEMA)
-    for block in blocks:
-        if not block:
-            continue
+    out = docs.sparkSession.createDataFrame([], SCHEMA)
+    for block in _item_blocks(benchmark, items, cells):
         numbers = {w: i for i, w in enumerate(sorted({w for _, ws in block for w in ws}))}
         rows = materialise(encoded(docs, numbers, id_col, text), "encoded")
         counts, passages = document_frequencies(rows, len(numbers))
         numbered = [(i, [numbers[w] for w in ws]) for i, ws in block]
-        kept = informative(counts, passages, [ws for _, ws in numbered], share, always, least)
-        idf = np.where(kept, np.log((passages + 1) / (counts + 1)) + 1e-3, 0.0)
-        space = latent_space(rows, idf, kept, rank)
-        out = out.union(find(rows, numbered, space, kept, cosine, full, part, answer))
+        idf = np.log((passages + 1) / (counts + 1)) + 1e-3
+        space = latent_space(rows, idf, rank)
+        out = out.union(find(rows, numbered, space, counts, cosine, full, part, answer, short))
     return out
 
 
+def _item_blocks(benchmark: DataFrame, items: int, cells: int) -> Iterator[list[tuple[int, list[str]]]]:
+    """Items with words in blocks of bounded size; one block is held at a time."""
+    block: list[tuple[int, list[str]]] = []
+    words: set[str] = set()
+    for r in benchmark.select("item_id", text_or_empty("text").alias("text")).orderBy("item_id", "text").toLocalIterator():
+        if found := words_of(r["text"]):
+            if block and (len(block) >= items or (len(block) + 1) * len(words | set(found)) > cells):
+                yield block
+                block, words = [], set()
+            block.append((r["item_id"], found))
+            words.update(found)
+    if block:
+        yield block
+
+
 def without_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` whose document holds no item."""
-    found = matches(docs, benchmark, id_col, text, **settings).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col("_hit")), "left_anti").select(docs.columns)
+    (hit,) = unused(docs.columns, "hit")
+    found = matches(docs, benchmark, id_col, text, **settings).select(F.col("doc_id").alias(hit)).distinct()
+    return docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col(hit)), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Each step is a grouped minimum (combined before the shuffle) and an equi-join, so that a node with
-very many neighbours is never gathered in one task. Edges go to a table in the shared folder after
+Each step is a grouped minimum (combined before the shuffle) and an equi-join that deals nodes with very many
+neighbours to several tasks, so that a hub is never gathered in one. Edges go to a table in the shared folder after
 every round. The number of rounds grows with the logarithm of the longest path.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import materialise
+from flowlens.llm.common import materialise, spread_join
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -23,13 +23,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each neighbour above a node moves to the node's smallest neighbour (or to the node)."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+    return spread_join(edges, least, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its neighbours below it move to the smallest of them. Edges have u < v."""
     least = edges.groupBy("v").agg(F.min("u").alias("m"))
-    moved = edges.join(least, "v").where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))
+    moved = spread_join(edges, least, "v").where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))
     return moved.union(least.select(F.col("m").alias("u"), "v")).distinct()
 
 

@@ -1,8 +1,13 @@
-"""Public licence texts by SPDX identifier, as published, without their copyright lines.
+"""Public licence texts by SPDX identifier, verbatim as published.
 
-Other texts can be given to the operator as a table.
+Short ones stand here without their title and copyright lines, which the canonical form drops anyway; long ones
+are files in ``license_files``. Other texts can be given to the operator as a table.
 """
 
+from pathlib import Path
+
+FILES = Path(__file__).with_name("license_files")
+
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -57,20 +62,35 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 For more information, please refer to <https://unlicense.org/>
 """
 
-KNOWN = {
-    "0BSD": ZERO_BSD,
-    "BSD-2-Clause": BSD_CONDITIONS + BSD_DISCLAIMER,
-    "BSD-3-Clause": BSD_CONDITIONS + BSD_ENDORSEMENT + BSD_DISCLAIMER,
-    "ISC": ISC,
-    "MIT": MIT,
-    "Unlicense": UNLICENSE,
-    "Zlib": ZLIB,
-}
-
-#: Lines by which texts state a licence; a text that is such a line and no more is that licence's notice.
-NOTICES = {
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT-notice": "Released under the MIT License.",
-}
+BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+
+#: What ends the terms proper; what follows tells how to apply them and is often left out.
+END = "END OF TERMS AND CONDITIONS"
+
+
+def known() -> list[tuple[str, str]]:
+    """(SPDX identifier, text): each published text, and that of its terms alone where an appendix follows."""
+    out = [
+        ("0BSD", ZERO_BSD),
+        ("BSD-2-Clause", BSD_CONDITIONS + BSD_DISCLAIMER),
+        ("BSD-3-Clause", BSD_CONDITIONS + BSD_ENDORSEMENT + BSD_DISCLAIMER),
+        ("BSL-1.0", BOOST),
+        ("ISC", ISC),
+        ("MIT", MIT),
+        ("Unlicense", UNLICENSE),
+        ("Zlib", ZLIB),
+    ]
+    for path in sorted(FILES.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        out.append((path.stem, text))
+        if END in text:
+            terms = text[: text.index(END)]
+            out += [(path.stem, terms), (path.stem, terms + END)]
+    return out

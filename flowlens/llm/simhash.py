@@ -12,7 +12,9 @@ are separate groups, and each compares its members in memory and returns a spann
 links, not the links. So no bucket is gathered whole and no pairs are written out.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero and links like
-any other. Rows repeated with one doc_id give equal output rows. Other columns are not carried.
+any other. Rows repeated with one doc_id give a row each. Rows with a null id are linked like others, never dropped,
+and never give a component its name, unless it has no other id. Other columns are not read, whatever their names.
+Crowded fingerprints and buckets are dealt to several tasks where they are joined. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import materialise, text_or_empty
+from flowlens.llm.common import CROWDED, LEAST, materialise, spread_join, text_or_empty, unused
 from flowlens.llm.graph import connected_components
 
 SEED = 42
@@ -108,7 +110,11 @@ def near_links(prints: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFr
     buckets = materialise(buckets, "buckets")
     pairs = buckets.where("n = 2").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).select("u", "v")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    large = entries.join(buckets.where("n > 2").select("mask", "key", blocks.alias("blocks")), ["mask", "key"])
+    sized = buckets.where("n > 2").select("mask", "key", "n", blocks.alias("blocks"))
+    per = max(LEAST, buckets.agg(F.sum("n")).first()[0] or 0) // CROWDED + LEAST
+    # fewer than CROWDED buckets are so large: they go to all tasks, so that none of them is one task's
+    crowded, rest = F.broadcast(sized.where(F.col("n") > per).drop("n")), sized.where(F.col("n") <= per).drop("n")
+    large = entries.join(crowded, ["mask", "key"]).unionByName(entries.join(rest, ["mask", "key"]))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     large = large.select("mask", "key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     large = large.select("mask", "key", "fp", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
@@ -131,14 +137,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
     smallest = named.groupBy("part").agg(F.min("least").alias("component"))
     labels = materialise(named.join(smallest, "part").select("fp", "component"), "labels")
-    return prints.join(labels, "fp").select("id", "fp", "component")
+    return spread_join(prints, labels, "fp").select("id", "fp", "component")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` without all but the first document of each component."""
     found = near_duplicates(df, id_col, text)
-    drop = found.where("id <> component").select(F.col("id").alias(id_col))
-    return df.join(drop, id_col, "left_anti").select(df.columns)
+    (gone,) = unused(df.columns, "gone")
+    drop = found.where("id <> component").select(F.col("id").alias(gone)).distinct()
+    return df.join(drop, F.col(f"`{id_col}`") == F.col(gone), "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def digest_columns(found: DataFrame) -> DataFrame:

@@ -6,13 +6,14 @@ out-of-fold: each fold's rows are scored by models fitted on the other folds, so
 see the errors that they will meet. Scoring feeds the probabilities of the final models.
 
 Training uses a bounded sample: at most ``sample`` labelled rows, by hash of the id, and words of at
-least ``min_docs`` of these rows, at most ``words`` of them; an L1 penalty keeps few weights. Scoring
+least ``min_docs`` of these rows; an L1 penalty keeps few weights. Scoring
 covers every row and its whole text, by MLlib's transformers inside the JVM.
 
 Defined results: null text counts as empty and, like any text without a word, is never toxic. Labels null in a category, or of unknown ids, are left
 out. A category with a single class in the sample gets that class as its probability. Repeated rows
-are scored each; repeated labels of an id count as often. Columns of ``df`` pass through; those named
-like an output column are replaced. An empty table gives an empty table.
+are scored each; repeated labels of an id count as often. Columns of ``df`` pass through, whatever their names; those
+named like an output column, in any letter case, are replaced (``non_toxic`` adds none and keeps all). An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -46,15 +47,17 @@ class Chain:
 
     def transform(self, df: DataFrame, text: str = "text") -> DataFrame:
         """Add one probability column for each category."""
-        names = {n for n, _ in self.models}
-        out = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in names | {"_words", "_x", "_features", "_p", "_r", "_c"}))
+        names = {n.lower() for n, _ in self.models}
+        kept = [c for c in df.columns if c.lower() not in names]
+        row = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row") if kept else F.lit(0).alias("_row")
+        out = df.select(row, words_of(f"`{text}`").alias("_words"))  # work columns stand beside the packed row only
         if self.vocabulary is None:
-            return out.select("*", *(F.lit(float(m)).alias(n) for n, m in self.models))
-        kept = out.columns
-        out = self.vocabulary.transform(out.withColumn("_words", words_of(f"`{text}`"))).drop("_words")
-        for i, (name, model) in enumerate(self.models):
-            out = _scored(_assembled(out, [n for n, _ in self.models[:i]]), model, name)
-        return out.select(*(F.col(f"`{c}`") for c in kept), *(n for n, _ in self.models))
+            out = out.select("_row", *(F.lit(float(m)).alias(n) for n, m in self.models))
+        else:
+            out = self.vocabulary.transform(out).drop("_words")
+            for i, (name, model) in enumerate(self.models):
+                out = _scored(_assembled(out, [n for n, _ in self.models[:i]]), model, name)
+        return out.select(*(F.col("_row").getField(c).alias(c) for c in kept), *(n for n, _ in self.models))
 
 
 def _assembled(df: DataFrame, earlier: list[str]) -> DataFrame:
@@ -78,7 +81,7 @@ def _fitted(df: DataFrame, label: str, rounds: int, penalty: float) -> LogisticR
     return LogisticRegression(featuresCol="_features", labelCol=label, maxIter=rounds, regParam=penalty, elasticNetParam=1.0, standardization=True, family="binomial").fit(rows)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, id_col: str = "doc_id", text: str = "text", sample: int = 8000, words: int = 10_000, min_docs: int = 10, folds: int = 2, rounds: int = 25, penalty: float = 2e-3) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, id_col: str = "doc_id", text: str = "text", sample: int = 8000, min_docs: int = 10, folds: int = 2, rounds: int = 25, penalty: float = 2e-3) -> Chain:
     """Fit a chain. ``categories``: output column to 0/1 label expression over ``labels``, in order."""
     categories = categories or {"p_low_quality": 1 - F.col("quality"), "p_toxic": F.col("toxic")}
     wanted = labels.select(F.col(id_col).alias("_id"), *(e.cast("double").alias(f"_y_{n}") for n, e in categories.items()))
@@ -86,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | No
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(chosen), "_id")  # at most ``sample`` rows
     rows = materialise(rows.withColumn("_words", words_of("_text")).drop("_text"), "labelled")
     known = rows.select(F.explode(F.array_distinct("_words")).alias("w")).groupBy("w").count().where(F.col("count") >= min_docs)
-    table = [r["w"] for r in known.orderBy(F.desc("count"), "w").limit(words).collect()]  # bounded by ``words``
+    table = [r["w"] for r in known.orderBy(F.desc("count"), "w").collect()]  # words of the bounded sample
     if not table:
         means = rows.agg(*(F.avg(f"_y_{n}") for n in categories)).first()
         return Chain(None, [(n, float(m or 0)) for n, m in zip(categories, means, strict=True)])
@@ -123,4 +126,12 @@ def toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.35, text: str
     """
     chain = train(docs, labels, text=text, **settings)
     said = text_or_empty(f"`{text}`").rlike(r"[\p{L}\p{N}]")
-    return chain.transform(docs.drop("toxic"), text).withColumn("toxic", said & (F.col("p_toxic") >= threshold))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "toxic"]
+    return chain.transform(docs.select(*kept), text).withColumn("toxic", said & (F.col("p_toxic") >= threshold))
+
+
+def non_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` that are not toxic, with their own columns and no others."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    kept = toxic(packed, labels, **settings).where("NOT toxic")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
