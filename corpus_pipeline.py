@@ -16,7 +16,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain holds toxic go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.toxic(docs, labels).where("NOT toxic").select(docs.columns)
+    return toxicity.non_toxic(docs, labels)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text that is left, checked by decoding."""
-    found = bpe.round_trip(docs.select("doc_id", "text"), queries.BYTE_BPE)
+    found = bpe.round_trip(docs.select("doc_id", "text"), queries.byte_bpe())
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", same.alias("round_trip"))
 
