@@ -71,15 +71,16 @@ def field_differences(pairs: DataFrame, events: DataFrame, fields: list[str], le
     return long.select(*pairs.columns, "field", gap.alias("largest_difference"))
 
 
-def knn(queries: DataFrame, pool: DataFrame, k: int, id_col: str, vector: str, exclude_self: bool = True, query_block: int = 2000, slices: int = 64) -> DataFrame:
+def knn(queries: DataFrame, pool: DataFrame, k: int, id_col: str, vector: str, exclude_self: bool = True, query_block: int = 2000, slice_rows: int = 50_000) -> DataFrame:
     """The k exact Euclidean neighbours of each query, ties by id.
 
-    The stated query set is cut into blocks of ``query_block``; each meets every slice of the pool once,
-    as a matrix product inside one task, which returns k rows for a query. So neither side is sent whole
-    to a task and no distances are written out.
+    The stated query set is cut into blocks of ``query_block`` and the pool into slices of ``slice_rows``; each
+    block meets every slice once, in one task, which returns k rows for a query. A matrix product gives squared
+    distances; those near the k least are computed again exactly. So neither side is sent whole to a task and no
+    distances are written out.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // query_block))
+    blocks = max(1, -(-queries.count() // query_block))
+    slices = max(1, -(-pool.count() // slice_rows))
     q = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v")).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("ps", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     p = pool.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v")).withColumn("ps", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
@@ -88,12 +89,20 @@ def knn(queries: DataFrame, pool: DataFrame, k: int, id_col: str, vector: str, e
         if len(a) and len(b):
             b = b.sort_values("id", kind="stable")
             ids, x = b["id"].to_numpy(), np.stack(b["v"].to_numpy()).astype(np.float64)
-            for i, v in zip(a["id"], a["v"], strict=True):
-                d = np.sqrt(((x - np.asarray(v, np.float64)) ** 2).sum(axis=1))
-                if exclude_self:
-                    d = np.where(ids == i, np.inf, d)
-                at = np.argsort(d, kind="stable")[:k]
-                out += [(i, int(ids[j]), float(d[j])) for j in at if np.isfinite(d[j])]
+            lengths = (x**2).sum(axis=1)
+            for start in range(0, len(a), 256):
+                part = a.iloc[start : start + 256]
+                y = np.stack(part["v"].to_numpy()).astype(np.float64)
+                rough = lengths - 2 * (y @ x.T) + (y**2).sum(axis=1)[:, None]
+                for i, v, d in zip(part["id"], y, rough, strict=True):
+                    if exclude_self:
+                        d = np.where(ids == i, np.inf, d)
+                    at = np.flatnonzero(np.isfinite(d))
+                    if len(at) > k:
+                        floor = np.partition(d[at], k - 1)[k - 1]
+                        at = at[d[at] <= floor + 1e-9 * (float(lengths.max()) + float(v @ v))]
+                    exact = np.sqrt(((x[at] - v) ** 2).sum(axis=1))
+                    out += [(i, int(ids[at[j]]), float(exact[j])) for j in np.argsort(exact, kind="stable")[:k]]
         return pd.DataFrame(out, columns=["query_id", "neighbour_id", "distance"])
 
     found = q.groupBy("qb", "ps").cogroup(p.groupBy("qb", "ps")).applyInPandas(near, "query_id bigint, neighbour_id bigint, distance double")
@@ -110,27 +119,37 @@ def neighbour_profile(neighbours: DataFrame, labels: DataFrame, id_col: str, lab
     return out.withColumn("ratio", F.col("nearest_attack") / F.col("nearest_benign"))
 
 
+def _nearest_counts(wanted: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
+    """(on, ff, m): for each flow count ``ff`` of ``wanted`` the next entries (ff, tp_id) of ``found`` below and above.
+
+    Counts are cut into bins of their logarithm, of which 64-bit counts have about a thousand: order inside a bin is a
+    window over the bin, and what lies beyond it is carried over a table with a row for each bin.
+    """
+    binned = lambda t: t.withColumn("bin", F.floor(F.log2("ff") * 16))
+    entry = F.struct("ff", "tp_id")
+    rows = binned(found.select(*on, "ff", entry.alias("e"))).unionByName(binned(wanted.select(*on, "ff").distinct().withColumn("e", F.lit(None).cast("struct<ff:bigint,tp_id:bigint>"))))
+    edges = rows.groupBy(*on, "bin").agg(F.min("e").alias("first"), F.max("e").alias("last"))
+    order = Window.partitionBy(*on).orderBy("bin")
+    edges = edges.select(*on, "bin", F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("below"), F.first("first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("above"))
+    inner = Window.partitionBy(*on, "bin").orderBy("ff")
+    rows = rows.withColumn("lower", F.last("e", True).over(inner.rangeBetween(Window.unboundedPreceding, 0))).withColumn("upper", F.first("e", True).over(inner.rangeBetween(0, Window.unboundedFollowing)))
+    rows = rows.where("e IS NULL").join(edges, [*on, "bin"])
+    return rows.select(*on, "ff", F.explode(F.array(F.coalesce("lower", "below"), F.coalesce("upper", "above"))).alias("m")).where("m IS NOT NULL")
+
+
 def matched_controls(fn: DataFrame, tp: DataFrame, key: str = "sample_id") -> DataFrame:
     """For each missed positive the best detected one: same host, occupancy and flows within a factor
     of two; else same occupancy; else any. Cost is the difference of log2 flows, then the least id.
 
-    Candidates are reduced to the nearest flow counts of each (host, occupancy), (occupancy) and of all
-    before they are compared: for one missed row only the next lower and next higher count can win.
+    Both sides are reduced to the flow counts of each (host, occupancy), (occupancy) and of all before they
+    meet: for one count only the next lower and next higher one can win.
     """
-    a = fn.select(F.col(key).alias("fn_id"), F.col("source_ip").alias("fh"), F.col("active_buckets").alias("fa"), F.col("flows").alias("ff"))
-    b = tp.groupBy("source_ip", "active_buckets", "flows").agg(F.min(key).alias("tp_id"))
+    a = fn.select(F.col(key).alias("fn_id"), F.col("source_ip").alias("fh"), F.col("active_buckets").alias("fa"), F.col("flows").cast("bigint").alias("ff"))
+    b = tp.groupBy(F.col("source_ip").alias("fh"), F.col("active_buckets").alias("fa"), F.col("flows").cast("bigint").alias("ff")).agg(F.min(F.col(key).cast("bigint")).alias("tp_id"))
     tiers = []
     for tier, on in ((0, ["fh", "fa"]), (1, ["fa"]), (2, [])):
-        names = {"fh": "source_ip", "fa": "active_buckets"}
-        c = b.groupBy(*(F.col(names[o]).alias(o) for o in on), F.col("flows").alias("ff")).agg(F.min("tp_id").alias("tp_id"))
-        both = c.select(*on, "ff", "tp_id", F.lit(None).cast("bigint").alias("fn_id")).unionByName(a.select(*on, "ff", F.lit(None).cast("bigint").alias("tp_id"), "fn_id"))
-        part = Window.partitionBy(*on) if on else Window.partitionBy(F.lit(0))
-        entry = F.when(F.col("tp_id").isNotNull(), F.struct("ff", "tp_id"))
-        lower = F.last(entry, True).over(part.orderBy(F.col("ff"), F.col("fn_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
-        upper = F.first(entry, True).over(part.orderBy(F.col("ff"), F.col("fn_id").isNull()).rowsBetween(0, Window.unboundedFollowing))
-        rows = both.withColumn("_l", lower).withColumn("_u", upper).where("fn_id IS NOT NULL")
-        rows = rows.select("fn_id", "ff", F.explode(F.array("_l", "_u")).alias("m")).where("m IS NOT NULL")
-        rows = rows.withColumn("cost", F.abs(F.log2("ff") - F.log2("m.ff"))).withColumn("tier", F.lit(tier))
+        c = b.groupBy(*on, "ff").agg(F.min("tp_id").alias("tp_id"))
+        rows = a.join(_nearest_counts(a, c, on), [*on, "ff"]).select("fn_id", "m", F.abs(F.log2("ff") - F.log2("m.ff")).alias("cost"), F.lit(tier).alias("tier"))
         tiers.append(rows.where("cost <= 1") if tier == 0 else rows)
     union = tiers[0].unionByName(tiers[1]).unionByName(tiers[2])
     best = union.groupBy("fn_id").agg(F.min(F.struct("tier", F.round("cost", 12).alias("cost"), F.col("m.tp_id").alias("tp_id"))).alias("b"))

@@ -14,7 +14,7 @@ _SHARE = "avg(CASE WHEN {} THEN 1.0D ELSE 0.0D END)"
 _BINS = " + ".join(f"sum({b})" for b in PACKET_BINS)
 _DNS = "dns_query_id <> 0 OR dns_query_type <> 0 OR dns_ttl_answer <> 0"
 
-#: Features that are one aggregate over a bucket's flows, in SQL. ``prev_start`` is the start before.
+#: Features that are one aggregate over a bucket's flows, in SQL.
 PLAIN: dict[str, str] = {
     "flow_count": "count(*)",
     **{f"{c}_sum": f"sum(CAST({c} AS DOUBLE))" for c in ("in_bytes", "out_bytes", "in_pkts", "out_pkts")},
@@ -24,7 +24,6 @@ PLAIN: dict[str, str] = {
     "protocol_tcp_ratio": _SHARE.format("protocol = 6"),
     "protocol_udp_ratio": _SHARE.format("protocol = 17"),
     "protocol_other_ratio": _SHARE.format("protocol <> 6 AND protocol <> 17"),
-    "protocol_nunique": "count(DISTINCT protocol)",
     **{
         f"{p}_{f}_ratio": f"coalesce(avg(CASE WHEN protocol = 6 THEN CASE WHEN ({p}s & {bit}) <> 0 THEN 1.0D ELSE 0.0D END END), 0.0D)"
         for p in ("tcp_flag", "client_tcp_flag", "server_tcp_flag")
@@ -42,11 +41,13 @@ PLAIN: dict[str, str] = {
     **{f"{c}_ratio": f"CASE WHEN {_BINS} = 0 THEN 0.0D ELSE CAST(sum({c}) AS DOUBLE) / ({_BINS}) END" for c in PACKET_BINS},
     **{f"{c}_{s}": f"coalesce({a}(CASE WHEN protocol = 6 THEN {c} END), 0)" for c in ("tcp_win_max_in", "tcp_win_max_out") for s, a in (("mean", "avg"), ("max", "max"))},
     "flow_start_gap_mean_ms": "CASE WHEN count(*) = 1 THEN 0.0D ELSE CAST(max(flow_start_milliseconds) - min(flow_start_milliseconds) AS DOUBLE) / (count(*) - 1) END",
-    "flow_start_gap_max_ms": "coalesce(max(flow_start_milliseconds - prev_start), 0)",
     "flow_start_span_ms": "max(flow_start_milliseconds) - min(flow_start_milliseconds)",
 }
+#: The longest time between successive starts, by the flows' starts in order.
+LONGEST_GAP = "flow_start_gap_max_ms"
 #: Diversity features: field, value, eligible flows, and which of the four measures are kept.
 DIVERSE: dict[str, tuple[str, str, tuple[str, ...]]] = {
+    "protocol": ("protocol", "true", ("nunique",)),
     "l7": ("l7_proto", "true", ("nunique", "top1_ratio", "entropy")),
     "src_port": ("l4_src_port", "true", ("nunique", "reuse_ratio", "top1_ratio", "entropy")),
     "dst_port": ("l4_dst_port", "true", ("nunique", "reuse_ratio", "top1_ratio", "entropy")),
@@ -55,7 +56,26 @@ DIVERSE: dict[str, tuple[str, str, tuple[str, ...]]] = {
     "dst_ip": ("ipv4_dst_addr", "true", ("nunique", "reuse_ratio", "top1_ratio", "entropy")),
 }
 NAMED = {("l7", "nunique"): "l7_proto_nunique"}
-FEATURES = [*PLAIN, *(NAMED.get((f, s), f"{f}_{s}") for f, (_, _, kept) in DIVERSE.items() for s in kept)]
+#: The names of the 82 features in the order of a feature vector.
+FEATURES = (
+    "flow_count in_bytes_sum out_bytes_sum in_pkts_sum out_pkts_sum "
+    "duration_mean duration_min duration_max protocol_tcp_ratio protocol_udp_ratio protocol_other_ratio protocol_nunique "
+    "l7_proto_nunique l7_top1_ratio l7_entropy "
+    "src_port_nunique src_port_reuse_ratio src_port_top1_ratio src_port_entropy "
+    "dst_port_nunique dst_port_reuse_ratio dst_port_top1_ratio dst_port_entropy "
+    "tcp_flag_fin_ratio tcp_flag_syn_ratio tcp_flag_rst_ratio tcp_flag_psh_ratio tcp_flag_ack_ratio tcp_flag_urg_ratio tcp_flag_ece_ratio tcp_flag_cwr_ratio "
+    "client_tcp_flag_fin_ratio client_tcp_flag_syn_ratio client_tcp_flag_rst_ratio client_tcp_flag_psh_ratio client_tcp_flag_ack_ratio client_tcp_flag_urg_ratio client_tcp_flag_ece_ratio client_tcp_flag_cwr_ratio "
+    "server_tcp_flag_fin_ratio server_tcp_flag_syn_ratio server_tcp_flag_rst_ratio server_tcp_flag_psh_ratio server_tcp_flag_ack_ratio server_tcp_flag_ece_ratio server_tcp_flag_cwr_ratio "
+    "icmp_flow_ratio icmp_type_nunique icmp_type_top1_ratio icmp_type_entropy "
+    "dns_flow_ratio dns_query_type_nunique dns_query_type_top1_ratio dns_query_type_entropy "
+    "dst_ip_nunique dst_ip_reuse_ratio dst_ip_top1_ratio dst_ip_entropy "
+    "duration_in_mean duration_in_max duration_out_mean duration_out_max "
+    "min_ip_pkt_len_min min_ip_pkt_len_mean max_ip_pkt_len_mean max_ip_pkt_len_max "
+    "retransmitted_in_bytes_sum retransmitted_in_pkts_sum retransmitted_out_bytes_sum retransmitted_out_pkts_sum "
+    "num_pkts_up_to_128_bytes_ratio num_pkts_128_to_256_bytes_ratio num_pkts_256_to_512_bytes_ratio num_pkts_512_to_1024_bytes_ratio num_pkts_1024_to_1514_bytes_ratio "
+    "tcp_win_max_in_mean tcp_win_max_in_max tcp_win_max_out_mean tcp_win_max_out_max "
+    "flow_start_gap_mean_ms flow_start_gap_max_ms flow_start_span_ms"
+).split()
 
 
 def diversity(rows: DataFrame, keys: list[str], value: str, count: str = "n") -> DataFrame:
@@ -67,7 +87,7 @@ def diversity(rows: DataFrame, keys: list[str], value: str, count: str = "n") ->
 
 
 def bucket_diversity(events: DataFrame) -> DataFrame:
-    """AG4 of all six fields in one shuffle: (field, value) pairs are exploded and counted map-side."""
+    """AG4 of all seven fields in one shuffle: (field, value) pairs are exploded and counted map-side."""
     fields = F.array(*(F.when(F.expr(ok), F.struct(F.lit(f).alias("f"), F.col(c).cast("string").alias("v"))) for f, (c, ok, _) in DIVERSE.items()))
     pairs = events.select(*BUCKET, F.explode(fields).alias("p")).where("p IS NOT NULL")
     counts = pairs.groupBy(*BUCKET, "p.f", "p.v").agg(F.count("*").alias("n"))
@@ -79,11 +99,15 @@ def bucket_diversity(events: DataFrame) -> DataFrame:
 def bucket_stats(events: DataFrame) -> DataFrame:
     """AG5: the 82 numeric features of every active bucket, with flows, attack_flows and y_bucket.
 
-    The gap needs the flows of a bucket in order; the same shuffle serves the plain aggregates.
+    Plain features are one aggregate without distinct counts, so that it is combined before its shuffle. The
+    longest gap sorts distinct starts alone, by bucket; the join on the bucket keys reuses that partitioning.
     """
-    before = F.lag("flow_start_milliseconds").over(Window.partitionBy(*BUCKET).orderBy("flow_start_milliseconds"))
-    plain = events.withColumn("prev_start", before).groupBy(*BUCKET).agg(*(F.expr(x).cast("double").alias(n) for n, x in PLAIN.items()), F.count("*").alias("flows"), F.sum("label").alias("attack_flows"))
-    found = plain.join(bucket_diversity(events), BUCKET)
+    start = "flow_start_milliseconds"
+    plain = events.groupBy(*BUCKET).agg(*(F.expr(x).cast("double").alias(n) for n, x in PLAIN.items()), F.count("*").alias("flows"), F.sum("label").alias("attack_flows"))
+    starts = events.select(*BUCKET, start).distinct()
+    gap = F.col(start) - F.lag(start).over(Window.partitionBy(*BUCKET).orderBy(start))
+    gaps = starts.select(*BUCKET, gap.alias("gap")).groupBy(*BUCKET).agg(F.coalesce(F.max("gap"), F.lit(0)).cast("double").alias(LONGEST_GAP))
+    found = plain.join(bucket_diversity(events), BUCKET).join(gaps, BUCKET)
     return found.select(*BUCKET, *FEATURES, "flows", "attack_flows", (F.col("attack_flows") > 0).cast("int").alias("y_bucket"))
 
 

@@ -1,14 +1,16 @@
 """Evaluation of score tables (EV1-EV17). Rows: sample_id, y, score, primary_attack, source_host, and keys of a run.
 
 All measures start from counts by (run, score): ties are one block, and the ordered table has a row for
-each distinct score of a run, not for each sample.
+each distinct score of a run, not for each sample. It is dealt out by ranges of scores.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.operators.ordering import running_sums
+
 Z95 = 1.96
 
 
@@ -23,9 +25,9 @@ def score_curve(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def curve_of(counts: DataFrame, keys: list[str]) -> DataFrame:
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    out = counts.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "_P": F.sum("p").over(whole), "_N": F.sum("n").over(whole)})
+    whole = counts.groupBy(*keys).agg(F.sum("p").alias("_P"), F.sum("n").alias("_N"))
+    out = running_sums(counts, keys, [F.desc("score")], {"tp": F.col("p"), "fp": F.col("n")})
+    out = out.join(F.broadcast(whole), keys) if keys else out.crossJoin(F.broadcast(whole))  # a row for each run
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     return out.select(*keys, "score", "p", "n", "tp", "fp", share("tp", "_P").alias("tpr"), share("fp", "_N").alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.col("_P").alias("positives"), F.col("_N").alias("negatives"))
 

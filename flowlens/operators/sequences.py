@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.arrays import SEQ_KEY
 from flowlens.functions.grid import TemporalGrid, on_grid
+from flowlens.operators.ordering import numbered, running_sums
 
 KEYS = list(SEQ_KEY)
 
@@ -59,17 +60,9 @@ def primary_attack(events: DataFrame) -> DataFrame:
 def dense_ids(sequences: DataFrame, order: list[str] | None = None, name: str = "sequence_id") -> DataFrame:
     """1..N in (source, window) order.
 
-    Rows are dealt out by range and sorted; only the row count of each partition is summed before it,
-    so that no task sees all rows.
+    Rows are dealt out by range, so that no task sees all of them.
     """
-    order = order or KEYS
-    # written order and counts must come from one evaluation of the range partitioning
-    ranged = sequences.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    joined = ranged.withColumn("_row", within).join(F.broadcast(before), "_part")  # a row for each partition
-    return joined.withColumn(name, (F.col("_before") + F.col("_row")).cast("bigint")).drop("_part", "_before", "_row")
+    return numbered(sequences, [], order or KEYS, name)
 
 
 def join_sequences(events: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -144,8 +137,7 @@ def error_concentration(errors: DataFrame, fractions: list[float], loss: str = "
     Losses are grouped before the running sums, so that the ordered table is one row for each value.
     """
     values = errors.groupBy(loss).agg(F.count("*").alias("c"))
-    w = Window.orderBy(F.desc(loss))
-    runs = values.withColumn("_to", F.sum("c").over(w)).withColumn("_from", F.col("_to") - F.col("c"))
+    runs = running_sums(values, [], [F.desc(loss)], {"_to": F.col("c")}).withColumn("_from", F.col("_to") - F.col("c"))
     total = errors.agg(F.count("*").alias("n"), F.sum(loss).alias("total"))
     cuts = errors.sparkSession.createDataFrame([(float(f),) for f in fractions], "fraction double").crossJoin(total).withColumn("rows", F.ceil(F.col("fraction") * F.col("n")))
     held = runs.crossJoin(F.broadcast(cuts)).where("_from < rows")  # a row for each fraction

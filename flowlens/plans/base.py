@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.grid import TemporalGrid
 from flowlens.functions.scalars import seeded_key
+from flowlens.operators import ordering
 from flowlens.operators import sequences as sq
 from flowlens.operators import split as sp
 from flowlens.sources.flows import event_flows, view_sql
@@ -36,13 +37,26 @@ _PARTS = {
     "fold": f"SELECT *, CASE WHEN k < 6 THEN 0 WHEN k < 8 THEN 1 ELSE 2 END AS fold FROM (SELECT *, {key_sql(f'{chr(39)}1:{chr(39)} || (window_start_ms - window_start_ms % {BLOCK})')} % 10 AS k FROM ids)",
     "bounds": "SELECT window_start_ms AS boundary_ms FROM (SELECT window_start_ms, fold, lag(fold) OVER (ORDER BY window_start_ms) AS pf FROM (SELECT DISTINCT window_start_ms, fold FROM fold)) WHERE pf <> fold",
     "kept": f"SELECT f.* EXCLUDE (fold, k), f.fold AS assigned, n.near + 2 * c.cross_ AS reason, CASE WHEN n.near + 2 * c.cross_ <> 0 THEN 3 ELSE f.fold END AS fold FROM fold f JOIN (SELECT source_ip, window_start_ms, CAST(EXISTS (SELECT 1 FROM bounds b WHERE b.boundary_ms > x.window_start_ms - {EMBARGO} AND b.boundary_ms < greatest(x.window_start_ms + {GRID.window_ms}, x.max_end_ms + 1) + {EMBARGO}) AS INTEGER) AS near FROM fold x) n USING (source_ip, window_start_ms) JOIN (SELECT source_ip, window_start_ms, CAST(EXISTS (SELECT 1 FROM (SELECT DISTINCT window_start_ms AS o, fold AS of_ FROM fold) o WHERE o.o > x.first_ms - {GRID.window_ms} AND o.o <= x.max_end_ms AND o.of_ <> x.fold) AS INTEGER) AS cross_ FROM fold x) c USING (source_ip, window_start_ms)",
-    "runs": "SELECT * FROM (VALUES ('base', 1), ('base', 2), ('base', 3), ('alt', 1), ('alt', 2), ('alt', 3)) AS t(model, seed)",
-    "pred": "SELECT model, seed, sequence_id AS sample_id, source_ip AS source_host, window_start_ms, flows, attack_flows, active_buckets, primary_attack, y, CAST((60 * (h % 10000)) // 10000 + 40 * y AS DOUBLE) / 100 AS score FROM (SELECT *, CASE WHEN attack_flows > 0 THEN 1 ELSE 0 END AS y, " + key_sql("model || ':' || seed || ':' || sequence_id") + " AS h FROM ids, runs)",
+    "runs": "SELECT * FROM (VALUES ('base', 1), ('base', 2), ('base', 3), ('alt', 1), ('alt', 2), ('alt', 3), ('fine', 1), ('fine', 2)) AS t(model, seed)",
+    "pred": "SELECT model, seed, sequence_id AS sample_id, source_ip AS source_host, window_start_ms, flows, attack_flows, active_buckets, primary_attack, y, CASE WHEN model = 'fine' THEN CAST(h % 600000 + 400000 * y AS DOUBLE) / 1000000 ELSE CAST((60 * (h % 10000)) // 10000 + 40 * y AS DOUBLE) / 100 END AS score FROM (SELECT *, CASE WHEN attack_flows > 0 THEN 1 ELSE 0 END AS y, " + key_sql("model || ':' || seed || ':' || sequence_id") + " AS h FROM ids, runs)",
     "counts": "SELECT model, seed, score, CAST(sum(y) AS BIGINT) AS p, CAST(sum(1 - y) AS BIGINT) AS n FROM pred GROUP BY 1, 2, 3",
     "curve": "SELECT *, tp * 1.0 / positives AS tpr, fp * 1.0 / negatives AS fpr, tp * 1.0 / (tp + fp) AS precision FROM (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER (PARTITION BY model, seed) AS positives, sum(n) OVER (PARTITION BY model, seed) AS negatives FROM counts WINDOW w AS (PARTITION BY model, seed ORDER BY score DESC ROWS UNBOUNDED PRECEDING))",
     "points": "SELECT * FROM (VALUES ('fpr_1pct', 0.01), ('fpr_0.1pct', 0.001)) AS t(point, budget)",
     "thr": "SELECT model, seed, point, arg_max(score, tpr * 1000 + score) AS threshold FROM (SELECT c.*, point FROM curve c, points WHERE fpr <= budget) GROUP BY 1, 2, 3 HAVING max(tpr) > 0 UNION ALL SELECT model, seed, 'default_0.5', 0.5 FROM runs",
 }
+
+
+def curve_ctes(rows: str, tag: str) -> str:
+    """CTEs c<tag>, curve<tag> and thr<tag> (with reject_all) of the score table ``rows``."""
+    return (
+        f"c{tag} AS (SELECT model, seed, score, CAST(sum(y) AS BIGINT) AS p, CAST(sum(1 - y) AS BIGINT) AS n FROM {rows} GROUP BY 1, 2, 3), "
+        f"curve{tag} AS (SELECT *, tp * 1.0 / positives AS tpr, fp * 1.0 / negatives AS fpr, tp * 1.0 / (tp + fp) AS precision FROM (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER (PARTITION BY model, seed) AS positives, sum(n) OVER (PARTITION BY model, seed) AS negatives FROM c{tag} WINDOW w AS (PARTITION BY model, seed ORDER BY score DESC ROWS UNBOUNDED PRECEDING))), "
+        f"top{tag} AS (SELECT model, seed, max(score) AS top FROM c{tag} GROUP BY 1, 2), "
+        f"best{tag} AS (SELECT model, seed, point, arg_max(score, tpr * 1000 + score) AS score, max(tpr) AS tpr FROM curve{tag}, points WHERE fpr <= budget GROUP BY 1, 2, 3), "
+        f"thr{tag} AS (SELECT t.model, t.seed, p.point, CASE WHEN coalesce(b.tpr, 0) = 0 THEN t.top + abs(t.top) * 2.220446049250313e-16 ELSE b.score END AS threshold, coalesce(b.tpr, 0) = 0 AS reject_all FROM top{tag} t CROSS JOIN points p LEFT JOIN best{tag} b ON b.model = t.model AND b.seed = t.seed AND b.point = p.point UNION ALL SELECT model, seed, 'default_0.5', 0.5, false FROM top{tag})"
+    )
+
+
 _NEEDS = {"g": ["flows"], "seq0": ["g"], "att": ["g"], "prim": ["att"], "seq": ["seq0", "prim"], "ids": ["seq"], "fold": ["ids"], "bounds": ["fold"], "kept": ["fold", "bounds"], "pred": ["ids", "runs"], "counts": ["pred"], "curve": ["counts"], "thr": ["curve", "points", "runs"]}
 
 
@@ -66,7 +80,7 @@ _SHARED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def shared(f):
-    """Keep a view for the queries of one session: computed once, recomputed if an executor is lost."""
+    """Keep a view for the queries of one session: computed once, recomputed if an executor is lost, until ``release``."""
 
     def get(spark: SparkSession, sf: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf, f.__name__)
@@ -77,6 +91,13 @@ def shared(f):
     return get
 
 
+def release() -> None:
+    """Let go of the kept views and of what their operators keep."""
+    while _SHARED:
+        _SHARED.popitem()[1].unpersist()
+    ordering.release()
+
+
 @shared
 def events(spark: SparkSession, sf: str) -> DataFrame:
     return sq.events_on_grid(event_flows(spark, sf, extra=True), GRID)
@@ -109,12 +130,13 @@ def purged(spark: SparkSession, sf: str) -> DataFrame:
 
 @shared
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores of six runs: whole-number draws, so that both engines agree and ties occur."""
-    runs = spark.createDataFrame([(m, s) for m in ("base", "alt") for s in (1, 2, 3)], "model string, seed int")
-    rows = with_ids(spark, sf).crossJoin(F.broadcast(runs)).withColumn("y", (F.col("attack_flows") > 0).cast("int"))  # six rows
+    """Scores of eight runs: whole-number draws, so that both engines agree. Ties occur, but hardly in the runs "fine"."""
+    runs = spark.createDataFrame([(m, s) for m, n in (("base", 3), ("alt", 3), ("fine", 2)) for s in range(1, n + 1)], "model string, seed int")
+    rows = with_ids(spark, sf).crossJoin(F.broadcast(runs)).withColumn("y", (F.col("attack_flows") > 0).cast("int"))  # eight rows
     text = F.concat_ws(":", "model", F.col("seed").cast("string"), F.col("sequence_id").cast("string"))
-    draw = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint") % 10000
-    score = (F.floor(60 * draw / 10000) + 40 * F.col("y")).cast("double") / 100
+    draw = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
+    coarse = (F.floor(60 * (draw % 10000) / 10000) + 40 * F.col("y")).cast("double") / 100
+    score = F.when(F.col("model") == "fine", (draw % 600_000 + 400_000 * F.col("y")).cast("double") / 1_000_000).otherwise(coarse)
     return rows.select("model", "seed", F.col("sequence_id").alias("sample_id"), F.col("source_ip").alias("source_host"), "window_start_ms", "flows", "attack_flows", "active_buckets", "primary_attack", "y", score.alias("score"))
 
 

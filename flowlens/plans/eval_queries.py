@@ -12,7 +12,7 @@ from flowlens.operators import quality as dq
 from flowlens.operators import reports as rp
 from flowlens.operators import resampling as rs
 from flowlens.plans import query
-from flowlens.plans.base import GRID, embeddings, events, folded, hits, predictions, rounded, sequences, with_ctes, with_ids
+from flowlens.plans.base import GRID, curve_ctes, embeddings, events, folded, hits, predictions, rounded, sequences, with_ctes, with_ids
 from flowlens.plans.flow_queries import r
 
 RUN = ["model", "seed"]
@@ -43,9 +43,9 @@ def ev3(spark, sf):
     return rounded(mt.roc_auc(curve(spark, sf), RUN))
 
 
-@query("ev4_thresholds", with_ctes("SELECT t.model, t.seed, t.point, " + r("t.threshold", "threshold") + ", false AS reject_all FROM thr t", "thr"))
+@query("ev4_thresholds", with_ctes("+" + curve_ctes("pred", "4") + " SELECT model, seed, point, " + r("threshold", "threshold", 12) + ", reject_all FROM thr4", "pred", "points"))
 def ev4(spark, sf):
-    return rounded(thresholds(spark, sf).where("NOT reject_all"))
+    return rounded(thresholds(spark, sf), 12)
 
 
 _COUNTS = f"c AS (SELECT {RUNS}, point, threshold, count(*) FILTER (score >= threshold AND y = 1) AS tp, count(*) FILTER (score >= threshold AND y = 0) AS fp, count(*) FILTER (score < threshold AND y = 0) AS tn, count(*) FILTER (score < threshold AND y = 1) AS fn FROM pred JOIN thr USING ({RUNS}) GROUP BY 1, 2, 3, 4)"
@@ -141,10 +141,23 @@ def ev16(spark, sf):
     return rounded(mt.reconstruction_loss(embeddings(spark, sf), v, F.transform(v, lambda x: x / 2), half, logs).select("vec_id", "loss"))
 
 
-@query("ev17_frozen_evaluate", with_ctes(f"+{_COUNTS.replace('FROM pred JOIN thr USING (model, seed)', 'FROM pred JOIN thr USING (model, seed) WHERE sample_id % 2 = 0').replace('thr ', 'thr ')} {_MEASURES}", "pred", "thr"))
+_FROZEN = (
+    "+pf AS (SELECT p.*, f.fold FROM pred p JOIN (SELECT sequence_id AS sample_id, fold FROM fold) f USING (sample_id)), va AS (SELECT * FROM pf WHERE fold = 1), te AS (SELECT * FROM pf WHERE fold = 2), "
+    + curve_ctes("va", "v") + ", " + curve_ctes("te", "t")
+    + f", c AS (SELECT {RUNS}, point, threshold, count(*) FILTER (score >= threshold AND y = 1) AS tp, count(*) FILTER (score >= threshold AND y = 0) AS fp, count(*) FILTER (score < threshold AND y = 0) AS tn, count(*) FILTER (score < threshold AND y = 1) AS fn FROM te JOIN thrv USING ({RUNS}) GROUP BY 1, 2, 3, 4), "
+    f"ap AS (SELECT {RUNS}, " + r("sum(p * 1.0 / positives * precision)", "average_precision") + ", " + r("sum(p * (negatives - fp + n / 2)) / any_value(positives * negatives)", "roc_auc") + f" FROM curvet GROUP BY {RUNS}) "
+    + _MEASURES.replace("FROM c", f", average_precision, roc_auc FROM c JOIN ap USING ({RUNS})")
+)
+
+
+@query("ev17_frozen_evaluate", with_ctes(_FROZEN, "pred", "fold", "points"))
 def ev17(spark, sf):
-    p = predictions(spark, sf)
-    return rounded(mt.frozen_evaluate(p.where("sample_id % 2 = 0"), usable(spark, sf), RUN).drop("average_precision", "roc_auc"))
+    """Test rows at the thresholds of the validation rows."""
+    fold = folded(spark, sf).select(F.col("sequence_id").alias("sample_id"), "fold")
+    p = predictions(spark, sf).join(fold, "sample_id")
+    fitted, held = p.where("fold = 1").drop("fold"), p.where("fold = 2").drop("fold")
+    saved = mt.choose_thresholds(mt.score_curve(fitted, RUN), RUN).select(*RUN, "point", "threshold")
+    return rounded(mt.frozen_evaluate(held, saved, RUN, fitted))
 
 
 @query("w13_outcomes", with_ctes("SELECT CASE WHEN y = 1 THEN CASE WHEN score >= 0.7 THEN 'TP' ELSE 'FN' END ELSE CASE WHEN score >= 0.7 THEN 'FP' ELSE 'TN' END END AS outcome, count(*) AS n FROM pred GROUP BY 1", "pred"))
@@ -164,16 +177,18 @@ def dq5(spark, sf):
     return dq.population_differences(p, "run", "base:1", ["sample_id", "y", "primary_attack", "source_host"])
 
 
-@query("dq6_fingerprint")
+@query("dq6_fingerprint", with_ctes("SELECT count(*) AS n_rows, " + ", ".join(f"CAST(sum(CAST('0x' || substr(md5('0:' || {c}), 1, 12) AS BIGINT)) AS BIGINT) AS {c}" for c in ("sample_id", "y", "primary_attack", "source_host")) + " FROM pred", "pred"))
 def dq6(spark, sf):
-    return dq.fingerprint(predictions(spark, sf), ["sample_id", "y", "score", "primary_attack"])
+    return dq.fingerprint(predictions(spark, sf), ["sample_id", "y", "primary_attack", "source_host"])
 
 
-@query("dq7_metric_replay", "SELECT CAST(0 AS BIGINT) AS average_precision_differ")
+@query("dq7_metric_replay", with_ctes("SELECT count(*) FILTER (seed = 2 OR (model = 'alt' AND seed = 3)) AS average_precision_differ, count(*) FILTER (model = 'alt' AND seed = 3) AS roc_auc_differ FROM runs", "runs"))
 def dq7(spark, sf):
-    a = mt.average_precision(curve(spark, sf), RUN)
-    b = mt.average_precision(mt.score_curve(predictions(spark, sf).repartition(3, "sample_id"), RUN), RUN)
-    return dq.replay_differences(a, b, RUN, ["average_precision"], 1e-9)
+    """Replayed against saved measures of which one run is missing and some are off by a thousandth."""
+    found = summary(spark, sf)
+    off = F.when(F.col("seed") == 2, 0.001).otherwise(0.0)
+    saved = found.where("NOT (model = 'alt' AND seed = 3)").withColumn("average_precision", F.col("average_precision") + off)
+    return dq.replay_differences(found, saved, RUN, ["average_precision", "roc_auc"], 1e-9)
 
 
 def summary(spark, sf):
@@ -184,9 +199,12 @@ def summary(spark, sf):
 _SUM = f"m AS (SELECT {RUNS}, sum(p * 1.0 / positives * precision) AS ap, sum(p * (negatives - fp + n / 2)) / any_value(positives * negatives) AS auc FROM curve GROUP BY {RUNS})"
 
 
-@query("rp1_rank_models", with_ctes(f"+{_SUM} SELECT model || seed AS model, CAST(rank() OVER (ORDER BY round(ap, 9) DESC, round(auc, 9) DESC) AS INTEGER) AS place FROM m", "curve"))
+@query("rp1_rank_models", with_ctes(f"+{_SUM}, {curve_ctes('pred', '1')}, st AS (SELECT {RUNS}, avg(CASE WHEN score >= threshold THEN 1.0 ELSE 0.0 END) AS rs FROM pred JOIN thr1 USING ({RUNS}) WHERE y = 1 AND point = 'fpr_0.1pct' GROUP BY {RUNS}) SELECT model || seed AS model, CAST(rank() OVER (ORDER BY round(ap, 2) DESC, round(rs, 9) DESC, round(auc, 9) DESC) AS INTEGER) AS place FROM m JOIN st USING ({RUNS})", "curve", "pred", "points"))
 def rp1(spark, sf):
-    s = summary(spark, sf).select(F.concat("model", F.col("seed").cast("string")).alias("model"), F.round("average_precision", 9).alias("average_precision"), F.lit(0.0).alias("recall_strict"), F.round("roc_auc", 9).alias("roc_auc"), F.lit("same").alias("contract"))
+    """Ranked by average precision in whole per cents, so that the later keys decide between close runs."""
+    strict = mt.at_thresholds(predictions(spark, sf), thresholds(spark, sf).where("point = 'fpr_0.1pct'").select(*RUN, "point", "threshold"), RUN)
+    s = summary(spark, sf).join(strict.select(*RUN, F.round("recall", 9).alias("recall_strict")), RUN)
+    s = s.select(F.concat("model", F.col("seed").cast("string")).alias("model"), F.round("average_precision", 2).alias("average_precision"), "recall_strict", F.round("roc_auc", 9).alias("roc_auc"), F.lit("same").alias("contract"))
     return rp.rank_models(s).select("model", "place")
 
 
@@ -330,31 +348,42 @@ def j8(spark, sf):
     return dg.exact_collisions(rows.where("y = 1"), rows, ["flows", "active_buckets"])
 
 
-@query("j9_signature_matches", with_ctes(f"+{_ROWS} SELECT a.sample_id AS target_id, count(*) FILTER (b.y = 0) AS real_benign, count(*) FILTER (b.y = 1) AS real_malicious, CAST(0 AS BIGINT) AS synthetic_benign, CAST(0 AS BIGINT) AS synthetic_malicious, min(b.y) <> max(b.y) AS both_labels, " + r("sum((1 + b.y) * b.y) * 1.0 / sum(1 + b.y)", "positive_share") + ", min(b.sample_id) AS example_id FROM rw a JOIN rw b ON a.flows = b.flows AND a.active_buckets = b.active_buckets AND a.y = 1 GROUP BY 1", "ids"))
+@query("j9_signature_matches", with_ctes(f"+{_ROWS} SELECT a.sample_id AS target_id, count(*) FILTER (b.y = 0) AS real_benign, count(*) FILTER (b.y = 1) AS real_malicious, CAST(0 AS BIGINT) AS synthetic_benign, CAST(0 AS BIGINT) AS synthetic_malicious, min(b.y) <> max(b.y) AS both_labels, " + r("sum((1 + b.y) * b.y) * 1.0 / sum(1 + b.y)", "positive_share") + ", coalesce(string_agg(DISTINCT CASE WHEN b.y = 1 THEN b.primary_attack END, ',' ORDER BY CASE WHEN b.y = 1 THEN b.primary_attack END), '') AS attack_types, min(b.sample_id) AS example_id FROM rw a JOIN rw b ON a.flows = b.flows AND a.active_buckets = b.active_buckets AND a.y = 1 GROUP BY 1", "ids"))
 def j9(spark, sf):
     rows = _rows(spark, sf).withColumn("sample_type", F.when(F.col("y") == 1, "real_malicious").otherwise("real_benign")).withColumn("weight", 1.0 + F.col("y"))
-    return rounded(dg.signature_matches(rows.where("y = 1"), rows, ["flows", "active_buckets"]).drop("attack_types"))
+    return rounded(dg.signature_matches(rows.where("y = 1"), rows, ["flows", "active_buckets"]).withColumn("attack_types", F.array_join("attack_types", ",")))
 
 
-@query("j11_field_differences")
+_FIELDS = ("in_bytes", "protocol", "l4_dst_port")
+
+
+@query(
+    "j11_field_differences",
+    with_ctes(
+        f"+{_ROWS}, px AS (SELECT a.sample_id AS a, min(b.sample_id) AS b FROM rw a JOIN rw b ON a.flows = b.flows AND a.active_buckets = b.active_buckets AND a.y = 1 AND b.y = 0 GROUP BY 1), ev AS (SELECT i.sequence_id, g.* FROM g JOIN ids i USING (source_ip, window_start_ms)), "
+        + "l AS (" + " UNION ALL ".join(f"SELECT sequence_id, '{f}' AS field, list_sort(list(CAST({f} AS DOUBLE))) AS v FROM ev GROUP BY 1" for f in _FIELDS) + ") "
+        "SELECT px.a, px.b, x.field, CASE WHEN len(x.v) = len(y.v) THEN list_max(list_transform(range(1, len(x.v) + 1), lambda i: abs(x.v[i] - y.v[i]))) END AS largest_difference FROM px JOIN l x ON x.sequence_id = px.a JOIN l y ON y.sequence_id = px.b AND y.field = x.field WHERE x.v <> y.v",
+        "ids", "g",
+    ),
+)
 def j11(spark, sf):
     rows = _rows(spark, sf)
     pairs_ = dg.exact_collisions(rows.where("y = 1"), rows, ["flows", "active_buckets"]).select(F.col("target_id").alias("a"), F.col("example_id").alias("b"))
     ids = with_ids(spark, sf).select("source_ip", "window_start_ms", "sequence_id")
     e = events(spark, sf).join(ids, ["source_ip", "window_start_ms"])
-    return dg.field_differences(pairs_, e, ["in_bytes", "protocol", "l4_dst_port"], ["a"], ["b"], ["sequence_id"])
+    return dg.field_differences(pairs_, e, list(_FIELDS), ["a"], ["b"], ["sequence_id"])
 
 
 @query("j12_knn", "WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 25 = 0), d AS (SELECT q.vec_id AS query_id, p.vec_id AS neighbour_id, list_distance(q.e, CAST(p.embedding AS DOUBLE[])) AS distance FROM q, embeddings p WHERE p.vec_id <> q.vec_id) SELECT query_id, neighbour_id, " + r("distance", "distance") + ", CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM d) WHERE rank <= 10")
 def j12(spark, sf):
     e = embeddings(spark, sf)
-    return rounded(dg.knn(e.where("vec_id % 25 = 0"), e, 10, "vec_id", "embedding", slices=8))
+    return rounded(dg.knn(e.where("vec_id % 25 = 0"), e, 10, "vec_id", "embedding"))
 
 
 @query("j12_neighbour_profile", "WITH q AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 25 = 0), d AS (SELECT q.vec_id AS query_id, q.label AS ql, p.label AS nl, list_distance(q.e, CAST(p.embedding AS DOUBLE[])) AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.e, CAST(p.embedding AS DOUBLE[])), p.vec_id) AS rank FROM q, embeddings p WHERE p.vec_id <> q.vec_id) SELECT query_id, " + r("avg(CASE WHEN nl = 0 THEN 1.0 ELSE 0.0 END)", "benign_share") + ", " + r("avg(CASE WHEN nl = ql THEN 1.0 ELSE 0.0 END)", "same_share") + ", " + r("min(distance) FILTER (nl = 0)", "nearest_benign") + ", " + r("min(distance) FILTER (nl <> 0)", "nearest_attack") + ", " + r("min(distance) FILTER (nl <> 0) / min(distance) FILTER (nl = 0)", "ratio") + " FROM d WHERE rank <= 10 GROUP BY 1")
 def j12_profile(spark, sf):
     e = embeddings(spark, sf)
-    return rounded(dg.neighbour_profile(dg.knn(e.where("vec_id % 25 = 0"), e, 10, "vec_id", "embedding", slices=8), e, "vec_id", "label"))
+    return rounded(dg.neighbour_profile(dg.knn(e.where("vec_id % 25 = 0"), e, 10, "vec_id", "embedding"), e, "vec_id", "label"))
 
 
 _SPLITHIT = "hh AS (SELECT sample_id, source_host AS source_ip, active_buckets, flows, score >= 0.7 AS hit FROM pred WHERE model = 'base' AND seed = 1 AND y = 1)"
@@ -366,7 +395,7 @@ def j13(spark, sf):
     return rounded(dg.matched_controls(h.where("NOT hit"), h.where("hit")))
 
 
-@query("j14_case_control")
+@query("j14_case_control", with_ctes(f"+{_ROWS}, k AS (SELECT *, CAST(floor(log2(flows)) AS INTEGER) AS v, CAST('0x' || substr(md5('3:' || sample_id), 1, 12) AS BIGINT) AS o FROM rw), need AS (SELECT source_ip, active_buckets, v, count(*) * 2 AS most FROM k WHERE y = 1 GROUP BY 1, 2, 3), mt AS (SELECT sample_id, most, row_number() OVER (PARTITION BY source_ip, active_buckets, v ORDER BY o, sample_id) AS rn FROM k JOIN need USING (source_ip, active_buckets, v) WHERE y = 0), al AS (SELECT sample_id, 'positive' AS role FROM k WHERE y = 1 UNION (SELECT sample_id, 'random' FROM k WHERE y = 0 ORDER BY o, sample_id LIMIT 100) UNION SELECT sample_id, 'matched' FROM mt WHERE rn <= most) SELECT sample_id, string_agg(role, ',' ORDER BY role) AS roles FROM al GROUP BY 1", "ids"))
 def j14(spark, sf):
     rows = _rows(spark, sf)
     return dg.case_control(rows.where("y = 1"), rows.where("y = 0"), 3, 100)
@@ -380,13 +409,16 @@ def rp11(spark, sf):
 
 # Resampling: seeded draws
 
+_K = "CAST('0x' || substr(md5({}), 1, 12) AS BIGINT)"
+_Q = lambda x: r(f"avg({x})", "mean") + ", " + r(f"quantile_cont({x}, 0.025)", "low") + ", " + r(f"quantile_cont({x}, 0.975)", "high")
+
 
 @query("sm1_benign_subsample", with_ctes(f"+{_ROWS} SELECT sample_id, y FROM rw WHERE y = 1 UNION ALL (SELECT sample_id, y FROM rw WHERE y = 0 ORDER BY CAST('0x' || substr(md5('2:' || sample_id), 1, 12) AS BIGINT), sample_id LIMIT 300)", "ids"))
 def sm1(spark, sf):
     return rs.benign_subsample(_rows(spark, sf), 300, 2).select("sample_id", "y")
 
 
-@query("sm2_host_bootstrap")
+@query("sm2_host_bootstrap", with_ctes(f"+{_HIT}, ho AS (SELECT *, row_number() OVER (PARTITION BY primary_attack ORDER BY source_host) - 1 AS i, count(*) OVER (PARTITION BY primary_attack) AS n FROM (SELECT primary_attack, source_host, count(*) AS c, count(*) FILTER (hit) AS t FROM h GROUP BY 1, 2)), dr AS (SELECT primary_attack, b, {_K.format(chr(39) + '1:' + chr(39) + ' || b || ' + chr(39) + ':' + chr(39) + ' || primary_attack || ' + chr(39) + ':' + chr(39) + ' || i')} % n AS i FROM ho, (SELECT unnest(range(50)) AS b)), q AS (SELECT primary_attack, b, sum(t) / sum(c) AS x FROM dr JOIN ho USING (primary_attack, i) GROUP BY 1, 2) SELECT primary_attack, " + _Q("x") + " FROM q GROUP BY 1", "pred"))
 def sm2(spark, sf):
     return rounded(rs.host_bootstrap(hits(spark, sf), 50, 1))
 
@@ -396,35 +428,35 @@ def sm3(spark, sf):
     return rounded(rs.equal_size_recall(hits(spark, sf), 10, 20, 1))
 
 
-@query("sm3_dispersion")
+@query("sm3_dispersion", f"WITH d AS (SELECT label, b, vec_id, row_number() OVER (PARTITION BY label, b ORDER BY {_K.format(chr(39) + '1:' + chr(39) + ' || b || ' + chr(39) + ':' + chr(39) + ' || vec_id')}, vec_id) AS rn FROM embeddings, (SELECT unnest(range(5)) AS b)), x AS (SELECT d.label, b, i, var_samp(CAST(embedding[i] AS DOUBLE)) AS v FROM d JOIN embeddings USING (vec_id), (SELECT unnest(range(1, 65)) AS i) WHERE rn <= 20 GROUP BY 1, 2, 3) SELECT label AS primary_attack, " + r("avg(t)", "dispersion") + " FROM (SELECT label, b, sum(v) AS t FROM x GROUP BY 1, 2) GROUP BY 1")
 def sm3_dispersion(spark, sf):
     e = embeddings(spark, sf).select(F.col("vec_id").alias("sample_id"), F.col("label").alias("primary_attack"), F.col("embedding").cast("array<double>").alias("v"))
     return rounded(rs.dispersion(e, 20, 5, 1, "v"))
 
 
-@query("sm4_one_per_host")
+@query("sm4_one_per_host", with_ctes(f"+{_HIT}, m AS (SELECT primary_attack, b, source_host, arg_min(hit, (o, sample_id)) AS hit FROM (SELECT *, {_K.format(chr(39) + '1:member:' + chr(39) + ' || b || ' + chr(39) + ':' + chr(39) + ' || sample_id')} AS o FROM h, (SELECT unnest(range(20)) AS b)) GROUP BY 1, 2, 3), q AS (SELECT *, row_number() OVER (PARTITION BY primary_attack, b ORDER BY {_K.format(chr(39) + '1:host:' + chr(39) + ' || b || ' + chr(39) + ':' + chr(39) + ' || source_host')}, source_host) AS rn FROM m) SELECT primary_attack, CAST(b AS INTEGER) AS b, " + r("avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END)", "recall") + ", count(*) AS hosts FROM q WHERE rn <= 8 GROUP BY 1, 2", "pred"))
 def sm4(spark, sf):
     return rounded(rs.one_per_host(hits(spark, sf), 8, 20, 1))
 
 
-@query("sm5_duplication_control")
+@query("sm5_duplication_control", with_ctes(f"+{_HIT}, nu AS (SELECT primary_attack, hit, row_number() OVER (PARTITION BY primary_attack ORDER BY sample_id) - 1 AS i, count(*) OVER (PARTITION BY primary_attack) AS n FROM h), dr AS (SELECT primary_attack, b, {_K.format(chr(39) + '1:' + chr(39) + ' || b || ' + chr(39) + ':' + chr(39) + ' || primary_attack || ' + chr(39) + ':' + chr(39) + ' || d')} % n AS i FROM (SELECT DISTINCT primary_attack, n FROM nu), (SELECT unnest(range(20)) AS b), (SELECT unnest(range(60)) AS d)), q AS (SELECT primary_attack, b, avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS x FROM dr JOIN nu USING (primary_attack, i) GROUP BY 1, 2) SELECT primary_attack, " + r("min(x)", "least") + ", " + r("max(x)", "greatest") + " FROM q GROUP BY 1", "pred"))
 def sm5(spark, sf):
     return rounded(rs.duplication_control(hits(spark, sf), 60, 20, 1))
 
 
-@query("sm6_composition_matched")
+@query("sm6_composition_matched", with_ctes(f"+{_HIT}, need AS (SELECT active_buckets, least(count(*) FILTER (primary_attack = 'Type0'), count(*) FILTER (primary_attack = 'Type1')) AS m FROM h GROUP BY 1 HAVING m > 0), pa AS (SELECT hit, m, row_number() OVER (PARTITION BY active_buckets, b ORDER BY {_K.format(chr(39) + '1:a:' + chr(39) + ' || b || ' + chr(39) + ':' + chr(39) + ' || sample_id')}, sample_id) AS rn FROM h JOIN need USING (active_buckets), (SELECT unnest(range(20)) AS b) WHERE primary_attack = 'Type0'), pb AS (SELECT hit, m, row_number() OVER (PARTITION BY active_buckets, b ORDER BY {_K.format(chr(39) + '1:b:' + chr(39) + ' || b || ' + chr(39) + ':' + chr(39) + ' || sample_id')}, sample_id) AS rn FROM h JOIN need USING (active_buckets), (SELECT unnest(range(20)) AS b) WHERE primary_attack = 'Type1') SELECT " + ", ".join(r(f"(SELECT avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) FROM p{x} WHERE rn <= m)", f"recall_{x}") + ", " + r(f"(SELECT count(*) / 20 FROM p{x} WHERE rn <= m)", f"matched_{x}") + f", (SELECT count(*) FROM h WHERE primary_attack = '{t}') AS n_{x}, " + r(f"(SELECT count(*) / 20 FROM p{x} WHERE rn <= m) / (SELECT count(*) FROM h WHERE primary_attack = '{t}')", f"coverage_{x}") for x, t in (("a", "Type0"), ("b", "Type1"))), "pred"))
 def sm6(spark, sf):
     h = hits(spark, sf)
     return rounded(rs.composition_matched(h.where("primary_attack = 'Type0'"), h.where("primary_attack = 'Type1'"), 20, 1, ["active_buckets"]))
 
 
-@query("sm7_probe_cohort")
+@query("sm7_probe_cohort", with_ctes("+ x AS (SELECT sequence_id AS sample_id, source_ip, CASE WHEN sequence_id % 5 = 0 THEN 'eval' ELSE 'fit' END AS part FROM ids), ok AS (SELECT source_ip FROM x GROUP BY 1 HAVING count(*) FILTER (part = 'fit') >= 10 AND count(*) FILTER (part = 'eval') >= 3) SELECT sample_id, source_ip, part FROM (SELECT *, row_number() OVER (PARTITION BY source_ip, part ORDER BY CAST('0x' || substr(md5('1:' || sample_id), 1, 12) AS BIGINT), sample_id) AS rn FROM x SEMI JOIN ok USING (source_ip)) WHERE rn <= CASE WHEN part = 'fit' THEN 64 ELSE 32 END AND (SELECT count(*) FROM ok) >= 2", "ids"))
 def sm7(spark, sf):
     rows = with_ids(spark, sf).select(F.col("sequence_id").alias("sample_id"), "source_ip", F.when(F.col("sequence_id") % 5 == 0, "eval").otherwise("fit").alias("part"))
     return rs.probe_cohort(rows, 1)
 
 
-@query("sm8_host_member_draws")
+@query("sm8_host_member_draws", with_ctes(f"+ ho AS (SELECT source_ip, count(*) AS n, row_number() OVER (ORDER BY source_ip) - 1 AS h FROM ids GROUP BY 1), me AS (SELECT source_ip, sequence_id, row_number() OVER (PARTITION BY source_ip ORDER BY sequence_id) - 1 AS m FROM ids), dr AS (SELECT draw, {_K.format(chr(39) + '1:host:' + chr(39) + ' || draw')} % (SELECT count(*) FROM ho) AS h, {_K.format(chr(39) + '1:member:' + chr(39) + ' || draw')} AS km FROM (SELECT unnest(range(500)) AS draw)) SELECT draw, source_ip, sequence_id FROM dr JOIN ho USING (h) JOIN me USING (source_ip) WHERE m = km % n", "ids"))
 def sm8(spark, sf):
     from flowlens.operators.donors import draw_members
 

@@ -108,8 +108,11 @@ def ag4(spark, sf):
     return rounded(ft.bucket_diversity(events(spark, sf)))
 
 
+_PLAIN = ft.PLAIN | {ft.LONGEST_GAP: "coalesce(max(flow_start_milliseconds - prev_start), 0)"}
+
+
 def _bucket_sql() -> str:
-    plain = ", ".join(r(x.replace("0.0D", "0.0").replace("1.0D", "1.0"), n) for n, x in ft.PLAIN.items())
+    plain = ", ".join(r(x.replace("0.0D", "0.0").replace("1.0D", "1.0"), n) for n, x in _PLAIN.items())
     gaps = f"SELECT *, lag(flow_start_milliseconds) OVER (PARTITION BY {B} ORDER BY flow_start_milliseconds) AS prev_start FROM g"
     return f"+ plain AS (SELECT {B}, {plain}, count(*) AS flows, CAST(sum(label) AS BIGINT) AS attack_flows, CASE WHEN sum(label) > 0 THEN 1 ELSE 0 END AS y_bucket FROM ({gaps}) GROUP BY {B}), d AS ({_diversity_sql()}) SELECT * FROM plain JOIN d USING ({B})"
 
@@ -131,13 +134,12 @@ for _field, _code in (("protocol", "protocol"), ("l7", "l7_proto"), ("service",
         return hg.category_histogram(events(spark, sf), field)
 
 
-_HIST = f"+ h AS (SELECT {B}, l7_proto AS code, count(*) AS n FROM g GROUP BY 1, 2, 3, 4), vocab AS (SELECT code, row_number() OVER (ORDER BY code) AS slot FROM (SELECT DISTINCT code FROM h SEMI JOIN (SELECT * FROM fold WHERE fold = 0) f USING (source_ip, window_start_ms) WHERE code % 3 <> 1)), dense AS (SELECT {B}, coalesce(slot, 0) AS slot, CAST(sum(n) AS BIGINT) AS n FROM h LEFT JOIN vocab USING (code) GROUP BY 1, 2, 3, 4) "
+_HIST = f"+ h AS (SELECT {B}, l7_proto AS code, count(*) AS n FROM g GROUP BY 1, 2, 3, 4), vocab AS (SELECT code, row_number() OVER (ORDER BY code) AS slot FROM (SELECT DISTINCT code FROM h SEMI JOIN (SELECT * FROM fold WHERE fold = 0) f USING (source_ip, window_start_ms))), dense AS (SELECT {B}, coalesce(slot, 0) AS slot, CAST(sum(n) AS BIGINT) AS n FROM h LEFT JOIN vocab USING (code) GROUP BY 1, 2, 3, 4) "
 
 
 def _vocabulary(spark, sf):
-    # a third of the codes is kept out, so that unseen codes occur
     histogram = hg.category_histogram(events(spark, sf), "l7")
-    return histogram, hg.fit_vocabulary(histogram.where("code % 3 <> 1"), folded(spark, sf).where("fold = 0"))
+    return histogram, hg.fit_vocabulary(histogram, folded(spark, sf).where("fold = 0"))
 
 
 @query("ag8_dense_histogram", with_ctes(_HIST + f"SELECT {B}, CAST(slot AS INTEGER) AS slot, n, " + r(f"n * 1.0 / sum(n) OVER (PARTITION BY {B})", "share") + " FROM dense", "g", "fold"))
@@ -160,7 +162,7 @@ _SCALED = ["flow_count", "in_bytes_sum", "duration_mean", "protocol_tcp_ratio",
 
 def _scaler_sql() -> str:
     used = {n: f"ln(1 + {n})" if sc.is_logged(n) else n for n in _SCALED}
-    plain = {n: ft.PLAIN[n].replace("0.0D", "0.0").replace("1.0D", "1.0") for n in _SCALED if n in ft.PLAIN}
+    plain = {n: _PLAIN[n].replace("0.0D", "0.0").replace("1.0D", "1.0") for n in _SCALED if n in _PLAIN}
     gaps = f"SELECT *, lag(flow_start_milliseconds) OVER (PARTITION BY {B} ORDER BY flow_start_milliseconds) AS prev_start FROM g"
     stats = f"SELECT {B}, " + ", ".join(f"CAST({x} AS DOUBLE) AS {n}" for n, x in plain.items()) + f" FROM ({gaps}) GROUP BY {B}"
     d = _diversity_sql().replace("round(", "(").replace(", 6) + 0.0", ")")
@@ -192,12 +194,28 @@ def ag11(spark, sf):
     return rounded(ft.distribution_features(events(spark, sf)))
 
 
-@query("ag12_extended_features", with_ctes(f"SELECT {B} FROM g GROUP BY {B}", "g"))
+_ADDED = [*(f"{c}_std" for c in ft.DISTRIBUTION), "in_bytes_q90", "out_bytes_q90", "flow_duration_milliseconds_q90", "zero_reply_fraction", "in_byte_share_mean", "in_byte_share_std", "bytes_per_packet_mean", "bytes_per_packet_std", "destination_port_pair_unique_fraction", "flow_duration_milliseconds_median"]
+
+
+def _extended_sql() -> str:
+    bare = lambda sql: sql.replace("round(", "(").replace(", 6) + 0.0", ")")
+    used = {n: f"ln(1 + {n})" if sc.is_logged(n) else n for n in [*ft.FEATURES, *_ADDED]}
+    plain = ", ".join(f"CAST({x.replace('0.0D', '0.0').replace('1.0D', '1.0')} AS DOUBLE) AS {n}" for n, x in _PLAIN.items())
+    gaps = f"SELECT *, lag(flow_start_milliseconds) OVER (PARTITION BY {B} ORDER BY flow_start_milliseconds) AS prev_start FROM g"
+    moments = ", ".join(f"avg({x}) AS {n}_m, CASE WHEN stddev_pop({x}) < 1e-12 THEN 1 ELSE stddev_pop({x}) END AS {n}_s" for n, x in used.items())
+    return (
+        f"+ st AS (SELECT {B}, {plain} FROM ({gaps}) GROUP BY {B}), dv AS ({bare(_diversity_sql())}), di AS ({bare(_DIST_SQL)}), full_ AS (SELECT * FROM st JOIN dv USING ({B}) JOIN di USING ({B})), "
+        f"m AS (SELECT {moments} FROM full_ SEMI JOIN (SELECT * FROM fold WHERE fold = 0) f USING (source_ip, window_start_ms)) "
+        f"SELECT {B}, " + ", ".join(r(f"({x} - {n}_m) / {n}_s", n, 5) for n, x in used.items()) + " FROM full_, m"
+    )
+
+
+@query("ag12_extended_features", with_ctes(_extended_sql(), "g", "fold"))
 def ag12(spark, sf):
-    stats = ft.bucket_stats(events(spark, sf)).select(*ft.BUCKET, "flow_count")
-    names = ["in_bytes_std", "zero_reply_fraction"]
-    added = ft.distribution_features(events(spark, sf)).select(*ft.BUCKET, *names)
-    return sl.extend_features(stats, added, folded(spark, sf).where("fold = 0"), names, ft.BUCKET).select(*ft.BUCKET)
+    train = folded(spark, sf).where("fold = 0")
+    stats = ft.bucket_stats(events(spark, sf)).select(*ft.BUCKET, *ft.FEATURES)
+    base = sl.standardize(stats, sl.fit_scaler(stats, train, ft.FEATURES), ft.FEATURES)
+    return rounded(sl.extend_features(base, ft.distribution_features(events(spark, sf)), train, _ADDED, ft.BUCKET), 5)
 
 
 def _candidate_sql() -> str:

@@ -155,12 +155,16 @@ def dn1(spark, sf):
     return _pools(spark, sf)[2].select("pool", "grp", "source_ip", "sequence_id", *(F.col(c).cast("bigint").alias(c) for c in ("g", "h", "m", "members")))
 
 
-PLANNED = 200
-
-
 @shared
 def _plan_table(spark, sf):
-    return dn.donor_plan(_pool_table(spark, sf), 10_000_000, PLANNED, 9)
+    first, per_class = _plan_size(spark, sf)
+    return dn.donor_plan(_pool_table(spark, sf), first, per_class, 9)
+
+
+def _plan_size(spark, sf):
+    """(first id, mixtures of each class): ids follow the last sequence, and each class is as large as the attack sequences of training."""
+    row = folded(spark, sf).agg(F.max("sequence_id").alias("last"), F.sum(((F.col("fold") == 0) & (F.col("attack_flows") > 0)).cast("bigint")).alias("n")).first()
+    return row["last"] + 1, row["n"]
 
 
 def _plan(spark, sf):
@@ -168,18 +172,61 @@ def _plan(spark, sf):
     return train, held, _plan_table(spark, sf)
 
 
-@query("dn2_dn3_donor_plan")
+def _pick_sql(name: str, draws: str, pool: str, seed: str, out: str, exclude: str | None = None) -> str:
+    """CTEs that draw from ``pl``: a group, a host that is not ``exclude``, a member."""
+    key = lambda what: f"CAST('0x' || substr(md5('{seed}:{what}:' || d.draw), 1, 12) AS BIGINT)"
+    groups = f"(SELECT DISTINCT grp, g, hosts FROM pl WHERE pool = '{pool}')"
+    hosts = f"(SELECT DISTINCT grp, source_ip, h, members FROM pl WHERE pool = '{pool}')"
+    barred = f" AND NOT (q.hosts = 1 AND EXISTS (SELECT 1 FROM {hosts} o WHERE o.grp = q.grp AND o.source_ip = d.{exclude}))" if exclude else ""
+    skip = f"(SELECT o.h FROM {hosts} o WHERE o.grp = d.grp AND o.source_ip = d.{exclude})" if exclude else "CAST(NULL AS BIGINT)"
+    return (
+        f"{name}_o AS (SELECT d.*, q.grp, q.hosts, row_number() OVER (PARTITION BY d.draw ORDER BY q.g) - 1 AS i, count(*) OVER (PARTITION BY d.draw) AS k FROM {draws} d, {groups} q WHERE true{barred}), "
+        f"{name}_g AS (SELECT * FROM {name}_o d WHERE i = {key('group')} % k), "
+        f"{name}_s AS (SELECT d.*, {skip} AS skip FROM {name}_g d), "
+        f"{name}_t AS (SELECT d.*, {key('host')} % (hosts - CASE WHEN skip IS NULL THEN 0 ELSE 1 END) AS spot FROM {name}_s d), "
+        f"{name}_h AS (SELECT d.*, h.source_ip AS host, h.members FROM {name}_t d JOIN {hosts} h ON h.grp = d.grp AND h.h = CASE WHEN skip IS NOT NULL AND spot >= skip THEN spot + 1 ELSE spot END), "
+        f"{name} AS (SELECT d.* EXCLUDE (grp, hosts, i, k, skip, spot, host, members), m.sequence_id AS {out}, d.host AS {out}_host, d.grp AS {out}_group FROM {name}_h d JOIN pl m ON m.pool = '{pool}' AND m.grp = d.grp AND m.source_ip = d.host AND m.m = {key('member')} % d.members)"
+    )
+
+
+_PLAN = (
+    _POOL
+    + ", pl AS (SELECT *, max(h + 1) OVER (PARTITION BY pool, grp) AS hosts FROM (SELECT pool, grp, source_ip, sequence_id, dense_rank() OVER (PARTITION BY pool ORDER BY grp) - 1 AS g, dense_rank() OVER (PARTITION BY pool, grp ORDER BY source_ip) - 1 AS h, row_number() OVER (PARTITION BY pool, grp, source_ip ORDER BY sequence_id) - 1 AS m, count(*) OVER (PARTITION BY pool, grp, source_ip) AS members FROM rows_)), "
+    "sz AS (SELECT max(sequence_id) + 1 AS first_id, count(*) FILTER (fold = 0 AND attack_flows > 0) AS n FROM fold), d0 AS (SELECT unnest(range((SELECT n FROM sz))) AS draw), "
+    + _pick_sql("ar", "d0", "attack", "9:a", "right_id") + ", " + _pick_sql("al", "ar", "benign", "9:b", "left_id", "right_id_host") + ", "
+    + _pick_sql("br", "d0", "benign", "9:c", "right_id") + ", " + _pick_sql("bl", "br", "benign", "9:d", "left_id", "right_id_host") + ", "
+    "plan_ AS (SELECT draw + first_id AS sample_id, left_id, right_id, 0 AS shift, right_id_group AS target_attack, left_id_group AS background_band, 'synthetic_malicious' AS sample_type, left_id_host, right_id_host FROM al, sz UNION ALL SELECT draw + n + first_id, left_id, right_id, 0, 'Benign', left_id_group, 'synthetic_benign', left_id_host, right_id_host FROM bl, sz) "
+)
+
+
+@query("dn2_dn3_donor_plan", with_ctes(_PLAN + "SELECT * FROM plan_", "fold", "att"))
 def dn3(spark, sf):
     return _plan(spark, sf)[2]
 
 
-@query("dn5_check_plan", with_ctes("SELECT " + ", ".join(f"CAST(0 AS BIGINT) AS {c}" for c in ("wrong_rows", "wrong_classes", "repeated_ids", "ids_out_of_range", "donors_not_in_train", "left_not_benign", "same_host", "class_mismatch", "bad_shift")), "runs"))
+@query("dn5_check_plan", with_ctes(_PLAN + "SELECT count(*) FILTER (sample_id % 11 = 1) AS wrong_rows, count(*) FILTER (sample_id % 11 = 1 AND sample_type = 'synthetic_malicious') AS wrong_classes, CAST(0 AS BIGINT) AS repeated_ids, count(*) FILTER (sample_id % 11 = 2) AS ids_out_of_range, count(*) FILTER (sample_id % 11 = 3) AS donors_not_in_train, count(*) FILTER (sample_id % 11 = 5 AND sample_type = 'synthetic_malicious') AS left_not_benign, count(*) FILTER (sample_id % 11 IN (3, 5)) AS same_host, count(*) FILTER (sample_id % 11 = 4 AND sample_type = 'synthetic_malicious') AS class_mismatch, count(*) FILTER (sample_id % 11 = 6) AS bad_shift FROM plan_", "fold", "att"))
 def dn5(spark, sf):
+    """Violations of a plan with planted faults, by the sample id's remainder: rows taken out (1), ids moved (2), a
+    left donor that does not exist (3), another type (4), the right donor on both sides (5), a shift too large (6)."""
     train, held, plan = _plan(spark, sf)
-    return dn.check_plan(plan, train, held, 10_000_000, PLANNED, GRID.buckets)
+    first, per_class = _plan_size(spark, sf)
+    kind = F.col("sample_id") % 11
+    bad = plan.where(kind != 1).select(
+        F.when(kind == 2, F.col("sample_id") + 10_000_000).otherwise(F.col("sample_id")).alias("sample_id"),
+        F.when(kind == 3, F.lit(-5)).when(kind == 5, F.col("right_id")).otherwise(F.col("left_id")).alias("left_id"),
+        "right_id",
+        F.when(kind == 6, F.lit(GRID.buckets)).otherwise(F.col("shift")).alias("shift"),
+        F.when((kind == 4) & (F.col("sample_type") == "synthetic_malicious"), F.lit("no such type")).otherwise(F.col("target_attack")).alias("target_attack"),
+        "sample_type",
+    )
+    return dq_plan(dn.check_plan(bad, train, held, first, per_class, GRID.buckets))
+
 
+def dq_plan(faults):
+    return faults.select(*(F.col(c).cast("bigint").alias(c) for c in faults.columns))
 
-@query("dn4_batch_plan")
+
+@query("dn4_batch_plan", with_ctes(_PLAN + ", al_ AS (SELECT sequence_id AS sample_id, CASE WHEN attack_flows > 0 THEN 'real_malicious' ELSE 'real_benign' END AS sample_type FROM fold WHERE fold = 0 UNION ALL SELECT sample_id, sample_type FROM plan_) SELECT sample_id, sample_type, CAST((row_number() OVER (PARTITION BY sample_type ORDER BY CAST('0x' || substr(md5('5:' || sample_id), 1, 12) AS BIGINT), sample_id) - 1) // 10 AS INTEGER) AS batch, CAST(CAST('0x' || substr(md5('5:shift:' || sample_id), 1, 12) AS BIGINT) % 10 AS INTEGER) AS shift FROM al_", "fold", "att"))
 def dn4(spark, sf):
     train, _, plan = _plan(spark, sf)
     real = train.select(F.col("sequence_id").alias("sample_id"), F.when(F.col("attack_flows") > 0, "real_malicious").otherwise("real_benign").alias("sample_type"))
@@ -206,30 +253,80 @@ def _samples(spark, sf):
     return dn.export_samples(rows, _encoded(spark, sf), plan, 1.0, 2.0)
 
 
-@query("dn6_export_samples", with_ctes("SELECT CASE fold WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END AS split, CASE WHEN attack_flows > 0 THEN 'real_malicious' ELSE 'real_benign' END AS sample_type, count(*) AS samples FROM fold GROUP BY 1, 2 UNION ALL SELECT 'train', t, 200 FROM (VALUES ('synthetic_benign'), ('synthetic_malicious')) AS v(t)", "fold"))
+@query("dn6_export_samples", with_ctes("SELECT CASE fold WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END AS split, CASE WHEN attack_flows > 0 THEN 'real_malicious' ELSE 'real_benign' END AS sample_type, count(*) AS samples FROM fold GROUP BY 1, 2 UNION ALL SELECT 'train', t, (SELECT count(*) FROM fold WHERE fold = 0 AND attack_flows > 0) FROM (VALUES ('synthetic_benign'), ('synthetic_malicious')) AS v(t)", "fold"))
 def dn6(spark, sf):
     return dn.sample_group_counts(_samples(spark, sf))
 
 
-@query("v5_v7_compose_samples")
-def v7(spark, sf):
-    return _samples(spark, sf).select("sample_id", "sample_type", F.flatten("x").alias("flat"), "mask", "y")
+_ENCODED = (
+    "vn AS (SELECT count(*) AS nv FROM embeddings), en AS (SELECT sequence_id, i, (sequence_id + i) % 3 <> 0 AS a, attack_flows > 0 AS bad, flows, embedding FROM fold, (SELECT unnest(range(4)) AS i), vn JOIN embeddings ON vec_id = (sequence_id * 4 + i) % nv), "
+    "pr AS (SELECT sequence_id AS sample_id, sequence_id AS left_id, CAST(-1 AS BIGINT) AS right_id FROM fold UNION ALL SELECT sample_id, left_id, right_id FROM plan_), "
+    "mx AS (SELECT p.sample_id, l.i, l.a AS la, coalesce(r.a, false) AS ra, CAST(l.a OR coalesce(r.a, false) AS INTEGER) AS mask, CAST((l.a AND l.bad) OR coalesce(r.a AND r.bad, false) AS INTEGER) AS y_bucket, CASE WHEN l.a THEN l.i + l.flows ELSE 0 END + CASE WHEN coalesce(r.a, false) THEN r.i + r.flows ELSE 0 END AS c, "
+    "list_transform(range(1, 65), lambda k: CASE WHEN l.a THEN CAST(l.embedding[k] AS DOUBLE) ELSE 0 END + CASE WHEN coalesce(r.a, false) THEN CAST(r.embedding[k] AS DOUBLE) ELSE 0 END) AS v FROM pr p JOIN en l ON l.sequence_id = p.left_id LEFT JOIN en r ON r.sequence_id = p.right_id AND r.i = l.i), "
+    "un AS (SELECT *, sqrt(list_dot_product(v, v)) AS ln FROM mx) "
+)
 
 
-@query("dq1_validate_export", with_ctes("SELECT " + ", ".join(f"CAST(0 AS BIGINT) AS {c}" for c in ("missing_samples", "unplanned_samples", "repeated_samples", "vectors_differ", "mask_differ", "y_bucket_differ", "flow_counts_differ")), "runs"))
-def dq1(spark, sf):
-    return dq.validate_export(_samples(spark, sf), _samples(spark, sf))
+@query(
+    "v5_v7_compose_samples",
+    with_ctes(
+        _PLAN.rstrip() + f", {_ENCODED}SELECT sample_id, CAST(i AS INTEGER) AS i, mask, y_bucket, c AS flow_count, " + r("CASE WHEN ln > 0 THEN v[1] / ln ELSE 0 END", "first_", 5) + ", " + r("CASE WHEN ln > 0 THEN list_sum(v) / ln ELSE 0 END", "total", 5) + ", " + r("CASE WHEN mask = 1 THEN (ln(1 + c) - 1) / 2 ELSE 0 END", "intensity", 5) + " FROM un",
+        "fold", "att",
+    ),
+)
+def v7(spark, sf):
+    """Every sample, a row for each bucket: its first number, the sum of the vector, and the last channel."""
+    s = _samples(spark, sf).select("sample_id", F.posexplode(F.arrays_zip("x", "mask", "y_bucket", "flow_counts")).alias("i", "b"))
+    vector = F.slice("b.x", 1, 64)
+    total = F.aggregate(vector, F.lit(0.0), lambda a, e: a + e)
+    return rounded(s.select("sample_id", "i", "b.mask", "b.y_bucket", F.col("b.flow_counts").cast("bigint").alias("flow_count"), F.get(vector, 0).alias("first_"), total.alias("total"), F.get("b.x", 64).alias("intensity")), 5)
 
 
-@query("dq3_bucket_targets", with_ctes("SELECT CAST(0 AS BIGINT) AS not_binary, CAST(0 AS BIGINT) AS target_on_padding, CAST(0 AS BIGINT) AS label_mismatch", "runs"))
-def dq3(spark, sf):
-    return dq.bucket_target_faults(_samples(spark, sf))
+_ALL = "x AS (SELECT sequence_id AS sample_id, attack_flows > 0 AS bad FROM fold UNION ALL SELECT unnest(range((SELECT max(sequence_id) + 1 FROM fold), (SELECT max(sequence_id) + 1 + 2 * count(*) FILTER (fold = 0 AND attack_flows > 0) FROM fold))), NULL) "
 
 
-@query("dq8_disjoint_splits", with_ctes("SELECT CAST(NULL AS VARCHAR) AS split, CAST(NULL AS VARCHAR) AS other, CAST(NULL AS BIGINT) AS shared WHERE false", "runs"))
+@query(
+    "dq1_validate_export",
+    with_ctes(
+        f"+ {_ALL}SELECT count(*) FILTER (sample_id % 13 = 0) AS missing_samples, count(*) FILTER (sample_id % 13 = 1) AS unplanned_samples, count(*) FILTER (sample_id % 13 = 2) AS repeated_samples, "
+        "count(*) FILTER (sample_id % 13 IN (0, 1, 3)) AS vectors_differ, count(*) FILTER (sample_id % 13 IN (0, 1)) AS mask_differ, count(*) FILTER (sample_id % 13 IN (0, 1, 4)) AS y_bucket_differ, count(*) FILTER (sample_id % 13 IN (0, 1, 5)) AS flow_counts_differ FROM x",
+        "fold",
+    ),
+)
+def dq1(spark, sf):
+    """An export with planted faults, by the sample id's remainder, against samples composed from their donors: taken
+    out (0), under another id (1), twice (2), other vectors (3), bucket labels (4) or counts (5)."""
+    rebuilt, kind = _samples(spark, sf), F.col("sample_id") % 13
+    bad = rebuilt.where(kind != 0).select(
+        F.when(kind == 1, F.col("sample_id") + 10_000_000).otherwise(F.col("sample_id")).alias("sample_id"),
+        F.when(kind == 3, F.transform("x", lambda v: F.transform(v, lambda e: e + 0.5))).otherwise(F.col("x")).alias("x"),
+        "mask",
+        F.when(kind == 4, F.transform("y_bucket", lambda e: 1 - e)).otherwise(F.col("y_bucket")).alias("y_bucket"),
+        F.when(kind == 5, F.transform("flow_counts", lambda e: e + 1)).otherwise(F.col("flow_counts")).alias("flow_counts"),
+        F.explode(F.when(kind == 2, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+    )
+    return dq.validate_export(bad.drop("copy"), rebuilt)
+
+
+@query("dq3_bucket_targets", with_ctes(f"+ {_ALL}SELECT count(*) FILTER (sample_id % 7 = 0) AS not_binary, count(*) FILTER (sample_id % 7 = 1) AS target_on_padding, count(*) FILTER (sample_id % 7 IN (0, 2)) AS label_mismatch FROM x", "fold"))
+def dq3(spark, sf):
+    """Planted faults by the sample id's remainder: a target of 2 (0), a mask without any bucket under a target (1), another label (2)."""
+    kind = F.col("sample_id") % 7
+    bad = _samples(spark, sf).select(
+        "sample_id",
+        F.when(kind == 1, F.transform("mask", lambda m: m * 0)).otherwise(F.col("mask")).alias("mask"),
+        F.when(kind == 0, F.transform("y_bucket", lambda e: F.lit(2))).when(kind == 1, F.transform("y_bucket", lambda e: F.lit(1))).otherwise(F.col("y_bucket")).alias("y_bucket"),
+        F.when(kind == 1, 1).when(kind == 2, 1 - F.col("y")).otherwise(F.col("y")).alias("y"),
+    )
+    return dq.bucket_target_faults(bad)
+
+
+@query("dq8_disjoint_splits", with_ctes("SELECT CAST(least(fold, (fold + 1) % 3) AS VARCHAR) AS split, CAST(greatest(fold, (fold + 1) % 3) AS VARCHAR) AS other, count(*) AS shared FROM fold WHERE sequence_id % 17 = 0 GROUP BY 1, 2", "fold"))
 def dq8(spark, sf):
-    rows = folded(spark, sf).select(F.col("sequence_id").alias("sample_id"), F.col("fold").cast("string").alias("split"))
-    return dq.shared_ids(rows)
+    """Every seventeenth id stands in the next split as well."""
+    rows = folded(spark, sf).select(F.col("sequence_id").alias("sample_id"), "fold")
+    twice = rows.where("sample_id % 17 = 0").withColumn("fold", (F.col("fold") + 1) % 3)
+    return dq.shared_ids(rows.union(twice).select("sample_id", F.col("fold").cast("string").alias("split")))
 
 
 @query("j5_membership", with_ctes("SELECT count(*) AS unknown_ids FROM fold WHERE fold <> 0", "fold"))
@@ -256,9 +353,12 @@ def v4(spark, sf):
     return rounded(out)
 
 
-@query("v8_flatten_sample")
+@query("v8_flatten_sample", with_ctes(_PLAN.rstrip() + f", {_ENCODED.rstrip()}, fl AS (SELECT sample_id, list(list_concat(list_transform(v, lambda e: CASE WHEN ln > 0 THEN e / ln ELSE 0 END), [CASE WHEN mask = 1 THEN (ln(1 + c) - 1) / 2 ELSE 0 END]) ORDER BY i) AS x, list(mask ORDER BY i) AS m FROM un GROUP BY 1) SELECT sample_id, CAST(len(flatten(x)) + 4 AS INTEGER) AS width, " + r("list_sum(list_transform(range(1, 261), lambda k: k * flatten(x)[k])) + 261 * m[1] + 262 * m[2] + 263 * m[3] + 264 * m[4]", "weighted", 3) + " FROM fl", "fold", "att"))
 def v8(spark, sf):
-    return _samples(spark, sf).select("sample_id", ar.flatten_sample(F.col("x"), F.col("mask"), 1).alias("flat"))
+    """Length and weighted sum of every flat sample; the weights are the places, so that the order shows."""
+    flat = _samples(spark, sf).select("sample_id", ar.flatten_sample(F.col("x"), F.col("mask"), 0).alias("flat"))
+    total = F.aggregate(F.zip_with("flat", F.sequence(F.lit(1), F.size("flat")), lambda v, k: v * k), F.lit(0.0), lambda a, e: a + e)
+    return rounded(flat.select("sample_id", F.size("flat").alias("width"), total.alias("weighted")), 3)
 
 
 @query("v11_embedding_smoothness")
