@@ -2,63 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
+from flowlens.storage import materialise  # noqa: F401  (the operators take it from here)
+
 #: A key with more than one in CROWDED of a table's rows, and more than LEAST rows, is dealt to several tasks.
 CROWDED, LEAST = 1024, 4096
+#: Rows of a few numbers that are broadcast at most.
+NARROW = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
+def narrow_join(many: DataFrame, one: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """``many`` joined to ``one``, which has a row for each key and few, short columns.
 
-    On one machine, as in tests, a temporary folder stands in where it is unset. On a cluster that is an
-    error, as executors would write to disks that others cannot read.
+    ``one`` is counted, so it should be a written table: up to NARROW rows it is broadcast, beyond that crowded keys
+    of ``many`` are dealt to several tasks.
     """
-    found = spark.conf.get(CHECKPOINT_DIR, None)
-    if not found:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            found = current.rsplit("/", 1)[0]
-        elif spark.sparkContext.master.startswith("local"):
-            found = "file://" + tempfile.mkdtemp(prefix="flowlens-")
-        else:
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that driver and executors share")
-        spark.conf.set(CHECKPOINT_DIR, found)
-    return found.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session has ended already; the folder is the cluster's scratch space
-        return
-
-
-def materialise(df: DataFrame, name: str, done: tuple[DataFrame, ...] = ()) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back.
-
-    This cuts the lineage: later stages read files that survive the loss of any executor. Tables that
-    nothing reads any more once this one is written can be named as ``done``; the others are removed when
-    the driver exits.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/flowlens-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    out = spark.read.schema(schema).parquet(path)
-    out._flowlens_path = path
-    for table in done:
-        _remove(spark, table._flowlens_path)
-    return out
+    return many.join(F.broadcast(one), on, how) if one.count() <= NARROW else spread_join(many, one, on, how)
 
 
 def spread_join(many: DataFrame, one: DataFrame, on: str | list[str], how: str = "inner", crowded: int = CROWDED, least: int = LEAST) -> DataFrame:

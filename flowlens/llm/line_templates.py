@@ -17,8 +17,8 @@ only, count each, even if templates are all that they hold. A document counts on
 many of its lines have it.
 
 Each text is masked once. Hashes are counted and shuffled, with partial aggregation before each shuffle; masks
-are read again for the lines of frequent leaves, texts are shuffled once, when lines are dropped. Joins on
-leaves, lines and templates deal crowded keys to several tasks.
+are read again for the lines of frequent leaves, texts are shuffled once, when lines are dropped. Leaves and lines to look
+for are counted and, up to a million, broadcast; other joins deal crowded keys to several tasks.
 
 Defined results: null text stays null, an empty text stays empty; blank lines are kept. Rows that repeat an id
 keep their own lines. A document may lose all its lines and stays as an empty text. All columns and
@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import materialise, spread_join, unused
+from flowlens.llm.common import materialise, narrow_join, spread_join, unused
 from flowlens.llm.graph import connected_components
 
 WILD = "<*>"
@@ -91,13 +91,14 @@ def templates(rows: DataFrame, min_docs: int = 10, constant: float = 0.6) -> Dat
     spots = materialise(spots, "spots")
     often = materialise(spots.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
     parts = materialise(contents(rows), "contents")
-    named = materialise(spread_join(spots, often, "leaf", "left_semi"), "frequent", done=(spots,))
+    named = materialise(narrow_join(spots, often, "leaf", "left_semi"), "frequent", done=(spots,))
     named = named.join(parts, "digest", "left").select(F.coalesce("content", "digest").alias("content"), "leaf", "h").distinct()
     spots = materialise(named, "spots")
     counted = materialise(spots.groupBy("leaf", "h").agg(F.count("*").alias("docs")), "counted")
     held = counted.groupBy("leaf").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     counted = materialise(spread_join(counted, held, "leaf", "left_semi"), "counted", done=(counted,))
-    words = rows.select(F.explode("lines").alias("x")).where("x IS NOT NULL").select("x.h", "x.mask").join(counted.select("h").distinct(), "h", "left_semi")
+    wanted = materialise(counted.select("h").distinct(), "wanted")
+    words = narrow_join(rows.select(F.explode("lines").alias("x")).where("x IS NOT NULL").select("x.h", "x.mask"), wanted, "h", "left_semi")
     words = materialise(words.groupBy("h").agg(F.min("mask").alias("mask")), "words")
     tokens = spread_join(counted, words, "h").select("leaf", "h", "docs", F.posexplode(F.split("mask", " ")).alias("place", "token"))
     tokens = materialise(tokens, "tokens")
@@ -126,8 +127,8 @@ def drop_recurring(df: DataFrame, id_col: str = "doc_id", text: str = "text", de
     boilerplate = materialise(templates(rows, min_docs, constant).select("h").distinct(), "boilerplate")
     key, digest, gone = unused(df.columns, "key", "digest", "gone")
     spots = rows.select("id", "digest", F.posexplode("lines").alias("place", "x")).select("id", "digest", "place", "x.h")
-    spots = materialise(spots.where("h IS NOT NULL"), "lines-at")
-    dropped = spread_join(spots, boilerplate, "h", "left_semi").groupBy(F.col("id").alias(key), F.col("digest").alias(digest)).agg(F.collect_set("place").alias(gone))  # at most a text's lines
+    spots = spots.where("h IS NOT NULL")
+    dropped = narrow_join(spots, boilerplate, "h", "left_semi").groupBy(F.col("id").alias(key), F.col("digest").alias(digest)).agg(F.collect_set("place").alias(gone))  # at most a text's lines
     said = F.col(f"`{text}`")
     joined = df.join(dropped, F.col(f"`{id_col}`").eqNullSafe(F.col(key)) & (F.xxhash64(said) == F.col(digest)), "left")
     kept = F.filter(F.split(said, "\n"), lambda _, i: ~F.array_contains(gone, i))
