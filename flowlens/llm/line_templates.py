@@ -49,7 +49,7 @@ def masks(text: Column) -> Column:
     """Each line of the text with single spaces and each token that holds a digit as a wildcard."""
     whole = F.when(text.rlike("[0-9]"), F.regexp_replace(text, VARIABLE, WILD)).otherwise(text)
     spaced = F.regexp_replace(whole, r"[^\S\n]{2,}|[^\S\n ]", " ")
-    return F.transform(F.split(spaced, "\n"), F.trim)
+    return F.transform(F.split(spaced, "\n"), lambda x: F.trim(x))
 
 
 def leaf(mask: Column, depth: int) -> Column:

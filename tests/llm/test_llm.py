@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from flowlens.llm import ann, bpe, chat, decontamination, html_text, licenses, line_templates, passages, simhash, toxicity
 from flowlens.llm.graph import connected_components
 from flowlens.llm.license_texts import MIT
-from flowlens.llm.queries import BYTE_BPE
+from flowlens.llm.queries import byte_bpe
+
+BYTE_BPE = byte_bpe()
 
 DOCS = "doc_id bigint, text string"
 
