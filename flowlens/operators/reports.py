@@ -178,3 +178,16 @@ def changed_profile(pairs: DataFrame, keys: list[str], medians: list[str], host:
 
     rows = pairs.withColumn("outcome", paired_outcome(F.col("before"), F.col("after")))
     return rows.groupBy(*keys, "outcome").agg(F.count("*").alias("n"), F.countDistinct(host).alias("hosts"), *(F.median(c).alias(f"{c}_median") for c in medians))
+
+
+def cohort_profiles(sequences: DataFrame, active: DataFrame, groups: list[str]) -> DataFrame:
+    """RP9: for each group of sequences its size and the medians of the mask features and the flow counts.
+
+    ``active``: buckets in long form (keys, bucket).
+    """
+    from flowlens.functions.arrays import mask_features
+    from flowlens.operators.features import group_medians
+
+    shapes = mask_features(active).select("source_ip", "window_start_ms", "adjacent_pairs", "longest_run", "largest_gap")
+    rows = sequences.join(shapes, ["source_ip", "window_start_ms"])
+    return group_medians(rows, groups, ["flows", "active_buckets", "adjacent_pairs", "longest_run", "largest_gap"])

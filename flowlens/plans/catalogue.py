@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from flowlens.plans import eval_queries, flow_queries, split_queries  # noqa: F401
+from flowlens.plans import eval_queries, flow_queries, io_queries, split_queries  # noqa: F401

@@ -204,7 +204,7 @@ def dn3(spark, sf):
     return _plan(spark, sf)[2]
 
 
-@query("dn5_check_plan", with_ctes(_PLAN + "SELECT count(*) FILTER (sample_id % 11 = 1) AS wrong_rows, count(*) FILTER (sample_id % 11 = 1 AND sample_type = 'synthetic_malicious') AS wrong_classes, CAST(0 AS BIGINT) AS repeated_ids, count(*) FILTER (sample_id % 11 = 2) AS ids_out_of_range, count(*) FILTER (sample_id % 11 = 3) AS donors_not_in_train, count(*) FILTER (sample_id % 11 = 5 AND sample_type = 'synthetic_malicious') AS left_not_benign, count(*) FILTER (sample_id % 11 IN (3, 5)) AS same_host, count(*) FILTER (sample_id % 11 = 4 AND sample_type = 'synthetic_malicious') AS class_mismatch, count(*) FILTER (sample_id % 11 = 6) AS bad_shift FROM plan_", "fold", "att"))
+@query("dn5_check_plan", with_ctes(_PLAN + "SELECT count(*) FILTER (sample_id % 11 = 1) AS wrong_rows, count(*) FILTER (sample_id % 11 = 1 AND sample_type = 'synthetic_malicious') AS wrong_classes, CAST(0 AS BIGINT) AS repeated_ids, count(*) FILTER (sample_id % 11 = 2) AS ids_out_of_range, count(*) FILTER (sample_id % 11 = 3) AS donors_not_in_train, count(*) FILTER (sample_id % 11 = 3 OR (sample_id % 11 = 5 AND sample_type = 'synthetic_malicious')) AS left_not_benign, count(*) FILTER (sample_id % 11 IN (3, 5)) AS same_host, count(*) FILTER (sample_id % 11 = 4 AND sample_type = 'synthetic_malicious') AS class_mismatch, count(*) FILTER (sample_id % 11 = 6) AS bad_shift FROM plan_", "fold", "att"))
 def dn5(spark, sf):
     """Violations of a plan with planted faults, by the sample id's remainder: rows taken out (1), ids moved (2), a
     left donor that does not exist (3), another type (4), the right donor on both sides (5), a shift too large (6)."""
@@ -288,8 +288,8 @@ _ALL = "x AS (SELECT sequence_id AS sample_id, attack_flows > 0 AS bad FROM fold
 @query(
     "dq1_validate_export",
     with_ctes(
-        f"+ {_ALL}SELECT count(*) FILTER (sample_id % 13 = 0) AS missing_samples, count(*) FILTER (sample_id % 13 = 1) AS unplanned_samples, count(*) FILTER (sample_id % 13 = 2) AS repeated_samples, "
-        "count(*) FILTER (sample_id % 13 IN (0, 1, 3)) AS vectors_differ, count(*) FILTER (sample_id % 13 IN (0, 1)) AS mask_differ, count(*) FILTER (sample_id % 13 IN (0, 1, 4)) AS y_bucket_differ, count(*) FILTER (sample_id % 13 IN (0, 1, 5)) AS flow_counts_differ FROM x",
+        f"+ {_ALL}SELECT count(*) FILTER (sample_id % 13 IN (0, 1)) AS missing_samples, count(*) FILTER (sample_id % 13 = 1) AS unplanned_samples, count(*) FILTER (sample_id % 13 = 2) AS repeated_samples, "
+        + ", ".join(f"count(*) FILTER (sample_id % 13 = 0) + 2 * count(*) FILTER (sample_id % 13 = 1) + count(*) FILTER (sample_id % 13 = {k}) AS {n}_differ" for n, k in (("vectors", 3), ("mask", -1), ("y_bucket", 4), ("flow_counts", 5))) + " FROM x",
         "fold",
     ),
 )
@@ -310,12 +310,12 @@ def dq1(spark, sf):
 
 @query("dq3_bucket_targets", with_ctes(f"+ {_ALL}SELECT count(*) FILTER (sample_id % 7 = 0) AS not_binary, count(*) FILTER (sample_id % 7 = 1) AS target_on_padding, count(*) FILTER (sample_id % 7 IN (0, 2)) AS label_mismatch FROM x", "fold"))
 def dq3(spark, sf):
-    """Planted faults by the sample id's remainder: a target of 2 (0), a mask without any bucket under a target (1), another label (2)."""
+    """Planted faults by the sample id's remainder: targets of 2 (0), a mask without any bucket under a target (1), another label (2)."""
     kind = F.col("sample_id") % 7
     bad = _samples(spark, sf).select(
         "sample_id",
         F.when(kind == 1, F.transform("mask", lambda m: m * 0)).otherwise(F.col("mask")).alias("mask"),
-        F.when(kind == 0, F.transform("y_bucket", lambda e: F.lit(2))).when(kind == 1, F.transform("y_bucket", lambda e: F.lit(1))).otherwise(F.col("y_bucket")).alias("y_bucket"),
+        F.when(kind == 0, F.transform("mask", lambda m: m * 2)).when(kind == 1, F.transform("y_bucket", lambda e: F.lit(1))).otherwise(F.col("y_bucket")).alias("y_bucket"),
         F.when(kind == 1, 1).when(kind == 2, 1 - F.col("y")).otherwise(F.col("y")).alias("y"),
     )
     return dq.bucket_target_faults(bad)
@@ -361,7 +361,7 @@ def v8(spark, sf):
     return rounded(flat.select("sample_id", F.size("flat").alias("width"), total.alias("weighted")), 3)
 
 
-@query("v11_embedding_smoothness")
+@query("v11_embedding_smoothness", "WITH u AS (SELECT label, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda e: e / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings), s AS (SELECT label, v, lag(v) OVER (PARTITION BY label ORDER BY vec_id) AS w FROM u), p AS (SELECT label, count(*) AS k, avg(list_dot_product(v, w)) AS successive, sum(list_dot_product(v, v)) AS own FROM s GROUP BY 1), q AS (SELECT label, sum(x * x) AS square FROM (SELECT label, i, sum(v[i]) AS x FROM u, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2) GROUP BY 1) SELECT label, k, " + r("successive", "successive") + ", " + r("(square - own) / (k * (k - 1))", "permuted") + ", " + r("successive - (square - own) / (k * (k - 1))", "excess") + " FROM p JOIN q USING (label) WHERE k >= 3")
 def v11(spark, sf):
     return rounded(ar.embedding_smoothness(embeddings(spark, sf), ["label"], "vec_id", "embedding"))
 
@@ -388,3 +388,16 @@ def v13(spark, sf):
     return rounded(scored.select("vec_id", ar.decision_margin(F.col("embedding"), _WEIGHTS, 0.1, 0.3).alias("margin"), ar.residual(F.col("embedding"), _WEIGHTS).alias("rest"), "score", "alignment"))
 
 
+@query("v6_intensity", with_ctes(f"SELECT {K}, " + r("CASE WHEN active_buckets > 1 THEN (ln(1 + flows) - 1.5) / 2 ELSE 0 END", "intensity") + " FROM seq0", "seq0"))
+def v6(spark, sf):
+    s = sequences(spark, sf)
+    return rounded(s.select("source_ip", "window_start_ms", ar.intensity(F.col("flows"), 1.5, 2.0, (F.col("active_buckets") > 1).cast("int")).alias("intensity")))
+
+
+@query("w18_canonical_zero", "SELECT vec_id, CASE WHEN trunc(embedding[1]) = 0 THEN '0.0' ELSE CAST(CAST(trunc(embedding[1]) AS INTEGER) AS VARCHAR) || '.0' END AS text FROM embeddings")
+def w18(spark, sf):
+    """Whole parts as text: those of small negative numbers are -0.0 before."""
+    from flowlens.functions.scalars import canonical_zero
+
+    e = F.get("embedding", 0).cast("double")
+    return embeddings(spark, sf).select("vec_id", canonical_zero(F.signum(e) * F.floor(F.abs(e))).cast("string").alias("text"))

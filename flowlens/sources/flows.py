@@ -139,9 +139,19 @@ def validate_flows(flows: DataFrame) -> DataFrame:
     return flows
 
 
-def read_samples(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """SRC6: model samples of one split; the partition column prunes the files."""
-    return spark.read.parquet(path).where(F.col("split") == split)
+def read_samples(spark: SparkSession, path: str, split: str, buckets: int | None = None, width: int | None = None) -> DataFrame:
+    """SRC6: model samples of one split; the partition column prunes the files.
+
+    With ``buckets`` and ``width`` the contract of samples is checked in one pass, and a breach is an error.
+    """
+    rows = spark.read.parquet(path).where(F.col("split") == split)
+    if buckets is not None and width is not None:
+        from flowlens.operators.quality import sample_faults
+
+        faults = sample_faults(rows, buckets, width).first().asDict()
+        if any(faults.values()):
+            raise ValueError(f"samples of {split} break their contract: {faults}")
+    return rows
 
 
 def iter_samples(spark: SparkSession, path: str, split: str):
@@ -149,14 +159,26 @@ def iter_samples(spark: SparkSession, path: str, split: str):
     return read_samples(spark, path, split).toLocalIterator(prefetchPartitions=True)
 
 
-def read_predictions(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """SRC8: score tables of several runs; scores are checked on reading them."""
+def read_predictions(spark: SparkSession, paths: list[str], saved: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """SRC8: score tables of several runs; scores are checked on reading them.
+
+    ``saved`` (keys, point, threshold, tp, fp) are measures that were written with the scores: they are counted
+    again, and any difference or missing run is an error.
+    """
     from flowlens.operators.quality import prediction_faults
 
     rows = spark.read.parquet(*paths)
     faults = prediction_faults(rows).first()
     if any(faults[c] for c in ("not_finite", "out_of_range", "bad_label", "missing_class")):
         raise ValueError(f"invalid predictions: {faults.asDict()}")
+    if saved is not None:
+        from flowlens.operators.metrics import at_thresholds
+        from flowlens.operators.quality import replay_differences
+
+        found = at_thresholds(rows, saved.select(*(keys or []), "point", "threshold"), keys or [])
+        off = replay_differences(found, saved, [*(keys or []), "point"], ["tp", "fp"]).first()
+        if any(off):
+            raise ValueError(f"scores do not give the saved counts: {off.asDict()}")
     return rows
 
 

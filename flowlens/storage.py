@@ -39,6 +39,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder; what is written there is removed when the driver exits."""
+    path = f"{shared_dir(spark)}/flowlens-{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def materialise(df: DataFrame, name: str, done: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
@@ -47,10 +54,9 @@ def materialise(df: DataFrame, name: str, done: tuple[DataFrame, ...] = ()) -> D
     the driver exits.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/flowlens-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
     out = spark.read.schema(schema).parquet(path)
     out._flowlens_path = path
     for table in done:
