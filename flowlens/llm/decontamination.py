@@ -106,12 +106,34 @@ def _sums(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _parts(batch: pa.RecordBatch, rows: int = 256, words: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most so many rows, and words unless one row has more."""
+    ends = batch.column(batch.schema.names.index("words")).offsets.to_numpy()
+    start = 0
+    while start < batch.num_rows:
+        most = int(np.searchsorted(ends, ends[start] + words, side="right")) - 1
+        n = max(1, min(rows, most - start))
+        yield batch.slice(start, n)
+        start += n
+
+
+def _block_sums(table: np.ndarray, w: np.ndarray, b: np.ndarray, n: int, words: int = 200_000) -> np.ndarray:
+    """Sums of the words' rows of ``table`` by ascending block; so many words at a time."""
+    out = np.zeros((n, table.shape[1]), table.dtype)
+    low = 0
+    while low < len(w):
+        high = int(np.searchsorted(b, b[min(low + words, len(w)) - 1], side="right"))
+        out[b[low] : b[high - 1] + 1] = _sums(table[w[low:high]], b[low:high] - b[low], int(b[high - 1] - b[low]) + 1)
+        low = high
+    return out
+
+
 def document_frequencies(rows: DataFrame, n_words: int) -> tuple[np.ndarray, int]:
     """(passages that hold each word, passages)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, blocks = np.zeros(n_words + 1, np.int64), 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             words, offsets = _flat(batch)
             first = _first_blocks(offsets)
             row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -153,12 +175,12 @@ def latent_space(rows: DataFrame, idf: np.ndarray, rank: int, seed: int = 3) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w0 = shared.value
         total = np.zeros(w0.shape, np.float64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             words, offsets = _flat(batch)
             w, b, first = _blocks(words, offsets)
-            passages = _sums(w0[w], b, int(first[-1]))
+            passages = _block_sums(w0, w, b, int(first[-1]))
             order = np.argsort(w, kind="stable")
-            total += _sums(passages[b[order]], w[order], n)
+            total += _block_sums(passages, b[order], w[order], n)
         parts = [total[s : s + per].tobytes() for s in range(0, n, per)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "sums"])
 
@@ -254,7 +276,7 @@ def find(rows: DataFrame, items: list[tuple[int, list[int]]], space: np.ndarray,
                 plans.append((size, targets, margin, start, end))
         used = np.cumsum(live)[b] > 0
         sums = np.zeros((n_blocks + 1, space.shape[1]))
-        np.cumsum(_sums(space[w[used]], b[used], n_blocks), axis=0, out=sums[1:])
+        np.cumsum(_block_sums(space, w[used], b[used], n_blocks), axis=0, out=sums[1:])
         for size, targets, margin, start, end in plans:
             for k in range(0, len(start), 8192):
                 s, e = start[k : k + 8192], end[k : k + 8192]
@@ -263,9 +285,11 @@ def find(rows: DataFrame, items: list[tuple[int, list[int]]], space: np.ndarray,
                 r = row_of[s[at]]
                 lo = np.maximum(0, (s[at] - first[r]) * BLOCK - margin)
                 hi = np.minimum(np.diff(offsets)[r], (e[at] - first[r]) * BLOCK + margin)
-                for j in range(0, len(at), 16384):
-                    part_of = slice(j, j + 16384)
-                    place = lo[part_of, None] + np.arange(size * BLOCK + 2 * margin)
+                width = size * BLOCK + 2 * margin
+                many = max(64, 1_000_000 // width)
+                for j in range(0, len(at), many):
+                    part_of = slice(j, j + many)
+                    place = lo[part_of, None] + np.arange(width)
                     place = np.where(place < hi[part_of, None], offsets[r[part_of]][:, None] + place, len(words))
                     for g in targets.promising(item[part_of], padded[place], part) + j:
                         yield int(r[g]), targets.chosen[item[g]], int(lo[g]), int(hi[g]), float(near[at[g], item[g]])
@@ -275,8 +299,7 @@ def find(rows: DataFrame, items: list[tuple[int, list[int]]], space: np.ndarray,
         names = ["doc_id", "item_id", "start_word", "end_word", "lcs", "answer_found", "cosine"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.float64()]
         for whole in batches:
-            for s0 in range(0, whole.num_rows, 256):
-                batch = whole.slice(s0, 256)
+            for batch in _parts(whole):
                 words, offsets = _flat(batch)
                 best: dict[tuple[int, int], tuple] = {}
                 for r, item, lo, hi, near in candidates(words, offsets):
