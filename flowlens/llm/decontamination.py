@@ -10,8 +10,9 @@ them if its answer, its last ``answer`` words, is there in full as well. Reorder
 first measure, replaced words both, so that paraphrases pass only with the answer kept.
 
 Frequencies and the factorisation cover every word and every passage of every document; nothing is sampled. A
-window is only projected if its region holds one of the rarest words of some item, so many of each item that a
-common subsequence of ``part`` of its words must use one of them: no match is lost by that. Items are taken in
+window is only compared with an item if the region around it holds enough of the item's words for a match: its words
+that are in at most COMMON of the passages are counted there, the others are taken as found. No match is lost by
+that. Items are taken in
 blocks of at most ``items`` with at most ``cells`` pairs of item and word, which bounds what is sent to all
 tasks. Documents are read once for each block and kept as word numbers in the shared folder; nothing but sums is
 shuffled, one table of them for each task that runs at once.
@@ -39,6 +40,8 @@ WORD = re.compile(r"\w+")
 #: Words of a block; windows are so many blocks and move by so many. An item takes the least that holds it.
 BLOCK = 8
 SCALES = ((2, 1), (4, 1), (8, 2), (16, 4), (32, 8), (64, 16))
+#: Words in a larger share of the passages bound no candidate; items that are searched together.
+COMMON, GROUP = 0.01, 256
 SCHEMA = "doc_id bigint, item_id bigint, start_word int, end_word int, lcs double, answer_found boolean, cosine double"
 
 
@@ -118,16 +121,27 @@ def _parts(batch: pa.RecordBatch, rows: int = 256, words: int = 200_000) -> Iter
 
 
 def _block_sums(table: np.ndarray, w: np.ndarray, b: np.ndarray, n: int, words: int = 200_000) -> np.ndarray:
-    """Sums of the words' rows of ``table`` by ascending block; so many words at a time."""
+    """Sums of the words' rows of ``table`` by ascending block: the first words of all blocks, then the second ones, and so on."""
     out = np.zeros((n, table.shape[1]), table.dtype)
-    low = 0
-    while low < len(w):
-        high = int(np.searchsorted(b, b[min(low + words, len(w)) - 1], side="right"))
-        out[b[low] : b[high - 1] + 1] = _sums(table[w[low:high]], b[low:high] - b[low], int(b[high - 1] - b[low]) + 1)
-        low = high
+    place = np.arange(len(b)) - np.searchsorted(b, b)
+    for k in range(BLOCK):
+        at = np.flatnonzero(place == k)
+        for s in range(0, len(at), words):
+            part = at[s : s + words]
+            out[b[part]] += table[w[part]]
     return out
 
 
+def _word_sums(passages: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, words: int = 200_000) -> np.ndarray:
+    """Sums of the blocks' rows of ``passages`` by word; so many words at a time."""
+    order = np.argsort(w, kind="stable")
+    total = np.zeros((n, passages.shape[1]))
+    for s in range(0, len(order), words):
+        part = order[s : s + words]
+        total += _sums(passages[b[part]], w[part], n)
+    return total
+
+
 def document_frequencies(rows: DataFrame, n_words: int) -> tuple[np.ndarray, int]:
     """(passages that hold each word, passages)."""
 
@@ -157,12 +171,6 @@ def document_frequencies(rows: DataFrame, n_words: int) -> tuple[np.ndarray, int
     return out, passages
 
 
-def certain_words(counts: np.ndarray, words: list[int], part: float) -> list[int]:
-    """The rarest words of an item, so many that no ``part`` of it can do without all of them."""
-    ordered = sorted(words, key=lambda w: (counts[w], w))
-    return ordered[: int((1 - part) * len(words) + 1e-9) + 1]
-
-
 def latent_space(rows: DataFrame, idf: np.ndarray, rank: int, seed: int = 3) -> np.ndarray:
     """Leading right singular vectors of the passages' TF-IDF matrix, times idf: a row for each word."""
     n = len(idf)
@@ -179,8 +187,7 @@ def latent_space(rows: DataFrame, idf: np.ndarray, rank: int, seed: int = 3) ->
             words, offsets = _flat(batch)
             w, b, first = _blocks(words, offsets)
             passages = _block_sums(w0, w, b, int(first[-1]))
-            order = np.argsort(w, kind="stable")
-            total += _block_sums(passages, b[order], w[order], n)
+            total += _word_sums(passages, b, w, n)
         parts = [total[s : s + per].tobytes() for s in range(0, n, per)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "sums"])
 
@@ -204,10 +211,24 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 class Targets:
-    """Items of one window scale: unit vectors, word numbers, and what bounds a common subsequence."""
+    """Items of one window scale: unit vectors, word numbers, and what bounds a common subsequence.
 
-    def __init__(self, chosen: list[int], items: list[tuple[int, list[int]]], space: np.ndarray):
+    ``scarce[w, i]`` tells that item i holds word w and that w is not ``common``. No common subsequence with a region
+    is longer than the region's scarce words of the item and all common words of the item together.
+    """
+
+    def __init__(self, scale: int, chosen: list[int], items: list[tuple[int, list[int]]], space: np.ndarray, common: np.ndarray, part: float):
+        self.size, self.step = SCALES[scale]
         self.chosen, n_words = chosen, len(space)
+        # an item beyond the largest window is sought in a region as much longer
+        width = self.size * BLOCK
+        self.margin = max([BLOCK, width // 2, *(len(items[i][1]) for i in chosen if len(items[i][1]) > width)])
+        self.scarce, self.needed = np.zeros((n_words, len(chosen)), np.uint8), np.zeros(len(chosen))
+        for j, i in enumerate(chosen):
+            mine = np.array(items[i][1])
+            self.scarce[mine[~common[mine]], j] = 1
+            self.needed[j] = part * len(mine) - common[mine].sum()
+        self.told = self.scarce.any(axis=1)
         words = [items[i][1] for i in chosen]
         self.lengths = np.array([len(w) for w in words], np.int64)
         self.units = _unit(np.array([space[w].sum(axis=0) for w in words], np.float32)) if chosen else np.zeros((0, space.shape[1]), np.float32)
@@ -241,58 +262,58 @@ def _runs(item: list[int], region: list[int]) -> bool:
     return any(region[i : i + n] == item for i in range(len(region) - n + 1))
 
 
-def find(rows: DataFrame, items: list[tuple[int, list[int]]], space: np.ndarray, counts: np.ndarray, cosine: float, full: float, part: float, answer: int, short: int) -> DataFrame:
+def find(rows: DataFrame, items: list[tuple[int, list[int]]], space: np.ndarray, counts: np.ndarray, passages: int, cosine: float, full: float, part: float, answer: int, short: int) -> DataFrame:
     """Candidates by cosine and their checks, for one block of items."""
-    sizes = [size * BLOCK for size, _ in SCALES]
-    scale_of = [next((s for s, n in enumerate(sizes) if len(w) <= n), len(sizes) - 1) for _, w in items]
-    by_scale = [Targets([i for i, t in enumerate(scale_of) if t == s], items, space) for s in range(len(SCALES))]
-    certain = []
-    for t in by_scale:
-        held = np.zeros(len(counts) + 1, bool)  # the last entry is for unknown words
-        held[[w for i in t.chosen for w in certain_words(counts, items[i][1], part)]] = True
-        certain.append(held)
-    # an item beyond the largest window is sought in a region as much longer
-    spare = [max([BLOCK, size // 2, *(len(items[i][1]) for i in t.chosen if len(items[i][1]) > size)]) for size, t in zip(sizes, by_scale, strict=True)]
-    shared = rows.sparkSession.sparkContext.broadcast((items, space, certain, by_scale))
+    fits = lambda words: next((s for s, (size, _) in enumerate(SCALES) if len(words) <= size * BLOCK), len(SCALES) - 1)
+    groups: dict[int, list[int]] = {}
+    for i, (_, words) in enumerate(items):
+        groups.setdefault(fits(words), []).append(i)
+    common = counts > COMMON * max(1, passages)
+    targets = [Targets(s, chosen[k : k + GROUP], items, space, common, part) for s, chosen in sorted(groups.items()) for k in range(0, len(chosen), GROUP)]
+    shared = rows.sparkSession.sparkContext.broadcast((items, space, targets))
 
     def candidates(words: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
         """(row, item, first word, last word, cosine) of pairs that can pass the check."""
-        _, space, certain, by_scale = shared.value
+        _, space, targets = shared.value
         w, b, first = _blocks(words, offsets)
         n_blocks = int(first[-1])
         row_of = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
         low, high = first[row_of], first[row_of + 1]
-        padded = np.append(words, -1)
-        plans, live = [], np.zeros(n_blocks + 1, np.int64)
-        for (size, step), targets, margin, held in zip(SCALES, by_scale, spare, certain, strict=True):
-            start = np.flatnonzero((np.arange(n_blocks) - low) % step == 0) if targets.chosen else np.zeros(0, np.int64)
-            if len(start):
-                count = np.concatenate([[0], np.cumsum(np.bincount(b[held[w]], minlength=n_blocks))])
-                end, wide = np.minimum(start + size, high[start]), -(-margin // BLOCK)
-                some = count[np.minimum(end + wide, high[start])] > count[np.maximum(start - wide, low[start])]
-                start, end = start[some], end[some]
-                np.add.at(live, start, 1)
-                np.add.at(live, end, -1)
-                plans.append((size, targets, margin, start, end))
+        padded, sizes = np.append(words, -1), np.diff(offsets)
+        found, live = [], np.zeros(n_blocks + 1, np.int64)
+        for t in targets:
+            held = np.zeros((n_blocks + 1, len(t.chosen)), np.int32)
+            told = t.told[w]
+            np.cumsum(_block_sums(t.scarce, w[told], b[told], n_blocks), axis=0, out=held[1:])
+            start = np.flatnonzero((np.arange(n_blocks) - low) % t.step == 0)
+            wide = -(-t.margin // BLOCK)
+            for k in range(0, len(start), 8192):
+                s = start[k : k + 8192]
+                e = np.minimum(s + t.size, high[s])
+                at, item = np.nonzero(held[np.minimum(e + wide, high[s])] - held[np.maximum(s - wide, low[s])] >= t.needed)
+                found.append((t, s[at], e[at], item))
+                np.add.at(live, s[at], 1)
+                np.add.at(live, e[at], -1)
         used = np.cumsum(live)[b] > 0
         sums = np.zeros((n_blocks + 1, space.shape[1]))
         np.cumsum(_block_sums(space, w[used], b[used], n_blocks), axis=0, out=sums[1:])
-        for size, targets, margin, start, end in plans:
-            for k in range(0, len(start), 8192):
-                s, e = start[k : k + 8192], end[k : k + 8192]
-                near = _unit((sums[e] - sums[s]).astype(np.float32)) @ targets.units.T
-                at, item = np.nonzero(near >= cosine)
-                r = row_of[s[at]]
-                lo = np.maximum(0, (s[at] - first[r]) * BLOCK - margin)
-                hi = np.minimum(np.diff(offsets)[r], (e[at] - first[r]) * BLOCK + margin)
-                width = size * BLOCK + 2 * margin
+        for t, start, end, item in found:
+            for k in range(0, len(start), 65536):
+                s, e, i = start[k : k + 65536], end[k : k + 65536], item[k : k + 65536]
+                near = (_unit((sums[e] - sums[s]).astype(np.float32)) * t.units[i]).sum(axis=1)
+                good = near >= cosine
+                s, e, i, near = s[good], e[good], i[good], near[good]
+                r = row_of[s]
+                lo = np.maximum(0, (s - first[r]) * BLOCK - t.margin)
+                hi = np.minimum(sizes[r], (e - first[r]) * BLOCK + t.margin)
+                width = t.size * BLOCK + 2 * t.margin
                 many = max(64, 1_000_000 // width)
-                for j in range(0, len(at), many):
+                for j in range(0, len(s), many):
                     part_of = slice(j, j + many)
                     place = lo[part_of, None] + np.arange(width)
                     place = np.where(place < hi[part_of, None], offsets[r[part_of]][:, None] + place, len(words))
-                    for g in targets.promising(item[part_of], padded[place], part) + j:
-                        yield int(r[g]), targets.chosen[item[g]], int(lo[g]), int(hi[g]), float(near[at[g], item[g]])
+                    for g in t.promising(i[part_of], padded[place], part) + j:
+                        yield int(r[g]), t.chosen[i[g]], int(lo[g]), int(hi[g]), float(near[g])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value[0]
@@ -333,7 +354,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text:
         numbered = [(i, [numbers[w] for w in ws]) for i, ws in block]
         idf = np.log((passages + 1) / (counts + 1)) + 1e-3
         space = latent_space(rows, idf, rank)
-        out = out.union(find(rows, numbered, space, counts, cosine, full, part, answer, short))
+        out = out.union(find(rows, numbered, space, counts, passages, cosine, full, part, answer, short))
     return out
 
 

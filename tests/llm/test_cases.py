@@ -191,17 +191,6 @@ def test_decontamination_against_full_comparison(spark):
     assert len(want & got) >= 0.98 * len(want) and all(w in want or w[0] in (None, 100) or w in planted for w in got)
 
 
-def test_certain_words_are_needed():
-    draw = random.Random(1)
-    for _ in range(300):
-        words = [draw.randrange(12) for _ in range(draw.randint(1, 30))]
-        counts = np.array([draw.randrange(5) for _ in range(12)])
-        left = list(words)
-        for w in decontamination.certain_words(counts, words, 0.6):
-            left.remove(w)
-        assert len(left) < 0.6 * len(words)
-
-
 # Operator 4
 
 
