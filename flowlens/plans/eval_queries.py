@@ -480,37 +480,47 @@ def ml1(spark, sf):
 
 @query("ml2_ml8_boosted_trees")
 def ml2(spark, sf):
-    rows = embeddings(spark, sf).select(F.col("vec_id").alias("sample_id"), (F.col("label") < 5).cast("int").alias("y"), F.col("embedding").cast("array<double>").alias("flat"))
-    rows = mt.group_weights(rows, "y")
-    model = ml.fit_boosted_trees(rows, rounds=3, depth=3)
-    return ml.tree_responses(model, ml.score_trees(model, rows)).select("sample_id", "y", "score", "responses")
+    """Trees on the flat inputs of the training samples, with group weights; the responses are those of the test samples."""
+    from flowlens.functions.arrays import flatten_sample
+    from flowlens.plans.split_queries import _samples
+
+    rows = _samples(spark, sf).select("sample_id", "sample_type", "split", "y", flatten_sample(F.col("x"), F.col("mask")).alias("flat"))
+    model = ml.fit_boosted_trees(mt.group_weights(rows.where("split = 'train'"), "sample_type"), rounds=5, depth=3)
+    return ml.tree_responses(model, ml.score_trees(model, rows.where("split = 'test'"))).select("sample_id", "y", "score", "responses")
 
 
 def _probe_rows(spark, sf):
     e = embeddings(spark, sf)
-    named = e.select("vec_id", F.when(F.col("vec_id") % 4 == 0, "eval").otherwise("fit").alias("part"), (F.col("label") < 5).cast("int").alias("y"), F.lit(1.0).alias("weight"), *(F.get("embedding", i).cast("double").alias(f"f{i}") for i in range(6)))
+    named = e.select("vec_id", F.when(F.col("vec_id") % 4 == 0, "eval").otherwise("fit").alias("part"), (F.col("label") < 5).cast("int").alias("y"), F.lit(1.0).alias("weight"), *(F.get("embedding", i).cast("double").alias(f"f{i}") for i in range(64)))
     return named
 
 
 @query("ml3_feature_probe")
 def ml3(spark, sf):
-    return ml.feature_probe(_probe_rows(spark, sf), [f"f{i}" for i in range(6)], trees=8, depth=5)
+    return ml.feature_probe(_probe_rows(spark, sf), [f"f{i}" for i in range(64)], trees=16, depth=6)
 
 
 def _screen_sql() -> str:
-    long = " UNION ALL ".join(f"SELECT 'f{i}' AS feature, CASE WHEN vec_id % 4 = 0 THEN 'eval' ELSE 'fit' END AS part, CASE WHEN label < 5 THEN 1 ELSE 0 END AS y, CAST(embedding[{i + 1}] AS DOUBLE) AS score FROM embeddings" for i in range(6))
+    long = " UNION ALL ".join(f"SELECT 'f{i}' AS feature, CASE WHEN vec_id % 4 = 0 THEN 'eval' ELSE 'fit' END AS part, CASE WHEN label < 5 THEN 1 ELSE 0 END AS y, CAST(embedding[{i + 1}] AS DOUBLE) AS score FROM embeddings" for i in range(64))
     return f"WITH l AS ({long}), u AS (SELECT a.feature, a.part, avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS auc FROM l a JOIN l b USING (feature, part) WHERE a.y = 1 AND b.y = 0 GROUP BY 1, 2) SELECT e.feature, {r('f.auc', 'fit_auc')}, {r('CASE WHEN f.auc >= 0.5 THEN e.auc ELSE 1 - e.auc END', 'auc')}, CASE WHEN f.auc >= 0.5 THEN 'up' ELSE 'down' END AS direction FROM u e JOIN u f ON e.feature = f.feature AND e.part = 'eval' AND f.part = 'fit'"
 
 
 @query("ml4_univariate_screen", _screen_sql())
 def ml4(spark, sf):
-    return rounded(ml.univariate_screen(_probe_rows(spark, sf), [f"f{i}" for i in range(6)]))
+    return rounded(ml.univariate_screen(_probe_rows(spark, sf), [f"f{i}" for i in range(64)]))
 
 
 @query("ml5_host_probe")
 def ml5(spark, sf):
-    rows = embeddings(spark, sf).select(F.when(F.col("vec_id") % 4 == 0, "eval").otherwise("fit").alias("part"), "label", F.col("embedding").cast("array<double>").alias("v"))
-    return ml.host_probe(rows, "v", "label", hidden=8)
+    """How well the first bucket's vector tells the host, on the cohort of SM7."""
+    from flowlens.operators.ordering import numbered
+    from flowlens.plans.split_queries import _encoded
+
+    rows = with_ids(spark, sf).select(F.col("sequence_id").alias("sample_id"), "source_ip", F.when(F.col("sequence_id") % 5 == 0, "eval").otherwise("fit").alias("part"))
+    cohort = rs.probe_cohort(rows, 1)
+    hosts = numbered(cohort.select("source_ip").distinct(), [], ["source_ip"], "label").withColumn("label", (F.col("label") - 1).cast("double"))
+    vectors = _encoded(spark, sf).select(F.col("sequence_id").alias("sample_id"), F.get("x", 0).alias("v"))
+    return ml.host_probe(cohort.join(hosts, "source_ip").join(vectors, "sample_id"), "v", "label", hidden=8)
 
 
 @query("ml6_projection")
