@@ -27,3 +27,32 @@ def test_stages_in_turn(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     cleaned = corpus_pipeline.drop_lines(spark, docs, str(tmp_path))
     assert cleaned.columns == docs.columns and cleaned.where("text LIKE '%archive%'").count() == 0
+
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def tables(spark, folder, rows, schema=DOCS):
+    spark.createDataFrame(rows, schema).write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").limit(0).write.parquet(str(folder / "labels.parquet"))
+    spark.createDataFrame([(1, "x")], "item_id bigint, text string").limit(0).write.parquet(str(folder / "benchmark.parquet"))
+
+
+def test_empty_tables(spark, tmp_path):
+    tables(spark, tmp_path, [])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns[0] == "doc_id"
+
+
+def test_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    mine = "toxic string, p_toxic string, _hit string, _gone string, _ID string, ids string, component string"
+    rows = [(i, t, None, None, None, *("mine",) * 7) for i, t in [(1, None), (2, ""), (3, prose(1, 50)), (3, prose(1, 50)), (None, prose(2, 50)), (4, prose(3, 9000))]]
+    tables(spark, tmp_path, rows, f"{DOCS}, {mine}")
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [*(c.split()[0] for c in DOCS.split(", ")), *(c.split()[0] for c in mine.split(", "))]
+    got = docs.collect()
+    assert all(r["toxic"] == r["_ID"] == r["_hit"] == "mine" for r in got)
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "3", "3", "4", "None"]  # 2 is empty as 1 is
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 5
