@@ -32,8 +32,11 @@ def spread_join(many: DataFrame, one: DataFrame, on: str | list[str], how: str =
     """
     keys = [on] if isinstance(on, str) else list(on)
     n, salts, salt = unused([*many.columns, *one.columns], "n", "salts", "salt")
+    total = many.count()
+    per = max(least, total // crowded)
+    if total <= per:
+        return many.join(one, keys, how)
     counts = many.groupBy(*keys).agg(F.count("*").alias(n))
-    per = max(least, many.count() // crowded)
     large = counts.where((F.col(n) > per) & F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
     rows = large.select(*keys, F.ceil(F.col(n) / per).cast("int").alias(salts)).collect()  # at most ``crowded``
     if not rows:
