@@ -6,7 +6,7 @@ out-of-fold: each fold's rows are scored by models fitted on the other folds, so
 see the errors that they will meet. Scoring feeds the probabilities of the final models.
 
 Training uses a bounded sample: at most ``sample`` labelled rows, by hash of the id, and words of at
-least ``min_docs`` of these rows; an L1 penalty keeps few weights. Scoring
+least ``min_docs`` and ``min_share`` of these rows; an L1 penalty keeps few weights. Scoring
 covers every row and its whole text, by MLlib's transformers inside the JVM.
 
 Defined results: null text counts as empty and, like any text without a word, is never toxic. Labels null in a category, or of unknown ids, are left
@@ -18,6 +18,8 @@ table gives an empty table.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -81,15 +83,16 @@ def _fitted(df: DataFrame, label: str, rounds: int, penalty: float) -> LogisticR
     return LogisticRegression(featuresCol="_features", labelCol=label, maxIter=rounds, regParam=penalty, elasticNetParam=1.0, standardization=True, family="binomial").fit(rows)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, id_col: str = "doc_id", text: str = "text", sample: int = 8000, min_docs: int = 10, folds: int = 2, rounds: int = 25, penalty: float = 2e-3) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, id_col: str = "doc_id", text: str = "text", sample: int = 8000, min_docs: int = 10, min_share: float = 0.005, folds: int = 2, rounds: int = 25, penalty: float = 2e-3) -> Chain:
     """Fit a chain. ``categories``: output column to 0/1 label expression over ``labels``, in order."""
     categories = categories or {"p_low_quality": 1 - F.col("quality"), "p_toxic": F.col("toxic")}
     wanted = labels.select(F.col(id_col).alias("_id"), *(e.cast("double").alias(f"_y_{n}") for n, e in categories.items()))
     chosen = wanted.where("_id IS NOT NULL").orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(chosen), "_id")  # at most ``sample`` rows
     rows = materialise(rows.withColumn("_words", words_of("_text")).drop("_text"), "labelled")
-    known = rows.select(F.explode(F.array_distinct("_words")).alias("w")).groupBy("w").count().where(F.col("count") >= min_docs)
-    table = [r["w"] for r in known.orderBy(F.desc("count"), "w").collect()]  # words of the bounded sample
+    least = max(min_docs, math.ceil(min_share * rows.count()))
+    known = rows.select(F.explode(F.array_distinct("_words")).alias("w")).groupBy("w").count().where(F.col("count") >= least)
+    table = [r["w"] for r in known.orderBy(F.desc("count"), "w").collect()]  # no more than 1 / min_share times the words of a row
     if not table:
         means = rows.agg(*(F.avg(f"_y_{n}") for n in categories)).first()
         return Chain(None, [(n, float(m or 0)) for n, m in zip(categories, means, strict=True)])
