@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import ann, bpe, chat, decontamination, html_text, licenses, line_templates, passages, simhash, toxicity
+from flowlens.llm import ann, bpe, chat, decontamination, hard_negatives, html_text, licenses, line_templates, passages, simhash, toxicity
 
 
 
@@ -107,3 +107,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.toxic(docs, _table(spark, sf_dir, "labels"))
     return scored.where("toxic").select("doc_id", "p_low_quality", "p_toxic")
+
+
+@_query
+def op12_hilbert_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives of each of the five nearest positives of every vector whose id is divisible by 50.
+
+    Where the id is divisible by 7 the label becomes (label + 1) % 10 first.
+    """
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), label=label, anchors=F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op12_hilbert_negatives"] = hard_negatives.oracle()
