@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import ann, bpe, chat, decontamination, hard_negatives, html_text, licenses, line_templates, passages, simhash, toxicity
+from flowlens.llm import ann, bpe, chat, decontamination, hard_negatives, html_text, licenses, line_templates, passages, prefix_trie, simhash, toxicity
 
 
 
@@ -120,3 +120,13 @@ def op12_hilbert_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_hilbert_negatives"] = hard_negatives.oracle()
+
+
+@_query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, each rebuilt with the first turns of the hundred's first one."""
+    turns = prefix_trie.conversation_turns(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(*prefix_trie.with_shared_heads(turns))
+
+
+ORACLES["op13_prefix_trie"] = prefix_trie.oracle()
