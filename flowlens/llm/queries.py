@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import ann, bpe, chat, decontamination, hard_negatives, html_text, licenses, line_templates, passages, prefix_trie, simhash, toxicity
+from flowlens.llm import ann, bpe, chat, decontamination, hard_negatives, html_text, licenses, line_templates, passages, pii, prefix_trie, simhash, toxicity
 
 
 
@@ -109,6 +109,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where("toxic").select("doc_id", "p_low_quality", "p_toxic")
 
 
+@_query
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans of every document (counts and digest), and all spans with those that the field adds."""
+    table = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest_columns(pii.find(table, pii.train(table)))
+
+
 @_query
 def op12_hilbert_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three hard negatives of each of the five nearest positives of every vector whose id is divisible by 50.
