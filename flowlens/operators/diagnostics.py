@@ -1,4 +1,4 @@
-"""Joins for diagnosis: context, collisions, neighbours, matched controls (J7-J14, RP11-RP13)."""
+"""Joins for diagnosis: context, collisions, neighbours, matched controls (J7-J14, RP12, RP13)."""
 
 from __future__ import annotations
 
@@ -172,24 +172,6 @@ def case_control(positives: DataFrame, negatives: DataFrame, seed: int, random_n
     return cases.union(drawn).union(matched).groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"))
 
 
-def context_availability(anchors: DataFrame, flows: DataFrame, configs: list[tuple[int, int]], target: str = "primary_attack") -> DataFrame:
-    """RP11: for each anchor and (context, bucket) pair in ms — flows, attack and target-type flows, active buckets.
-
-    ``anchors``: source_ip, end_ms and the target type; contexts end at end_ms. One join on host and time
-    bin serves all configurations.
-    """
-    longest = max(c for c, _ in configs)
-    spans = anchors.select("source_ip", "end_ms", target, F.explode(F.sequence(F.floor((F.col("end_ms") - longest) / longest), F.floor((F.col("end_ms") - 1) / longest))).alias("bin"))
-    rows = flows.select(F.col("ipv4_src_addr").alias("source_ip"), F.col("flow_start_milliseconds").alias("t"), "label", "attack").withColumn("bin", F.floor(F.col("t") / longest))
-    table = F.array(*(F.struct(F.lit(c).alias("context_ms"), F.lit(b).alias("bucket_ms")) for c, b in configs))
-    near = spans.join(rows, ["source_ip", "bin"]).where((F.col("t") >= F.col("end_ms") - longest) & (F.col("t") < F.col("end_ms")))
-    long = near.withColumn("c", F.explode(table)).select("source_ip", "end_ms", target, "t", "label", "attack", "c.*").where("t >= end_ms - context_ms")
-    back = F.col("end_ms") - F.col("t") - 1
-    long = long.withColumn("b", F.floor(back / F.col("bucket_ms")))
-    out = long.groupBy("source_ip", "end_ms", target, "context_ms", "bucket_ms").agg(F.count("*").alias("flows"), F.sum("label").alias("attack_flows"), F.sum(((F.col("label") == 1) & (F.col("attack") == F.col(target))).cast("bigint")).alias("target_flows"), F.countDistinct("b").alias("active"))
-    return out.withColumn("active_share", F.col("active") / (F.col("context_ms") / F.col("bucket_ms"))).withColumn("flows_per_active", F.col("flows") / F.col("active"))
-
-
 def _stacked(frames: Iterator[DataFrame]) -> DataFrame:
     out = next(frames)
     for f in frames:

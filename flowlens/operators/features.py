@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.scalars import FLAG_BITS, byte_share, bytes_per_packet, is_dns
+from flowlens.operators.quantiles import with_quantiles
 from flowlens.operators.sequences import KEYS
 from flowlens.sources.flows import PACKET_BINS, RETRANSMISSION
 
@@ -124,18 +125,17 @@ DISTRIBUTION = ("in_bytes", "out_bytes", "in_pkts", "out_pkts", "flow_duration_m
 def distribution_features(events: DataFrame) -> DataFrame:
     """AG11: 15 features of spread and joint shape; quantiles are exact and interpolate linearly."""
     rows = events.withColumn("_share", byte_share()).withColumn("_bpp", bytes_per_packet())
-    q90 = [F.percentile(c, F.lit(0.9)).alias(f"{c}_q90") for c in ("in_bytes", "out_bytes", "flow_duration_milliseconds")]
-    return rows.groupBy(*BUCKET).agg(
+    q90 = {f"{c}_q90": (c, 0.9) for c in ("in_bytes", "out_bytes", "flow_duration_milliseconds")}
+    plain = [
         *(F.stddev_pop(c).alias(f"{c}_std") for c in DISTRIBUTION),
-        *q90,
         F.avg((F.col("out_pkts") == 0).cast("double")).alias("zero_reply_fraction"),
         F.avg("_share").alias("in_byte_share_mean"),
         F.stddev_pop("_share").alias("in_byte_share_std"),
         F.avg("_bpp").alias("bytes_per_packet_mean"),
         F.stddev_pop("_bpp").alias("bytes_per_packet_std"),
         (F.countDistinct("ipv4_dst_addr", "l4_dst_port") / F.count("*")).alias("destination_port_pair_unique_fraction"),
-        F.median("flow_duration_milliseconds").alias("flow_duration_milliseconds_median"),
-    )
+    ]
+    return with_quantiles(rows, BUCKET, plain, {**q90, "flow_duration_milliseconds_median": ("flow_duration_milliseconds", 0.5)})
 
 
 #: Fields and codes of the candidate families.
@@ -150,12 +150,13 @@ def candidate_features(events: DataFrame) -> DataFrame:
     """AG13: five families — arrival gaps, rates, TTL, distribution, DNS and ICMP type shares."""
     usable = lambda c: F.when(F.col(c) >= 0, F.col(c)).otherwise(0)
     moments = [a for c in (*IAT, *RATES, *TTL) for a in (F.avg(usable(c)).alias(f"{c}_mean"), F.max(usable(c)).cast("double").alias(f"{c}_max"), F.avg((usable(c) > 0).cast("double")).alias(f"{c}_positive_fraction"))]
-    spread = [a for c in DISTRIBUTION for a in (F.stddev_pop(c).alias(f"{c}_std"), F.median(c).alias(f"{c}_median"), F.percentile(c, F.lit(0.9)).alias(f"{c}_q90"))]
+    spread = [F.stddev_pop(c).alias(f"{c}_std") for c in DISTRIBUTION]
+    quantiles = {f"{c}_{n}": (c, q) for c in DISTRIBUTION for n, q in (("median", 0.5), ("q90", 0.9))}
     share = lambda test: F.avg(test.cast("double"))
     dns, icmp = is_dns(with_port=True), F.col("protocol") == 1
     codes = lambda name, field, ok, known: [*(share(ok & (F.col(field) == k)).alias(f"{name}_{k}_fraction") for k in known), share(ok & ~F.col(field).isin(*known)).alias(f"{name}_other_fraction")]
     rows = events.withColumn("_share", byte_share()).withColumn("_bpp", bytes_per_packet())
-    return rows.groupBy(*BUCKET).agg(
+    plain = [
         *moments,
         *spread,
         share(F.col("out_pkts") == 0).alias("zero_reply_fraction"),
@@ -170,7 +171,8 @@ def candidate_features(events: DataFrame) -> DataFrame:
         F.avg("shortest_flow_pkt").alias("shortest_flow_pkt_mean"),
         *codes("dns_type", "dns_query_type", dns, DNS_TYPES),
         *codes("icmp_ipv4_type", "icmp_ipv4_type", icmp, ICMP_TYPES),
-    )
+    ]
+    return with_quantiles(rows, BUCKET, plain, quantiles)
 
 
 def unpivot(df: DataFrame, ids: list[str], fields: list[str], name: str = "field", value: str = "value") -> DataFrame:
@@ -220,7 +222,8 @@ def flow_family(rows: DataFrame, keys: list[str]) -> DataFrame:
 def flow_label_profile(events: DataFrame) -> DataFrame:
     """AG16: by sequence and flow label — counts, families, medians."""
     names = ("in_bytes", "out_bytes", "in_pkts", "out_pkts", "flow_duration_milliseconds")
-    return flow_family(events, [*KEYS, "label"]).join(events.groupBy(*KEYS, "label").agg(*(F.median(n).alias(f"{n}_median") for n in names)), [*KEYS, "label"])
+    medians = with_quantiles(events, [*KEYS, "label"], [], {f"{n}_median": (n, 0.5) for n in names})
+    return flow_family(events, [*KEYS, "label"]).join(medians, [*KEYS, "label"])
 
 
 def mixture_profile(events: DataFrame) -> DataFrame:
@@ -240,5 +243,5 @@ def mixture_profile(events: DataFrame) -> DataFrame:
 
 def group_medians(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """AG18: medians that skip nulls, and the group's size."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *(F.median(c).alias(f"{c}_median") for c in columns))
+    return with_quantiles(rows, keys, [F.count("*").alias("n")], {f"{c}_median": (c, 0.5) for c in columns})
 

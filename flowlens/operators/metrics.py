@@ -74,6 +74,32 @@ def at_thresholds(rows: DataFrame, thresholds: DataFrame, keys: list[str]) -> Da
     return with_measures(out)
 
 
+def operating_points(curve: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
+    """EV5 from EV1: what a threshold accepts is the curve's last block at or above it, so that no sample is read again."""
+    joined = curve.join(F.broadcast(thresholds), keys) if keys else curve.crossJoin(F.broadcast(thresholds))  # a few rows for each run
+    accepted = lambda c: F.coalesce(F.max(F.when(F.col("score") >= F.col("threshold"), F.col(c))), F.lit(0)).alias(c)
+    out = joined.groupBy(*keys, "point", "threshold").agg(accepted("tp"), accepted("fp"), F.first("positives").alias("_P"), F.first("negatives").alias("_N"))
+    return with_measures(out.select(*keys, "point", "threshold", "tp", "fp", (F.col("_N") - F.col("fp")).alias("tn"), (F.col("_P") - F.col("tp")).alias("fn")))
+
+
+def run_metrics(curve: DataFrame, thresholds: DataFrame, attacks: DataFrame, keys: list[str], least: int = 20) -> DataFrame:
+    """The measures of a run that reports compare, in long form: keys, metric, unit, value.
+
+    Average precision, ROC-AUC (absolute; all others are shares in per cent), recall and false-positive rate at both
+    budgets, and the macro recall at one per cent over types with ``least`` samples. ``attacks``: EV6.
+    """
+    names = {"fpr_1pct": "1pct", "fpr_0.1pct": "0.1pct"}
+    whole = average_precision(curve, keys).join(roc_auc(curve, keys), keys)
+    points = operating_points(curve, thresholds.where(F.col("point").isin(*names)).select(*keys, "point", "threshold"), keys)
+    pick = lambda c, p: F.max(F.when(F.col("point") == p, F.col(c)))
+    points = points.groupBy(*keys).agg(*(pick(c, p).alias(f"{c}_at_{n}") for p, n in names.items() for c in ("recall", "fpr")))
+    macro = macro_recall(attacks.where("point = 'fpr_1pct'"), keys, least).select(*keys, "macro_recall")
+    wide = whole.join(points, keys).join(macro, keys, "left")
+    values = [c for c in wide.columns if c not in keys]
+    long = wide.unpivot(keys, [F.col(f"`{v}`") for v in values], "metric", "value")
+    return long.withColumn("unit", F.when(F.col("metric") == "roc_auc", "absolute").otherwise("pp"))
+
+
 def with_measures(counts: DataFrame) -> DataFrame:
     """EV5 from tp, fp, tn, fn."""
     tp, fp, tn, fn = (F.col(x).cast("double") for x in ("tp", "fp", "tn", "fn"))

@@ -21,15 +21,33 @@ def rank_models(summary: DataFrame) -> DataFrame:
     return rows.withColumn("model", model).withColumn("place", place).drop("_contracts")
 
 
-def paired_shift(rows: DataFrame, run: list[str], variant: str, baseline: str, values: list[str], points: tuple[str, ...] = ()) -> DataFrame:
-    """RP2: variant minus baseline of the same run; shares in percentage points, others as they are."""
-    base = rows.where(F.col(variant) == baseline).select(*run, *(F.col(v).alias(f"_{v}") for v in values))
-    delta = lambda v: (F.col(v) - F.col(f"_{v}")) * (100 if v in points else 1)
-    return rows.where(F.col(variant) != baseline).join(base, run).select(*run, variant, *(delta(v).alias(f"{v}_delta") for v in values))
+def paired_shift(rows: DataFrame, run: list[str], variant: str, baseline: str, item: list[str]) -> DataFrame:
+    """RP2: each value of a variant beside that of the baseline of the same run, and the difference.
+
+    ``rows``: ``run``, ``variant``, ``item`` (the metric, or the attack), unit and value. Shares (unit pp) come out in
+    percentage points. A value without a counterpart has a null baseline and difference.
+    """
+    keys = [*run, *item]
+    scaled = rows.select(*keys, variant, "unit", (F.col("value") * F.when(F.col("unit") == "absolute", 1).otherwise(100)).alias("shifted"))
+    base = scaled.where(F.col(variant) == baseline).select(*keys, F.col("shifted").alias("baseline"))
+    found = scaled.where(F.col(variant) != baseline).join(base, keys, "left")
+    return found.select(*run, variant, *item, "unit", "baseline", "shifted", (F.col("shifted") - F.col("baseline")).alias("delta"))
+
+
+def paired_statistics(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """RP3 over RP2: pairs in all and with both values, mean and sample SD of each side and of the difference, its signs and ends.
+
+    Only pairs with a difference count for the statistics; a sample SD needs two of them.
+    """
+    whole = F.col("delta").isNotNull()
+    sides = [a for c in ("baseline", "shifted", "delta") for a in (F.avg(F.when(whole, F.col(c))).alias(f"{c}_mean"), F.when(F.count("delta") > 1, F.stddev_samp(F.when(whole, F.col(c)))).alias(f"{c}_sd"))]
+    sign = lambda t: F.sum(F.when(t, 1).otherwise(0)).cast("bigint")
+    d = F.col("delta")
+    return pairs.groupBy(*keys, "unit").agg(F.count("*").alias("n_pairs"), F.count("delta").alias("n_nonempty_pairs"), *sides, sign(d > 0).alias("positive_seeds"), sign(d < 0).alias("negative_seeds"), sign(d == 0).alias("zero_seeds"), F.min("delta").alias("delta_min"), F.max("delta").alias("delta_max"))
 
 
 def seed_statistics(rows: DataFrame, keys: list[str], value: str, zero_for_one: bool = False) -> DataFrame:
-    """RP3: n, mean, sample SD (null for one value; RP5 has zero there), signs, least, greatest."""
+    """RP3, RP5: n, mean, sample SD (null for one value; RP5 has zero there), signs, least, greatest."""
     v = F.col(value)
     sd = F.stddev_samp(v)
     sd = F.when(F.count(v) == 1, F.lit(0.0)).otherwise(sd) if zero_for_one else F.when(F.count(v) > 1, sd)

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowlens.functions.scalars import outcome, paired_outcome
+from flowlens.operators import context as cx
 from flowlens.operators import diagnostics as dg
 from flowlens.operators import metrics as mt
 from flowlens.operators import ml
 from flowlens.operators import quality as dq
 from flowlens.operators import reports as rp
 from flowlens.operators import resampling as rs
+from flowlens.operators.context import GEOMETRIES, MEDIANS
 from flowlens.plans import query
-from flowlens.plans.base import GRID, curve_ctes, embeddings, events, folded, hits, predictions, rounded, sequences, with_ctes, with_ids
+from flowlens.plans.base import BLOCK, GRID, curve_ctes, embeddings, events, folded, hits, predictions, purged, rounded, sequences, shared, with_ctes, with_ids
 from flowlens.plans.flow_queries import r
 
 RUN = ["model", "seed"]
@@ -20,6 +22,7 @@ RUNS = "model, seed"
 CUT = 0.7
 
 
+@shared
 def curve(spark, sf):
     return mt.score_curve(predictions(spark, sf), RUN)
 
@@ -61,7 +64,7 @@ def usable(spark, sf):
 
 @query("ev5_operating_points", with_ctes(f"+{_COUNTS} {_MEASURES}", "pred", "thr"))
 def ev5(spark, sf):
-    return rounded(mt.at_thresholds(predictions(spark, sf), usable(spark, sf), RUN))
+    return rounded(mt.operating_points(curve(spark, sf), usable(spark, sf), RUN))
 
 
 _ATT = f"a AS (SELECT {RUNS}, primary_attack, point, count(*) AS n, count(DISTINCT source_host) AS hosts, count(*) FILTER (score >= threshold) AS tp, count(*) FILTER (score < threshold) AS fn, count(*) FILTER (score >= threshold) * 1.0 / count(*) AS recall FROM pred JOIN thr USING ({RUNS}) WHERE y = 1 GROUP BY 1, 2, 3, 4)"
@@ -208,18 +211,37 @@ def rp1(spark, sf):
     return rp.rank_models(s).select("model", "place")
 
 
-@query("rp2_paired_shift", with_ctes(f"+{_SUM} SELECT a.seed, a.model, " + r("(a.ap - b.ap) * 100", "average_precision_delta") + ", " + r("a.auc - b.auc", "roc_auc_delta") + " FROM m a JOIN m b ON a.seed = b.seed AND a.model = 'alt' AND b.model = 'base'", "curve"))
+_METRICS = (
+    f"{_SUM}, {curve_ctes('pred', '2')}, at2 AS (SELECT {RUNS}, point, avg(CASE WHEN score >= threshold THEN 1.0 ELSE 0.0 END) FILTER (y = 1) AS recall, avg(CASE WHEN score >= threshold THEN 1.0 ELSE 0.0 END) FILTER (y = 0) AS fpr FROM pred JOIN thr2 USING ({RUNS}) GROUP BY {RUNS}, point), "
+    f"type2 AS (SELECT {RUNS}, primary_attack, count(*) AS n, count(DISTINCT source_host) AS hosts, avg(CASE WHEN score >= threshold THEN 1.0 ELSE 0.0 END) AS recall FROM pred JOIN thr2 USING ({RUNS}) WHERE y = 1 AND point = 'fpr_1pct' GROUP BY {RUNS}, primary_attack), "
+    f"long2 AS (SELECT {RUNS}, 'average_precision' AS metric, ap AS value FROM m UNION ALL SELECT {RUNS}, 'roc_auc', auc FROM m UNION ALL SELECT {RUNS}, 'recall_at_' || replace(point, 'fpr_', ''), recall FROM at2 WHERE point LIKE 'fpr%' UNION ALL SELECT {RUNS}, 'fpr_at_' || replace(point, 'fpr_', ''), fpr FROM at2 WHERE point LIKE 'fpr%' UNION ALL SELECT {RUNS}, 'macro_recall', avg(recall) FILTER (n >= 20) FROM type2 GROUP BY {RUNS}), "
+    "pair2 AS (SELECT a.seed, a.model, a.metric, CASE WHEN a.metric = 'roc_auc' THEN 'absolute' ELSE 'pp' END AS unit, b.value * k AS baseline, a.value * k AS shifted, (a.value - b.value) * k AS delta FROM (SELECT *, CASE WHEN metric = 'roc_auc' THEN 1 ELSE 100 END AS k FROM long2) a LEFT JOIN long2 b ON a.seed = b.seed AND a.metric = b.metric AND b.model = 'base' WHERE a.model <> 'base') "
+)
+
+
+def attack_recalls(spark, sf, point):
+    return mt.attack_recall(predictions(spark, sf), thresholds(spark, sf).where(F.col("point") == point).select(*RUN, "point", "threshold"), RUN)
+
+
+def shifts(spark, sf):
+    long = mt.run_metrics(curve(spark, sf), thresholds(spark, sf), attack_recalls(spark, sf, "fpr_1pct"), RUN)
+    return rp.paired_shift(long, ["seed"], "model", "base", ["metric"])
+
+
+@query("rp2_paired_shift", with_ctes(f"+{_METRICS}SELECT seed, model, metric, unit, " + ", ".join(r(c, c, 5) for c in ("baseline", "shifted", "delta")) + " FROM pair2", "curve", "pred", "points"))
 def rp2(spark, sf):
-    return rounded(rp.paired_shift(summary(spark, sf), ["seed"], "model", "base", ["average_precision", "roc_auc"], ("average_precision",)))
+    return rounded(shifts(spark, sf), 5)
 
 
-_DELTA = f"+{_SUM}, d AS (SELECT a.seed, (a.ap - b.ap) * 100 AS v FROM m a JOIN m b ON a.seed = b.seed AND a.model = 'alt' AND b.model = 'base') "
+@query("rp2_paired_attacks", with_ctes(f"+{_METRICS}SELECT a.seed, a.model, a.primary_attack, a.n, a.hosts, " + r("b.recall * 100", "baseline", 5) + ", " + r("a.recall * 100", "shifted", 5) + ", " + r("(a.recall - b.recall) * 100", "delta", 5) + " FROM type2 a LEFT JOIN type2 b ON a.seed = b.seed AND a.primary_attack = b.primary_attack AND b.model = 'base' WHERE a.model <> 'base'", "curve", "pred", "points"))
+def rp2_attacks(spark, sf):
+    rows = attack_recalls(spark, sf, "fpr_1pct").select(*RUN, "primary_attack", "n", "hosts", F.lit("pp").alias("unit"), F.col("recall").alias("value"))
+    return rounded(rp.paired_shift(rows, ["seed"], "model", "base", ["primary_attack", "n", "hosts"]).drop("unit"), 5)
 
 
-@query("rp3_seed_statistics", with_ctes(_DELTA + "SELECT 'alt' AS model, count(*) AS n, count(v) AS pairs, " + r("avg(v)", "mean", 5) + ", " + r("stddev_samp(v)", "sd", 5) + ", count(*) FILTER (v > 0) AS positive, count(*) FILTER (v < 0) AS negative, count(*) FILTER (v = 0) AS zero, " + r("min(v)", "least", 5) + ", " + r("max(v)", "greatest", 5) + " FROM d", "curve"))
+@query("rp3_seed_statistics", with_ctes(f"+{_METRICS}SELECT model, metric, unit, count(*) AS n_pairs, count(delta) AS n_nonempty_pairs, " + ", ".join(f"{r(f'avg({c}) FILTER (delta IS NOT NULL)', c + '_mean', 5)}, {r(f'stddev_samp({c}) FILTER (delta IS NOT NULL)', c + '_sd', 5)}" for c in ("baseline", "shifted", "delta")) + ", count(*) FILTER (delta > 0) AS positive_seeds, count(*) FILTER (delta < 0) AS negative_seeds, count(*) FILTER (delta = 0) AS zero_seeds, " + r("min(delta)", "delta_min", 5) + ", " + r("max(delta)", "delta_max", 5) + " FROM pair2 GROUP BY 1, 2, 3", "curve", "pred", "points"))
 def rp3(spark, sf):
-    shifts = rp.paired_shift(summary(spark, sf), ["seed"], "model", "base", ["average_precision"], ("average_precision",))
-    return rounded(rp.seed_statistics(shifts, ["model"], "average_precision_delta"), 5)
+    return rounded(rp.paired_statistics(shifts(spark, sf), ["model", "metric"]), 5)
 
 
 def pairs(spark, sf, seed=1):
@@ -401,10 +423,40 @@ def j14(spark, sf):
     return dg.case_control(rows.where("y = 1"), rows.where("y = 0"), 3, 100)
 
 
-@query("rp11_context_availability", with_ctes("+an AS (SELECT source_ip, window_start_ms + 86400000 AS end_ms, primary_attack FROM seq WHERE attack_flows > 0), c AS (SELECT * FROM (VALUES (86400000, 8640000), (259200000, 25920000)) AS t(context_ms, bucket_ms)) SELECT a.source_ip, end_ms, primary_attack, context_ms, bucket_ms, count(*) AS flows, CAST(sum(label) AS BIGINT) AS attack_flows, count(*) FILTER (label = 1 AND attack = primary_attack) AS target_flows, count(DISTINCT (end_ms - flow_start_milliseconds - 1) // bucket_ms) AS active, " + r("count(DISTINCT (end_ms - flow_start_milliseconds - 1) // bucket_ms) / 10.0", "active_share") + ", " + r("count(*) * 1.0 / count(DISTINCT (end_ms - flow_start_milliseconds - 1) // bucket_ms)", "flows_per_active") + " FROM an a JOIN g ON g.source_ip = a.source_ip, c WHERE flow_start_milliseconds < end_ms AND flow_start_milliseconds >= end_ms - context_ms GROUP BY 1, 2, 3, 4, 5", "seq", "g"))
+_W, _B, _BL = GRID.window_ms, GRID.bucket_ms, BLOCK
+_CTX = (
+    "sco AS (SELECT sample_id, score FROM pred WHERE model = 'base' AND seed = 1), "
+    "an AS (SELECT k.sequence_id AS sample_id, k.source_ip, k.window_start_ms, k.primary_attack AS attack_type, CASE WHEN k.attack_flows = 0 THEN 'benign' WHEN s.score >= 0.7 THEN 'TP' ELSE 'FN' END AS outcome, k.flows, k.attack_flows, k.active_buckets FROM kept k JOIN sco s ON s.sample_id = k.sequence_id WHERE k.fold = 0), "
+    f"geo AS (SELECT * FROM (VALUES {', '.join(map(str, GEOMETRIES))}) AS t(c, b)), "
+    f"sp AS MATERIALIZED (SELECT a.*, c, a.window_start_ms + {_W} - c * {_W} AS lo, a.window_start_ms + {_W} AS hi FROM an a, (SELECT DISTINCT c FROM geo)), "
+    f"own AS MATERIALIZED (SELECT DISTINCT window_start_ms - window_start_ms % {_BL} AS block FROM kept WHERE assigned = 0), "
+    f"cov AS MATERIALIZED (SELECT sample_id, c FROM (SELECT sample_id, c, unnest(range(lo - lo % {_BL}, hi, {_BL})) AS block FROM sp) LEFT JOIN own o USING (block) GROUP BY 1, 2 HAVING count(*) = count(o.block)), "
+    "frn AS MATERIALIZED (SELECT DISTINCT s.sample_id, s.c FROM sp s JOIN kept k ON k.source_ip = s.source_ip AND k.window_start_ms >= s.lo AND k.window_start_ms < s.hi AND k.fold <> 0), "
+    "opn AS MATERIALIZED (SELECT s.* FROM sp s JOIN cov USING (sample_id, c) LEFT JOIN frn f ON f.sample_id = s.sample_id AND f.c = s.c WHERE f.c IS NULL), "
+    f"cnt AS (SELECT o.sample_id, o.attack_type, o.outcome, o.c, g.b, any_value(o.flows) AS f0, any_value(o.attack_flows) AS a0, any_value(o.active_buckets) AS b0, count(*) AS flows, CAST(sum(e.label) AS BIGINT) AS attack_flows, count(*) FILTER (e.label = 1 AND e.attack = o.attack_type) AS target_attack_flows, count(DISTINCT (e.flow_start_milliseconds - o.lo) // (g.b * {_B})) AS active FROM opn o JOIN geo g ON g.c = o.c JOIN g e ON e.source_ip = o.source_ip AND e.flow_start_milliseconds >= o.lo AND e.flow_start_milliseconds < o.hi GROUP BY ALL), "
+    f"ctx AS MATERIALIZED (SELECT sample_id, attack_type, outcome, b0 <= 2 AS sparse, sample_id IN (SELECT sample_id FROM opn WHERE c = 4) AS common, c, b, f0 AS original_flows, a0 AS original_attack_flows, b0 AS original_active_buckets, flows, attack_flows, target_attack_flows, active AS active_buckets, active / (c * {_W} / (b * {_B})) AS active_fraction, flows / active AS flows_per_active_bucket, attack_flows / flows AS attack_fraction, flows - f0 AS added_flows, attack_flows - a0 AS added_attack_flows, flows - f0 - attack_flows + a0 AS added_benign_flows, flows > f0 AS has_additional_flows, a0 = 0 AND attack_flows > 0 AS benign_anchor_gains_attack FROM cnt) "
+)
+_SHARES = ("active_fraction", "flows_per_active_bucket", "attack_fraction")
+
+
+@shared
+def context(spark, sf):
+    """Anchors are the sequences that stay in the first fold; outcomes are those of one run at a fixed threshold."""
+    kept = purged(spark, sf).select("sequence_id", "source_ip", "window_start_ms", "primary_attack", "flows", "attack_flows", "active_buckets", F.col("fold").cast("string").alias("split"), F.col("assigned").cast("string").alias("assigned_split"))
+    scores = predictions(spark, sf).where("model = 'base' AND seed = 1").select(F.col("sample_id").alias("sequence_id"), "score")
+    result = F.when(F.col("attack_flows") == 0, "benign").when(F.col("score") >= CUT, "TP").otherwise("FN")
+    anchors = kept.where("split = '0'").join(scores, "sequence_id").select(F.col("sequence_id").alias("sample_id"), "source_ip", "window_start_ms", F.col("primary_attack").alias("attack_type"), result.alias("outcome"), "flows", "attack_flows", "active_buckets")
+    return cx.context_availability(anchors, events(spark, sf), kept, GRID.window_ms, GRID.bucket_ms, "0", BLOCK)
+
+
+@query("rp11_context_availability", with_ctes(f"+{_CTX}SELECT * REPLACE (" + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _SHARES) + ") FROM ctx", "kept", "pred", "g"))
 def rp11(spark, sf):
-    anchors = sequences(spark, sf).where("attack_flows > 0").select("source_ip", (F.col("window_start_ms") + GRID.window_ms).alias("end_ms"), "primary_attack")
-    return rounded(dg.context_availability(anchors, events(spark, sf), [(GRID.window_ms, GRID.bucket_ms), (3 * GRID.window_ms, 3 * GRID.bucket_ms)]))
+    return rounded(context(spark, sf))
+
+
+@query("rp11_paired_summary", with_ctes(f"+{_CTX}, lng AS (SELECT *, unnest(CASE WHEN outcome = 'benign' THEN ['all'] ELSE ['all', outcome] END) AS original_outcome FROM ctx WHERE common), sps AS (SELECT *, unnest(CASE WHEN sparse THEN [false, true] ELSE [false] END) AS sparse_only FROM lng) SELECT attack_type, original_outcome, sparse_only, c, b, count(*) AS anchors, count(*) FILTER (has_additional_flows) AS has_additional_flows_count, count(*) FILTER (benign_anchor_gains_attack) AS benign_anchor_gains_attack_count, count(*) FILTER (added_attack_flows > 0) AS gained_attack_flow_count, count(*) FILTER (added_flows > 0 AND added_attack_flows = 0) AS only_added_benign_count, " + ", ".join(r(f"quantile_cont({m}, 0.5)", f"median_{m}") for m in MEDIANS) + " FROM sps GROUP BY 1, 2, 3, 4, 5", "kept", "pred", "g"))
+def rp11_paired(spark, sf):
+    return rounded(cx.paired_summary(context(spark, sf)))
 
 
 # Resampling: seeded draws
