@@ -12,9 +12,12 @@ Documents are counted by content: equal texts count once, and near copies count
 that they are linked to. For that a text is cut into pieces where a letter of SPLIT_AFTER ends a word and at
 line ends, and the four least hashes of its pieces are its sketch. Texts whose sketches share three hashes are
 linked (texts of fewer than four pieces: only with the same pieces), and the components of these links count
-as one. So a group of copies does not lose its own text, while unrelated documents, which share a few lines
-only, count each, even if templates are all that they hold. A document counts once for a template, however
-many of its lines have it.
+as one, except for texts with lines of their own. A line is common to a component if half its texts, or ``min_docs``
+of them, hold it; another line is a text's own if most of its pairs of successive words occur in no common line. Texts
+with at least OWN new pairs in such lines count by their own line, all others of the component as one. So a group of
+near copies does not lose its text, as an edited line keeps most pairs of the line that it was, while documents that are
+boilerplate but for a line or two count each. So do unrelated documents, which share a few lines only, even if templates
+are all that they hold. A document counts once for a template, however many of its lines have it.
 
 Each text is masked once. Hashes are counted and shuffled, with partial aggregation before each shuffle; masks
 are read again for the lines of frequent leaves, texts are shuffled once, when lines are dropped. Leaves and lines to look
@@ -43,6 +46,8 @@ VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*"
 SPLIT_AFTER = "eyaoдия"
 PIECES = rf"\n|(?<=[{SPLIT_AFTER}]) (?=[a-mA-Mа-мА-М])"
 SKETCH = 4
+#: New word pairs, with those at the ends of a line, that make a text differ from its near copies.
+OWN = 4
 
 
 def masks(text: Column) -> Column:
@@ -82,6 +87,33 @@ def contents(rows: DataFrame) -> DataFrame:
     return connected_components(links, "links").select(F.col("node").alias("digest"), F.col("component").alias("content"))
 
 
+def word_pairs(mask: Column) -> Column:
+    """Hashes of the pairs of successive words of a line, its two ends included, once each."""
+    words = F.split(F.concat(F.lit(" "), mask, F.lit(" ")), " ")
+    return F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.xxhash64(a, b)))
+
+
+def own_contents(rows: DataFrame, spots: DataFrame, parts: DataFrame, min_docs: int) -> DataFrame:
+    """``parts`` with another content for texts that hold lines of their own: the component and the least such line.
+
+    ``spots``: (digest, h) of every line, once for each text.
+    """
+    held = materialise(narrow_join(spots.select("digest", "h"), parts, "digest"), "held")
+    sizes = materialise(parts.groupBy("content").agg(F.count("*").alias("texts")), "sizes")
+    lines = materialise(held.groupBy("content", "h").agg(F.count("*").alias("n")), "lines")
+    common = (F.col("n") > 1) & (F.col("n") >= F.least(F.lit(min_docs), F.ceil(F.col("texts") / 2)))
+    lines = narrow_join(lines, sizes, "content").select("content", "h", common.alias("common"))
+    linked = narrow_join(rows.select("digest", "lines"), parts.select("digest"), "digest", "left_semi")
+    words = materialise(linked.select(F.explode("lines").alias("x")).where("x IS NOT NULL").groupBy("x.h").agg(F.min("x.mask").alias("mask")), "masks")
+    said = materialise(spread_join(materialise(lines, "lines"), words, "h").select("content", "h", "common", word_pairs(F.col("mask")).alias("pairs")), "pairs")
+    known = materialise(said.where("common").select("content", F.explode("pairs").alias("pair")).distinct().withColumn("seen", F.lit(1)), "known")
+    rest = materialise(said.where("NOT common").select("content", "h", F.explode("pairs").alias("pair")), "rest")
+    new = spread_join(rest, known, ["content", "pair"], "left").groupBy("content", "h").agg(F.sum(F.when(F.col("seen").isNull(), 1).otherwise(0)).alias("new"), F.count("*").alias("all"))
+    new = materialise(new.where("2 * new > all").select("content", "h", "new"), "new")
+    own = spread_join(held, new, ["content", "h"]).groupBy("digest").agg(F.sum("new").alias("new"), F.min("h").alias("least")).where(F.col("new") >= OWN)
+    return parts.join(own, "digest", "left").select("digest", F.when(F.col("least").isNull(), F.col("content")).otherwise(F.xxhash64("content", "least")).alias("content"))
+
+
 def templates(rows: DataFrame, min_docs: int = 10, constant: float = 0.6) -> DataFrame:
     """(h, leaf, template, docs): masks, by hash, of lines with a template that is boilerplate, once for each.
 
@@ -91,6 +123,7 @@ def templates(rows: DataFrame, min_docs: int = 10, constant: float = 0.6) -> Dat
     spots = materialise(spots, "spots")
     often = materialise(spots.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
     parts = materialise(contents(rows), "contents")
+    parts = materialise(own_contents(rows, spots, parts, min_docs), "contents", done=(parts,))
     named = materialise(narrow_join(spots, often, "leaf", "left_semi"), "frequent", done=(spots,))
     named = named.join(parts, "digest", "left").select(F.coalesce("content", "digest").alias("content"), "leaf", "h").distinct()
     spots = materialise(named, "spots")
