@@ -10,11 +10,12 @@ The bundled template marks turns with ``### role:`` and ``</turn>`` and puts a b
 backslash and control string inside roles and texts, which is undone by dropping one backslash from
 each pair. It appends only, so earlier turns never change.
 
-A conversation of more than CHECKED turns is rendered by prefixes up to there. If none of these rewrites history,
-and if each turn's span is the same when only the turn before it stands before it, then later turns are rendered
-after their predecessor alone; the spans put together must equal the rendering of the whole conversation, and of
-each prefix whose length is CHECKED times a power of two. The work then grows with the number of turns. If any of
-these comparisons fails, all prefixes are rendered, whose work grows with the square of the turns.
+Every prefix is rendered, whatever the length, as a template may rewrite at any of them; the work grows with the square
+of the turns. A template may declare that it only appends (``appends_only``), as the bundled one does, which joins what
+it makes of each turn. Its conversations of more than CHECKED turns are rendered by prefixes up to there, and later turns
+after their predecessor alone, so that the work grows with the turns. The declaration is still checked: each early span
+must be the same either way, and the spans put together must equal the rendering of the whole conversation and of each
+prefix whose length is CHECKED times a power of two. If any of these comparisons fails, all prefixes are rendered.
 
 Conversations are dealt out by id and streamed in turn order; a task holds one conversation at a
 time, the one row that its result needs whole. Defined results: null role or text counts as empty; rows with equal
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
-#: Turns up to which every prefix of a conversation is rendered.
+#: Turns up to which every prefix of a conversation is rendered even where the template declares that it only appends.
 CHECKED = 32
 SPAN = "struct<role:string,start:bigint,end:bigint,text_start:bigint,text_end:bigint>"
 SCHEMA = f"conv_id bigint, formatted string, spans array<{SPAN}>, rewrites array<int>"
@@ -54,6 +55,13 @@ def unescape(text: str) -> str:
     return ESCAPED.sub(r"\1", text)
 
 
+def appends_only(template: Template) -> Template:
+    """Declare that a template never changes what it has made of earlier turns."""
+    template.appends_only = True
+    return template
+
+
+@appends_only
 def marked_turns(turns: list[Turn]) -> str:
     """The bundled template."""
     return "".join(f"### {escape(role, IN_ROLE)}:\n{escape(text)}\n</turn>\n" for role, text in turns)
@@ -135,7 +143,7 @@ def render(turns: list[Turn], template: Template = marked_turns, checked: int =
     A span is (role, start, end, text start, text end). With rewrites, offsets into earlier output
     mean nothing, so that there are no spans then.
     """
-    found = by_neighbours(turns, template, checked) if len(turns) > checked else None
+    found = by_neighbours(turns, template, checked) if len(turns) > checked and getattr(template, "appends_only", False) else None
     return found or by_prefixes(turns, template)
 
 
