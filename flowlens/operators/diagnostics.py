@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.scalars import canonical_zero, seeded_key
+from flowlens.operators.neighbours import knn  # noqa: F401  (J12 stands in a module of its own)
+from flowlens.operators.ordering import running_sums
 from flowlens.operators.sequences import KEYS
+from flowlens.storage import materialise
 
 
 def past_context(anchors: DataFrame, sequences: DataFrame, window_ms: int, context_ms: int, block_ms: int, split: str) -> DataFrame:
@@ -58,56 +59,51 @@ def signature_matches(targets: DataFrame, train: DataFrame, features: str | list
     return a.join(per, "sig").select("target_id", *kinds, (F.col("_lo") != F.col("_hi")).alias("both_labels"), "positive_share", "attack_types", "example_id")
 
 
+def ranked_values(events: DataFrame, fields: list[str], keys: list[str]) -> DataFrame:
+    """(keys, field, place, value): the values of each field in order, places from 1, dealt out by ranges.
+
+    Values are counted first, so that a value that many flows share is one row until its places are needed.
+    """
+    entries = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in fields)))
+    counts = events.select(*keys, entries.alias("e")).select(*keys, "e.*").where("value IS NOT NULL").groupBy(*keys, "field", "value").agg(F.count("*").alias("n"))
+    return running_sums(counts, [*keys, "field"], ["value"], {"last": F.col("n")}).withColumn("first", F.col("last") - F.col("n") + 1)
+
+
 def field_differences(pairs: DataFrame, events: DataFrame, fields: list[str], left: list[str], right: list[str], keys: list[str] | None = None) -> DataFrame:
-    """For each pair of sequences, the fields whose sorted values differ, and by how much at most."""
+    """For each pair of sequences, the fields whose sorted values differ, and by how much at most.
+
+    The largest gap is that of the values of one place; it is null where the numbers of values differ. Values of both sides are
+    runs of places; where a run of either side begins, a running pass over the pair's runs carries the other side's value
+    along. So the work is one row for each distinct value of a sequence, and no sequence is ever one row.
+    """
     keys = keys or KEYS
-    lists = events.groupBy(*keys).agg(*(F.array_sort(F.collect_list(F.col(f).cast("double"))).alias(f) for f in fields))
-    a = lists.select(*(F.col(k).alias(n) for k, n in zip(keys, left, strict=True)), *(F.col(f).alias(f"_a_{f}") for f in fields))
-    b = lists.select(*(F.col(k).alias(n) for k, n in zip(keys, right, strict=True)), *(F.col(f).alias(f"_b_{f}") for f in fields))
-    joined = pairs.join(a, left).join(b, right)
-    entries = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"_a_{f}").alias("_va"), F.col(f"_b_{f}").alias("_vb")) for f in fields))
-    long = joined.select(*pairs.columns, F.explode(entries).alias("e")).select(*pairs.columns, "e.*").where("_va <> _vb")
-    gap = F.when(F.size("_va") == F.size("_vb"), F.array_max(F.zip_with("_va", "_vb", lambda x, y: F.abs(x - y))))
-    return long.select(*pairs.columns, "field", gap.alias("largest_difference"))
-
-
-def knn(queries: DataFrame, pool: DataFrame, k: int, id_col: str, vector: str, exclude_self: bool = True, query_block: int = 2000, slice_rows: int = 50_000) -> DataFrame:
-    """The k exact Euclidean neighbours of each query, ties by id.
-
-    The stated query set is cut into blocks of ``query_block`` and the pool into slices of ``slice_rows``; each
-    block meets every slice once, in one task, which returns k rows for a query. A matrix product gives squared
-    distances; those near the k least are computed again exactly. So neither side is sent whole to a task and no
-    distances are written out.
+    taken = [*left, *right]
+    wanted = pairs.select(*taken).distinct()
+    ends = wanted.select(*(F.col(n).alias(k) for k, n in zip(keys, left, strict=True))).union(wanted.select(*(F.col(n).alias(k) for k, n in zip(keys, right, strict=True)))).distinct()
+    runs = materialise(ranked_values(events.join(ends, keys, "left_semi"), fields, keys).select(*keys, "field", "value", "first", "last"), "runs")
+    side = lambda names, s: wanted.join(runs.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), "field", "value", "first", "last"), names).withColumn("side", F.lit(s))
+    both = materialise(side(left, 0).unionByName(side(right, 1)), "sides")
+    of = lambda s, c: F.when(F.col("side") == s, F.col(c))
+    sizes = both.groupBy(*taken, "field").agg(F.coalesce(F.max(of(0, "last")), F.lit(0)).alias("na"), F.coalesce(F.max(of(1, "last")), F.lit(0)).alias("nb"))
+    gaps = _carried_gaps(both, [*taken, "field"])
+    found = sizes.join(gaps, [*taken, "field"], "left").where("na <> nb OR gap > 0")
+    return pairs.join(found, taken).select(*pairs.columns, "field", F.when(F.col("na") == F.col("nb"), F.col("gap")).alias("largest_difference"))
+
+
+def _carried_gaps(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, gap): the largest difference of the two sides' values at one place.
+
+    Both sides' runs are ordered by their first place. Inside a range a window carries each side's last value; what
+    a range begins with is carried over a table with a row for each range and key.
     """
-    blocks = max(1, -(-queries.count() // query_block))
-    slices = max(1, -(-pool.count() // slice_rows))
-    q = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v")).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("ps", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    p = pool.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v")).withColumn("ps", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            b = b.sort_values("id", kind="stable")
-            ids, x = b["id"].to_numpy(), np.stack(b["v"].to_numpy()).astype(np.float64)
-            lengths = (x**2).sum(axis=1)
-            for start in range(0, len(a), 256):
-                part = a.iloc[start : start + 256]
-                y = np.stack(part["v"].to_numpy()).astype(np.float64)
-                rough = lengths - 2 * (y @ x.T) + (y**2).sum(axis=1)[:, None]
-                for i, v, d in zip(part["id"], y, rough, strict=True):
-                    if exclude_self:
-                        d = np.where(ids == i, np.inf, d)
-                    at = np.flatnonzero(np.isfinite(d))
-                    if len(at) > k:
-                        floor = np.partition(d[at], k - 1)[k - 1]
-                        at = at[d[at] <= floor + 1e-9 * (float(lengths.max()) + float(v @ v))]
-                    exact = np.sqrt(((x[at] - v) ** 2).sum(axis=1))
-                    out += [(i, int(ids[at[j]]), float(exact[j])) for j in np.argsort(exact, kind="stable")[:k]]
-        return pd.DataFrame(out, columns=["query_id", "neighbour_id", "distance"])
-
-    found = q.groupBy("qb", "ps").cogroup(p.groupBy("qb", "ps")).applyInPandas(near, "query_id bigint, neighbour_id bigint, distance double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbour_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k)
+    ranged = materialise(runs.repartitionByRange(*keys, "first").withColumn("part", F.spark_partition_id()), "carried")  # runs of one place stay together
+    value = lambda s: F.when(F.col("side") == s, F.col("value"))
+    edges = ranged.groupBy("part", *keys).agg(*(F.max_by("value", F.when(F.col("side") == s, F.col("first"))).alias(f"end{s}") for s in (0, 1)))
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select("part", *keys, *(F.last(f"end{s}", True).over(before).alias(f"from{s}") for s in (0, 1)))
+    within = Window.partitionBy("part", *keys).orderBy("first").rangeBetween(Window.unboundedPreceding, 0)
+    carried = ranged.join(edges, ["part", *keys]).select(*keys, *(F.coalesce(F.last(value(s), True).over(within), F.col(f"from{s}")).alias(f"v{s}") for s in (0, 1)))
+    return carried.groupBy(*keys).agg(F.max(F.abs(F.col("v0") - F.col("v1"))).alias("gap"))
 
 
 def neighbour_profile(neighbours: DataFrame, labels: DataFrame, id_col: str, label: str, benign=0) -> DataFrame:

@@ -382,7 +382,7 @@ _FIELDS = ("in_bytes", "protocol", "l4_dst_port")
 @query(
     "j11_field_differences",
     with_ctes(
-        f"+{_ROWS}, px AS (SELECT a.sample_id AS a, min(b.sample_id) AS b FROM rw a JOIN rw b ON a.flows = b.flows AND a.active_buckets = b.active_buckets AND a.y = 1 AND b.y = 0 GROUP BY 1), ev AS (SELECT i.sequence_id, g.* FROM g JOIN ids i USING (source_ip, window_start_ms)), "
+        f"+{_ROWS}, px AS (SELECT a.sample_id AS a, min(b.sample_id) AS b FROM rw a JOIN rw b ON a.flows = b.flows AND a.active_buckets = b.active_buckets AND a.y = 1 AND b.y = 0 GROUP BY 1), ev AS MATERIALIZED (SELECT i.sequence_id, g.* FROM g JOIN ids i USING (source_ip, window_start_ms)), "
         + "l AS (" + " UNION ALL ".join(f"SELECT sequence_id, '{f}' AS field, list_sort(list(CAST({f} AS DOUBLE))) AS v FROM ev GROUP BY 1" for f in _FIELDS) + ") "
         "SELECT px.a, px.b, x.field, CASE WHEN len(x.v) = len(y.v) THEN list_max(list_transform(range(1, len(x.v) + 1), lambda i: abs(x.v[i] - y.v[i]))) END AS largest_difference FROM px JOIN l x ON x.sequence_id = px.a JOIN l y ON y.sequence_id = px.b AND y.field = x.field WHERE x.v <> y.v",
         "ids", "g",
