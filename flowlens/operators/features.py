@@ -175,6 +175,16 @@ def candidate_features(events: DataFrame) -> DataFrame:
     return with_quantiles(rows, BUCKET, plain, quantiles)
 
 
+def candidate_families(columns: list[str]) -> dict[str, list[str]]:
+    """AG13: the columns of ``candidate_features`` by family."""
+    starts = {"iat": IAT, "rates": RATES, "ttl": TTL}
+    out = {f: [c for c in columns if c.startswith(tuple(f"{n}_" for n in names))] for f, names in starts.items()}
+    out["categories"] = [c for c in columns if c.startswith(("dns_type_", "icmp_ipv4_type_"))]
+    known = {c for cs in out.values() for c in cs}
+    out["distribution"] = [c for c in columns if c not in known and c not in BUCKET]
+    return out
+
+
 def unpivot(df: DataFrame, ids: list[str], fields: list[str], name: str = "field", value: str = "value") -> DataFrame:
     """Long form of numeric columns, as doubles."""
     return df.select(*ids, *(F.col(f).cast("double").alias(f) for f in fields)).unpivot(ids, fields, name, value)

@@ -518,27 +518,87 @@ def sm8(spark, sf):
 # MLlib
 
 
-@query("ml1_bucket_encoder")
-def ml1(spark, sf):
+@shared
+def _encoder_inputs(spark, sf):
+    """Scaled features and the three histograms of every bucket, with the fold of its sequence; scaling and vocabularies
+    are those of the first fold."""
+    from pyspark.ml.functions import array_to_vector
+
     from flowlens.operators import features as ft
+    from flowlens.operators import histograms as hg
     from flowlens.operators.scaling import fit_scaler, standardize
 
     stats = ft.bucket_stats(events(spark, sf))
     train = folded(spark, sf).where("fold = 0")
-    scaled = standardize(stats, fit_scaler(stats, train, ft.FEATURES), ft.FEATURES)
-    model = ml.fit_encoder(scaled.join(train.select("source_ip", "window_start_ms"), ["source_ip", "window_start_ms"], "left_semi"), ft.FEATURES, 64)
-    return ml.encode(model, scaled).select("source_ip", "window_start_ms", "bucket", "embedding")
+    rows = standardize(stats, fit_scaler(stats, train, ft.FEATURES), ft.FEATURES)
+    for field in HISTOGRAMS:
+        counts = hg.category_histogram(events(spark, sf), field)
+        vocabulary = hg.fit_vocabulary(counts, train)
+        shares = hg.histogram_arrays(hg.dense_histogram(counts, vocabulary), vocabulary.count())
+        rows = rows.join(shares.select(*ft.BUCKET, array_to_vector("shares").alias(f"{field}_shares")), ft.BUCKET)
+    return rows.join(folded(spark, sf).select("source_ip", "window_start_ms", "fold"), ["source_ip", "window_start_ms"])
 
 
-@query("ml2_ml8_boosted_trees")
-def ml2(spark, sf):
-    """Trees on the flat inputs of the training samples, with group weights; the responses are those of the test samples."""
+HISTOGRAMS = ("protocol", "l7", "service")
+
+
+def _encoder(spark, sf):
+    from flowlens.operators import features as ft
+
+    rows = _encoder_inputs(spark, sf)
+    return rows, ml.fit_encoder(rows.where("fold = 0"), [*ft.FEATURES, *(f"{f}_shares" for f in HISTOGRAMS)], 64)
+
+
+@query("ml1_bucket_encoder")
+def ml1(spark, sf):
+    rows, model = _encoder(spark, sf)
+    return ml.encode(model, rows).select("source_ip", "window_start_ms", "bucket", "embedding")
+
+
+@query("ml1_encoder_loss")
+def ml1_loss(spark, sf):
+    """Mean loss of the frozen encoder by fold: what was fitted, validation and test."""
+    from flowlens.operators import features as ft
+
+    rows, model = _encoder(spark, sf)
+    first = rows.select(*(f"{f}_shares" for f in HISTOGRAMS)).first()
+    lost = ml.encoder_loss(model, rows, len(ft.FEATURES), [len(v) for v in first])
+    return lost.groupBy("fold").agg(F.count("*").alias("buckets"), F.avg("loss").alias("loss"))
+
+
+def _flat_samples(spark, sf):
     from flowlens.functions.arrays import flatten_sample
     from flowlens.plans.split_queries import _samples
 
-    rows = _samples(spark, sf).select("sample_id", "sample_type", "split", "y", flatten_sample(F.col("x"), F.col("mask")).alias("flat"))
-    model = ml.fit_boosted_trees(mt.group_weights(rows.where("split = 'train'"), "sample_type"), rounds=5, depth=3)
-    return ml.tree_responses(model, ml.score_trees(model, rows.where("split = 'test'"))).select("sample_id", "y", "score", "responses")
+    return _samples(spark, sf).select("sample_id", "sample_type", "split", "y", flatten_sample(F.col("x"), F.col("mask")).alias("flat"))
+
+
+_TREES: dict[tuple[str, str], object] = {}
+
+
+def _trees(spark, sf):
+    """The ensemble of one session, fitted once."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TREES:
+        rows = _flat_samples(spark, sf)
+        _TREES[key] = ml.fit_boosted_trees(mt.group_weights(rows.where("split = 'train'"), "sample_type"))
+    return _TREES[key]
+
+
+@query("ml2_ml8_boosted_trees")
+def ml2(spark, sf):
+    """Trees on the flat inputs of the training samples, with group weights, cut where validation AP is best; the
+    responses are those of the test samples."""
+    rows, model = _flat_samples(spark, sf), _trees(spark, sf)
+    rounds = ml.best_prefix(ml.prefix_precision(model, rows.where("split = 'validation'")))
+    scored = ml.score_trees(model, rows.where("split = 'test'"), rounds)
+    return ml.tree_responses(model, scored).select("sample_id", "y", "score", "responses")
+
+
+@query("ml2_rounds")
+def ml2_rounds(spark, sf):
+    """Validation AP after each round."""
+    return rounded(ml.prefix_precision(_trees(spark, sf), _flat_samples(spark, sf).where("split = 'validation'")))
 
 
 def _probe_rows(spark, sf):
@@ -549,7 +609,24 @@ def _probe_rows(spark, sf):
 
 @query("ml3_feature_probe")
 def ml3(spark, sf):
-    return ml.feature_probe(_probe_rows(spark, sf), [f"f{i}" for i in range(64)], trees=16, depth=6)
+    return ml.feature_probe(_probe_rows(spark, sf), [f"f{i}" for i in range(64)])
+
+
+@query("ml3_family_probes")
+def ml3_families(spark, sf):
+    """Sequence means of the 82 features against means with each candidate family, by time block and by host."""
+    from flowlens.operators import features as ft
+
+    key = ["source_ip", "window_start_ms"]
+    old = ft.bucket_stats(events(spark, sf))
+    new = ft.candidate_features(events(spark, sf))
+    families = ft.candidate_families(new.columns)
+    mean = lambda t, names: t.groupBy(*key).agg(*(F.avg(n).alias(n) for n in names))
+    added = [n for ns in families.values() for n in ns]
+    renamed = new.select(*key, *(F.col(n).alias(f"new_{n}") for n in added))
+    rows = mean(old, ft.FEATURES).join(mean(renamed, [f"new_{n}" for n in added]), key).join(sequences(spark, sf).select(*key, (F.col("attack_flows") > 0).cast("int").alias("y")), key)
+    rows = rows.withColumn("block", F.col("window_start_ms") - F.col("window_start_ms") % BLOCK)
+    return ml.family_probes(rows, ft.FEATURES, {f: [f"new_{n}" for n in ns] for f, ns in families.items()}, {"time_block": "block", "source_host": "source_ip"})
 
 
 def _screen_sql() -> str:
