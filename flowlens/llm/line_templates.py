@@ -93,18 +93,24 @@ def word_pairs(mask: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.xxhash64(a, b)))
 
 
-def own_contents(rows: DataFrame, spots: DataFrame, parts: DataFrame, min_docs: int) -> DataFrame:
+def masks_of(rows: DataFrame, often: DataFrame, parts: DataFrame) -> DataFrame:
+    """(h, mask) of the lines of frequent leaves and of linked texts, in one pass over the lines."""
+    lines = rows.select("digest", F.explode("lines").alias("x")).where("x IS NOT NULL").select("digest", "x.leaf", "x.h", "x.mask")
+    lines = narrow_join(lines, often.withColumn("often", F.lit(True)), "leaf", "left")
+    lines = narrow_join(lines, parts.select("digest", F.lit(True).alias("linked")), "digest", "left")
+    return materialise(lines.where("often OR linked").groupBy("h").agg(F.min("mask").alias("mask")), "masks")
+
+
+def own_contents(words: DataFrame, spots: DataFrame, parts: DataFrame, min_docs: int) -> DataFrame:
     """``parts`` with another content for texts that hold lines of their own: the component and the least such line.
 
-    ``spots``: (digest, h) of every line, once for each text.
+    ``spots``: (digest, h) of every line, once for each text; ``words``: (h, mask) of linked texts at least.
     """
     held = materialise(narrow_join(spots.select("digest", "h"), parts, "digest"), "held")
     sizes = materialise(parts.groupBy("content").agg(F.count("*").alias("texts")), "sizes")
     lines = materialise(held.groupBy("content", "h").agg(F.count("*").alias("n")), "lines")
     common = (F.col("n") > 1) & (F.col("n") >= F.least(F.lit(min_docs), F.ceil(F.col("texts") / 2)))
     lines = narrow_join(lines, sizes, "content").select("content", "h", common.alias("common"))
-    linked = narrow_join(rows.select("digest", "lines"), parts.select("digest"), "digest", "left_semi")
-    words = materialise(linked.select(F.explode("lines").alias("x")).where("x IS NOT NULL").groupBy("x.h").agg(F.min("x.mask").alias("mask")), "masks")
     said = materialise(spread_join(materialise(lines, "lines"), words, "h").select("content", "h", "common", word_pairs(F.col("mask")).alias("pairs")), "pairs")
     known = materialise(said.where("common").select("content", F.explode("pairs").alias("pair")).distinct().withColumn("seen", F.lit(1)), "known")
     rest = materialise(said.where("NOT common").select("content", "h", F.explode("pairs").alias("pair")), "rest")
@@ -123,7 +129,8 @@ def templates(rows: DataFrame, min_docs: int = 10, constant: float = 0.6) -> Dat
     spots = materialise(spots, "spots")
     often = materialise(spots.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
     parts = materialise(contents(rows), "contents")
-    parts = materialise(own_contents(rows, spots, parts, min_docs), "contents", done=(parts,))
+    words = masks_of(rows, often, parts)
+    parts = materialise(own_contents(words, spots, parts, min_docs), "contents", done=(parts,))
     named = materialise(narrow_join(spots, often, "leaf", "left_semi"), "frequent", done=(spots,))
     named = named.join(parts, "digest", "left").select(F.coalesce("content", "digest").alias("content"), "leaf", "h").distinct()
     spots = materialise(named, "spots")
@@ -131,8 +138,7 @@ def templates(rows: DataFrame, min_docs: int = 10, constant: float = 0.6) -> Dat
     held = counted.groupBy("leaf").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     counted = materialise(spread_join(counted, held, "leaf", "left_semi"), "counted", done=(counted,))
     wanted = materialise(counted.select("h").distinct(), "wanted")
-    words = narrow_join(rows.select(F.explode("lines").alias("x")).where("x IS NOT NULL").select("x.h", "x.mask"), wanted, "h", "left_semi")
-    words = materialise(words.groupBy("h").agg(F.min("mask").alias("mask")), "words")
+    words = materialise(narrow_join(words, wanted, "h", "left_semi"), "words", done=(words,))
     tokens = spread_join(counted, words, "h").select("leaf", "h", "docs", F.posexplode(F.split("mask", " ")).alias("place", "token"))
     tokens = materialise(tokens, "tokens")
     place = ["leaf", "place", "token"]
