@@ -56,11 +56,12 @@ def bucket_target_faults(samples: DataFrame) -> DataFrame:
 
 
 def prediction_faults(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """DQ4: scores are finite and in [0, 1], labels binary, both classes there."""
+    """DQ4: scores are finite and in [0, 1], labels binary, both classes there. A score that is no finite number has no range."""
     s = F.col("score")
+    finite = s.isNotNull() & ~F.isnan(s) & (F.abs(s) != float("inf"))
     return rows.groupBy(*(keys or [])).agg(
-        _count(s.isNull() | F.isnan(s) | (F.abs(s) == float("inf"))).alias("not_finite"),
-        _count((s < 0) | (s > 1)).alias("out_of_range"),
+        _count(~finite).alias("not_finite"),
+        _count(finite & ((s < 0) | (s > 1))).alias("out_of_range"),
         _count(~F.col("y").isin(0, 1)).alias("bad_label"),
         (F.lit(2) - F.countDistinct(F.when(F.col("y").isin(0, 1), F.col("y")))).alias("missing_class"),
     )

@@ -98,6 +98,43 @@ def arm_table(rows: DataFrame, keys: list[str], value: str, seed: str = "seed")
     return seed_statistics(rows, keys, value, zero_for_one=True).join(listed, keys)
 
 
+def with_pooled(rows: DataFrame, types: list[str], name: str = "ALL HELD OUT") -> DataFrame:
+    """Score rows, and those of the withheld types once more under one name, so that every measure covers the pool too."""
+    return rows.unionByName(rows.where((F.col("y") == 1) & F.col("primary_attack").isin(*types)).withColumn("primary_attack", F.lit(name)))
+
+
+def arm_measures(rows: DataFrame, thresholds: DataFrame, arm: str, seed: str = "seed") -> DataFrame:
+    """RP5: (arm, seed, primary_attack, n, hosts, measure, value): recall of each type at every point, and its AP."""
+    keys = [arm, seed]
+    recalls = metrics.attack_recall(rows, thresholds, keys).select(*keys, "primary_attack", "n", "hosts", F.concat(F.lit("recall_"), "point").alias("measure"), F.col("recall").alias("value"))
+    sizes = rows.where("y = 1").groupBy(*keys, "primary_attack").agg(F.count("*").alias("n"), F.countDistinct("source_host").alias("hosts"))
+    precision = metrics.subtype_ap(rows, keys).join(sizes, [*keys, "primary_attack"])
+    return recalls.unionByName(precision.select(*keys, "primary_attack", "n", "hosts", F.lit("average_precision").alias("measure"), F.col("average_precision").alias("value")))
+
+
+def compare_arms(measures: DataFrame, arm: str, control: str, withheld: list[str], pooled: str = "ALL HELD OUT", seed: str = "seed", digits: int = 6) -> DataFrame:
+    """RP5: each arm against the control of the same seeds, by type and measure.
+
+    Mean and SD (zero for one seed) of control, arm and difference, seeds where the arm is lower, and the values by seed.
+    An arm whose seeds are not those of the control is an error.
+    """
+    item = ["primary_attack", "measure"]
+    base = measures.where(F.col(arm) == control).select(seed, *item, F.col("value").alias("control"))
+    rows = measures.where(F.col(arm) != control)
+    seeds = lambda t: F.array_sort(F.collect_set(t))
+    wanted = measures.where(F.col(arm) == control).agg(seeds(seed).alias("_w"))
+    checked = rows.groupBy(arm).agg(seeds(seed).alias("_s")).crossJoin(F.broadcast(wanted))  # one row
+    checked = checked.select(arm, F.when(F.col("_s") != F.col("_w"), F.raise_error(F.concat(F.lit("the seeds are not those of the control: "), F.col(arm))).cast("int")).otherwise(1).alias("_ok"))
+    pairs = rows.join(base, [seed, *item], "left").join(checked, arm).where("_ok = 1").withColumn("delta", F.col("value") - F.col("control"))
+    sides = {"control": "control", "arm": "value", "delta": "delta"}
+    sd = lambda c: F.when(F.count(c) == 1, F.lit(0.0)).otherwise(F.stddev_samp(c))
+    text = lambda c: F.coalesce(F.format_string(f"%.{digits}f", c), F.lit("n/a"))
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(seed, text(F.col(c)).alias("t")))), lambda s: s["t"]), ";")  # noqa: E731  a value for each seed
+    values = [a for n, c in sides.items() for a in (F.avg(c).alias(f"{n}_mean"), sd(c).alias(f"{n}_sd"), listed(c).alias(f"{n}_by_seed"))]
+    out = pairs.groupBy(arm, *item).agg(F.max("n").alias("n"), F.max("hosts").alias("hosts"), *values, F.sum((F.col("delta") < 0).cast("bigint")).alias("seeds_lower"))
+    return out.withColumn("held_out", F.col("primary_attack").isin(*withheld, pooled))
+
+
 def unseen_subtype(control: DataFrame, holdout: DataFrame, control_at: float, holdout_at: float, withheld: list[str]) -> DataFrame:
     """RP6: recall of each type with and without it in training, with Wilson bounds; withheld types first."""
     pairs = paired_predictions(control, holdout, control_at, holdout_at, ["primary_attack"])
@@ -170,6 +207,29 @@ def attack_profile(rows: DataFrame, train_hosts: DataFrame) -> DataFrame:
     return out.join(macro, "primary_attack")
 
 
+def training_profile(samples: DataFrame, attacks: DataFrame, types: str = "target_attack") -> DataFrame:
+    """RP15: by type, real and synthetic malicious training samples and the type's share of the positive objective.
+
+    Real and synthetic samples weigh the same in sum, so the share is the mean of the type's shares in both groups.
+    ``samples``: sample_type and the type; ``attacks``: the types wanted.
+    """
+    kinds = ("real_malicious", "synthetic_malicious")
+    count = lambda k: F.sum(F.when(F.col("sample_type") == k, 1).otherwise(0)).cast("bigint")
+    bad = samples.where(F.col("sample_type").isin(*kinds))
+    per = bad.groupBy(F.col(types).alias("primary_attack")).agg(count(kinds[0]).alias("real_train_n"), count(kinds[1]).alias("synthetic_train_n"))
+    whole = bad.agg(count(kinds[0]).alias("_r"), count(kinds[1]).alias("_s"))
+    both = attacks.select("primary_attack").distinct().join(per, "primary_attack", "left").fillna(0).crossJoin(F.broadcast(whole))  # one row
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return both.select("primary_attack", "real_train_n", "synthetic_train_n", ((share("real_train_n", "_r") + share("synthetic_train_n", "_s")) / 2).alias("positive_objective_share"))
+
+
+def mixed_types(rows: DataFrame, memberships: DataFrame, key: str = "sample_id") -> DataFrame:
+    """RP15: by primary type, sequences that hold another attack type too. ``memberships``: a row for each sequence and type."""
+    several = memberships.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key, F.lit(1).alias("_m"))
+    joined = rows.select(key, "primary_attack").join(several, key, "left")
+    return joined.groupBy("primary_attack").agg(F.count("_m").alias("within_type_mixed_attack_n"))
+
+
 def recall_slices(rows: DataFrame, keys: list[str]) -> DataFrame:
     """RP16: recall by host, attack-fraction bin, active-bucket bin and flow-count bin."""
     fraction = F.col("attack_flows") / F.col("flows")
@@ -183,6 +243,23 @@ def outcome_summary(rows: DataFrame, keys: list[str], means: list[str], medians:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"{c}_mean") for c in means), *(F.median(c).alias(f"{c}_median") for c in medians))
 
 
+def neighbour_summary(profiles: DataFrame, outcomes: DataFrame, stage: str = "stage", key: str = "query_id") -> DataFrame:
+    """RP17: by stage and outcome, queries and the mean benign share among their neighbours. ``profiles``: J12 by stage."""
+    joined = profiles.join(outcomes.select(F.col("sample_id").alias(key), "outcome"), key)
+    return joined.groupBy(stage, "outcome").agg(F.count("*").alias("n"), F.avg("benign_share").alias("mean_benign_share"))
+
+
+def collision_summary(collisions: DataFrame, outcomes: DataFrame, searched: DataFrame, stage: str = "stage") -> DataFrame:
+    """RP17: by stage and outcome, targets, those with an identical benign row, and how many benign rows were searched.
+
+    ``collisions``: J8 by stage (target_id); ``searched``: stage and the number of benign rows of its pool.
+    """
+    found = collisions.select(stage, F.col("target_id").alias("sample_id"), F.lit(1).alias("_hit"))
+    every = outcomes.select("sample_id", "outcome").crossJoin(F.broadcast(searched.select(stage, "searched_benign_n")))  # a row for each stage
+    joined = every.join(found, [stage, "sample_id"], "left")
+    return joined.groupBy(stage, "outcome").agg(F.count("*").alias("n"), F.count("_hit").alias("with_exact_benign_counterpart"), F.max("searched_benign_n").alias("searched_benign_n"))
+
+
 def ab_table(before: DataFrame, after: DataFrame, before_at: float, after_at: float) -> DataFrame:
     """RP18: by type on one cohort — tp and fn of both runs, change of recall, recovered and lost."""
     pairs = paired_predictions(before, after, before_at, after_at, ["primary_attack"])

@@ -14,8 +14,9 @@ from flowlens.operators import reports as rp
 from flowlens.operators import resampling as rs
 from flowlens.operators.context import GEOMETRIES, MEDIANS
 from flowlens.plans import query
-from flowlens.plans.base import BLOCK, GRID, curve_ctes, embeddings, events, folded, hits, predictions, purged, rounded, sequences, shared, with_ctes, with_ids
+from flowlens.plans.base import BLOCK, GRID, attacks, curve_ctes, embeddings, events, folded, hits, predictions, purged, rounded, sequences, shared, with_ctes, with_ids
 from flowlens.plans.flow_queries import r
+from flowlens.plans.split_queries import _PLAN, _encoded, _plan
 
 RUN = ["model", "seed"]
 RUNS = "model, seed"
@@ -169,14 +170,21 @@ def w13(spark, sf):
     return p.groupBy(outcome(F.col("y"), F.col("score") >= CUT).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@query("dq4_prediction_faults", with_ctes(f"SELECT {RUNS}, CAST(0 AS BIGINT) AS not_finite, count(*) FILTER (score < 0 OR score > 1) AS out_of_range, CAST(0 AS BIGINT) AS bad_label, 2 - count(DISTINCT y) AS missing_class FROM pred GROUP BY 1, 2", "pred"))
+_K1, _K2, _K3 = "sample_id % 101 = 0", "sample_id % 103 = 0", "sample_id % 107 = 0"
+
+
+@query("dq4_prediction_faults", with_ctes(f"SELECT {RUNS}, count(*) FILTER ({_K1}) AS not_finite, count(*) FILTER ({_K2} AND NOT {_K1}) AS out_of_range, count(*) FILTER ({_K3}) AS bad_label, 2 - count(DISTINCT CASE WHEN NOT {_K3} THEN y END) AS missing_class FROM pred GROUP BY 1, 2", "pred"))
 def dq4(spark, sf):
-    return dq.prediction_faults(predictions(spark, sf), RUN)
+    """Score tables with planted faults, by the sample id: no number, a number out of range, another label."""
+    bad = predictions(spark, sf).withColumn("score", F.expr(f"CASE WHEN {_K1} THEN CASE WHEN seed = 1 THEN CAST('NaN' AS DOUBLE) WHEN seed = 2 THEN CAST('Infinity' AS DOUBLE) END WHEN {_K2} THEN score + 1.5 ELSE score END"))
+    return dq.prediction_faults(bad.withColumn("y", F.expr(f"CASE WHEN {_K3} THEN 2 ELSE y END")), RUN)
 
 
-@query("dq5_same_population", with_ctes("SELECT model || ':' || seed AS run, CAST(0 AS BIGINT) AS differences FROM runs WHERE model <> 'base' OR seed <> 1", "runs"))
+@query("dq5_same_population", with_ctes(f"SELECT model || ':' || seed AS run, CAST(CASE WHEN model = 'alt' AND seed = 2 THEN 2 * (SELECT count(*) FROM ids WHERE sequence_id % 101 = 0) WHEN model = 'fine' AND seed = 1 THEN (SELECT count(*) FROM ids WHERE sequence_id % 103 = 0) ELSE 0 END AS BIGINT) AS differences FROM runs WHERE model <> 'base' OR seed <> 1", "runs", "ids"))
 def dq5(spark, sf):
+    """One run has other labels for some samples, and one lacks some."""
     p = predictions(spark, sf).withColumn("run", F.concat_ws(":", "model", F.col("seed").cast("string")))
+    p = p.withColumn("y", F.expr(f"CASE WHEN run = 'alt:2' AND {_K1} THEN 1 - y ELSE y END")).where(f"NOT (run = 'fine:1' AND {_K2})")
     return dq.population_differences(p, "run", "base:1", ["sample_id", "y", "primary_attack", "source_host"])
 
 
@@ -269,6 +277,23 @@ def rp5_arms(spark, sf):
     return rounded(rp.arm_table(summary(spark, sf), ["model"], "average_precision").drop("by_seed"))
 
 
+_HELD = "('Type1', 'Type3')"
+_ARMS = (
+    f"lab AS (SELECT * FROM pred WHERE model <> 'fine' UNION ALL SELECT * REPLACE ('ALL HELD OUT' AS primary_attack) FROM pred WHERE model <> 'fine' AND y = 1 AND primary_attack IN {_HELD}), "
+    + _SUB.replace("FROM pred", "FROM lab") + f", at5 AS (SELECT {RUNS}, primary_attack, 'recall_' || point AS measure, avg(CASE WHEN score >= threshold THEN 1.0 ELSE 0.0 END) AS value FROM lab JOIN thr5 USING ({RUNS}) WHERE y = 1 GROUP BY {RUNS}, primary_attack, point "
+    f"UNION ALL SELECT {RUNS}, primary_attack, 'average_precision', sum(p * 1.0 / pp * tp / (tp + fp)) FROM su GROUP BY {RUNS}, primary_attack), "
+    "siz AS (SELECT primary_attack, count(*) AS n, count(DISTINCT source_host) AS hosts FROM lab WHERE model = 'alt' AND seed = 1 AND y = 1 GROUP BY 1), "
+    "pr5 AS (SELECT h.model, h.seed, h.primary_attack, h.measure, c.value AS control, h.value AS arm, h.value - c.value AS delta FROM at5 h LEFT JOIN at5 c ON c.model = 'base' AND c.seed = h.seed AND c.primary_attack = h.primary_attack AND c.measure = h.measure WHERE h.model <> 'base') "
+)
+
+
+@query("rp5_arm_comparison", with_ctes(f"+{curve_ctes('pred', '5')}, {_ARMS}SELECT model, primary_attack, measure, any_value(n) AS n, any_value(hosts) AS hosts, " + ", ".join(f"{r(f'avg({c})', c + '_mean')}, {r(f'coalesce(stddev_samp({c}), 0)', c + '_sd')}, string_agg(printf('%.9f', {c}), ';' ORDER BY seed) AS {c}_by_seed" for c in ("control", "arm", "delta")) + f", count(*) FILTER (delta < 0) AS seeds_lower, primary_attack IN {_HELD} OR primary_attack = 'ALL HELD OUT' AS held_out FROM pr5 JOIN siz USING (primary_attack) GROUP BY 1, 2, 3", "pred", "points"))
+def rp5_comparison(spark, sf):
+    held = ["Type1", "Type3"]
+    rows = rp.with_pooled(predictions(spark, sf).where("model <> 'fine'"), held)
+    return rounded(rp.compare_arms(rp.arm_measures(rows, thresholds(spark, sf).select(*RUN, "point", "threshold"), "model"), "model", "base", held, digits=9))
+
+
 _WIL = "(p{0} + 3.8416 / (2 * n) {1} 1.96 * sqrt(p{0} * (1 - p{0}) / n + 3.8416 / (4.0 * n * n))) / (1 + 3.8416 / n)"
 
 
@@ -318,6 +343,16 @@ def rp15(spark, sf):
     return rounded(rp.attack_profile(hits(spark, sf), train))
 
 
+@query("rp15_training_profile", with_ctes(f"+{_HIT}, {_PLAN.strip().lstrip('+')}, tr15 AS (SELECT primary_attack AS t, 'r' AS k FROM fold WHERE fold = 0 AND attack_flows > 0 UNION ALL SELECT target_attack, 's' FROM plan_ WHERE sample_type = 'synthetic_malicious'), sh AS (SELECT DISTINCT primary_attack FROM h), att2 AS (SELECT i.sequence_id, a.attack FROM att a JOIN ids i USING (source_ip, window_start_ms)), mm AS (SELECT sequence_id FROM att2 GROUP BY 1 HAVING count(*) > 1) SELECT primary_attack, count(*) FILTER (k = 'r') AS real_train_n, count(*) FILTER (k = 's') AS synthetic_train_n, " + r("(count(*) FILTER (k = 'r') * 1.0 / (SELECT count(*) FROM tr15 WHERE k = 'r') + count(*) FILTER (k = 's') * 1.0 / (SELECT count(*) FROM tr15 WHERE k = 's')) / 2", "positive_objective_share") + ", (SELECT count(*) FROM h WHERE h.primary_attack = sh.primary_attack AND sample_id IN (SELECT sequence_id FROM mm)) AS within_type_mixed_attack_n FROM sh LEFT JOIN tr15 ON tr15.t = sh.primary_attack GROUP BY 1", "pred", "fold", "att", "ids"))
+def rp15_training(spark, sf):
+    """What the attack profile says of training: samples of each type, its share of the objective, and mixed sequences."""
+    positives = hits(spark, sf)
+    real = folded(spark, sf).where("fold = 0 AND attack_flows > 0").select(F.lit("real_malicious").alias("sample_type"), F.col("primary_attack").alias("target_attack"))
+    profile = rp.training_profile(real.unionByName(_plan(spark, sf)[2].select("sample_type", "target_attack")), positives)
+    held = attacks(spark, sf).join(with_ids(spark, sf).select("source_ip", "window_start_ms", F.col("sequence_id").alias("sample_id")), ["source_ip", "window_start_ms"])
+    return rounded(profile.join(rp.mixed_types(positives, held), "primary_attack"))
+
+
 _BINS = {"host": "source_host", "fraction": "CASE WHEN fraction = 1 THEN 'all' WHEN fraction <= 0.01 THEN '<=1%' WHEN fraction <= 0.1 THEN '1-10%' WHEN fraction <= 0.5 THEN '10-50%' ELSE '50-100%' END", "active": "CASE WHEN active_buckets <= 1 THEN '1' WHEN active_buckets <= 5 THEN '2-5' ELSE '6-10' END", "flows": "CASE WHEN flows <= 2 THEN '1-2' WHEN flows <= 10 THEN '3-10' WHEN flows <= 100 THEN '11-100' ELSE '101+' END"}
 
 
@@ -331,6 +366,33 @@ def rp17(spark, sf):
     return rounded(rp.outcome_summary(hits(spark, sf), ["hit"], ["flows"], ["active_buckets"]))
 
 
+_STAGES = {"first_bucket": 0, "second_bucket": 1}
+_VEC = "vn AS (SELECT count(*) AS nv FROM embeddings), vx AS MATERIALIZED (SELECT f.sequence_id, s.i, f.attack_flows > 0 AS bad, CASE WHEN (f.sequence_id + s.i) % 3 <> 0 THEN CAST(embedding AS DOUBLE[]) ELSE list_transform(range(64), lambda z: CAST(0 AS DOUBLE)) END AS v FROM ids f, (SELECT unnest(range(2)) AS i) s, vn JOIN embeddings ON vec_id = (f.sequence_id * 4 + s.i) % nv) "
+
+
+@query("rp17_neighbour_summary", with_ctes(f"+{_HIT}, {_VEC}, dd AS (SELECT a.i, a.sequence_id, b.bad, row_number() OVER (PARTITION BY a.i, a.sequence_id ORDER BY list_distance(a.v, b.v), b.sequence_id) AS rk FROM vx a JOIN vx b ON a.i = b.i AND a.sequence_id <> b.sequence_id WHERE a.bad), q AS (SELECT i, sequence_id, avg(CASE WHEN bad THEN 0.0 ELSE 1.0 END) AS x FROM dd WHERE rk <= 10 GROUP BY 1, 2) SELECT CASE i WHEN 0 THEN 'first_bucket' ELSE 'second_bucket' END AS stage, CASE WHEN hit THEN 'TP' ELSE 'FN' END AS outcome, count(*) AS n, " + r("avg(x)", "mean_benign_share") + " FROM q JOIN h ON h.sample_id = q.sequence_id GROUP BY 1, 2", "pred", "ids"))
+def rp17_neighbours(spark, sf):
+    """Neighbours of the positives among all sequences, by the vector of their first and of their second bucket."""
+    labels = with_ids(spark, sf).select("sequence_id", (F.col("attack_flows") > 0).cast("int").alias("y"))
+    found = []
+    for stage, place in _STAGES.items():
+        pool = _encoded(spark, sf).select("sequence_id", F.get("x", place).alias("v")).join(labels, "sequence_id")
+        near = dg.knn(pool.where("y = 1"), pool, 10, "sequence_id", "v")
+        found.append(dg.neighbour_profile(near, labels, "sequence_id", "y").withColumn("stage", F.lit(stage)))
+    outcomes = hits(spark, sf).select("sample_id", F.when(F.col("hit"), "TP").otherwise("FN").alias("outcome"))
+    return rounded(rp.neighbour_summary(found[0].unionByName(found[1]), outcomes))
+
+
+@query("rp17_collision_summary", with_ctes(f"+{_HIT}, st AS (SELECT 'flows' AS stage, CAST(flows AS VARCHAR) AS k, sequence_id, attack_flows > 0 AS bad FROM ids UNION ALL SELECT 'flows_active', flows || ':' || active_buckets, sequence_id, attack_flows > 0 FROM ids), be AS (SELECT DISTINCT stage, k FROM st WHERE NOT bad) SELECT s.stage, CASE WHEN hit THEN 'TP' ELSE 'FN' END AS outcome, count(*) AS n, count(b.k) AS with_exact_benign_counterpart, (SELECT count(*) FROM ids WHERE attack_flows = 0) AS searched_benign_n FROM st s JOIN h ON h.sample_id = s.sequence_id LEFT JOIN be b ON b.stage = s.stage AND b.k = s.k GROUP BY 1, 2", "pred", "ids"))
+def rp17_collisions(spark, sf):
+    """Positives with an identical benign row, by flows alone and by flows and active buckets."""
+    rows = _rows(spark, sf)
+    found = [dg.exact_collisions(rows.where("y = 1"), rows.where("y = 0"), fields).withColumn("stage", F.lit(stage)) for stage, fields in (("flows", ["flows"]), ("flows_active", ["flows", "active_buckets"]))]
+    searched = rows.where("y = 0").agg(F.count("*").alias("searched_benign_n")).withColumn("stage", F.explode(F.array(F.lit("flows"), F.lit("flows_active"))))
+    outcomes = hits(spark, sf).select("sample_id", F.when(F.col("hit"), "TP").otherwise("FN").alias("outcome"))
+    return rp.collision_summary(found[0].unionByName(found[1]), outcomes, searched)
+
+
 @query("rp18_ab_table", with_ctes(f"+{_PAIR} SELECT primary_attack, count(*) AS n, count(*) FILTER (before) AS tp_before, count(*) FILTER (after) AS tp_after, " + r("(count(*) FILTER (after) - count(*) FILTER (before)) * 100.0 / count(*)", "delta_pp") + ", count(*) FILTER (NOT before AND after) AS recovered, count(*) FILTER (before AND NOT after) AS lost FROM pr GROUP BY 1", "pred"))
 def rp18(spark, sf):
     p = predictions(spark, sf).where("seed = 1")

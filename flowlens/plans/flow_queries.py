@@ -366,6 +366,8 @@ def snk9(spark, sf):
     return sinks.attack_subsets(s).groupBy("subset").agg(F.count("*").alias("n"), F.sum((F.col("primary_attack") == "Benign").cast("bigint")).alias("benign"))
 
 
-@query("j10_label_provenance", with_ctes("SELECT count(*) AS compared, CAST(0 AS BIGINT) AS not_staged, CAST(0 AS BIGINT) AS not_in_source, CAST(0 AS BIGINT) AS labels_differ FROM flows", "flows"))
+@query("j10_label_provenance", with_ctes("SELECT count(*) AS compared, count(*) FILTER (raw_rowid % 101 = 0 AND raw_rowid % 103 <> 0) AS not_staged, count(*) FILTER (raw_rowid % 103 = 0 AND raw_rowid % 101 <> 0) AS not_in_source, count(*) FILTER (raw_rowid % 107 = 0 AND raw_rowid % 101 <> 0 AND raw_rowid % 103 <> 0) AS labels_differ FROM flows WHERE NOT (raw_rowid % 101 = 0 AND raw_rowid % 103 = 0)", "flows"))
 def j10(spark, sf):
-    return dq.label_provenance(events(spark, sf), src.event_flows(spark, sf))
+    """With planted faults, by row id: rows that are not staged, rows that the source lacks, and other labels."""
+    staged = events(spark, sf).where("raw_rowid % 101 <> 0").withColumn("label", F.expr("CASE WHEN raw_rowid % 107 = 0 THEN 1 - label ELSE label END"))
+    return dq.label_provenance(staged, src.event_flows(spark, sf).where("raw_rowid % 103 <> 0"))

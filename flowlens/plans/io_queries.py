@@ -9,7 +9,7 @@ from flowlens.operators import features as ft
 from flowlens.operators import metrics as mt
 from flowlens.operators import reports as rp
 from flowlens.plans import query
-from flowlens.plans.base import GRID, events, folded, predictions, rounded, sequences, with_ctes
+from flowlens.plans.base import GRID, embeddings, events, folded, predictions, rounded, sequences, with_ctes
 from flowlens.plans.eval_queries import _ATT, RUN, usable
 from flowlens.plans.flow_queries import r
 from flowlens.plans.split_queries import _samples
@@ -52,11 +52,26 @@ def snk3(spark, sf):
 
 @query("snk4_metadata", with_ctes("SELECT fold, count(*) AS n FROM fold GROUP BY 1", "fold"))
 def snk4(spark, sf):
+    """A set that has replaced another."""
     path = scratch_path(spark, "metadata")
+    sinks.write_metadata({"folds": folded(spark, sf).select("fold").distinct()}, path)
     sinks.write_metadata({"folds": folded(spark, sf).groupBy("fold").agg(F.count("*").alias("n"))}, path)
     return spark.read.schema("fold int, n bigint").json(f"{path}/folds")
 
 
+@query("snk7_vectors", "SELECT row_number() OVER (ORDER BY vec_id) AS line, vec_id AS sample_id, label, " + r("list_sum(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)))", "total", 4) + ", CAST(0 AS BIGINT) AS vectors_differ, CAST(0 AS BIGINT) AS metadata_differ FROM embeddings")
+def snk7(spark, sf):
+    """Lines of both outputs, put together by their number as read back, and what the writer's own check found."""
+    path = scratch_path(spark, "vectors")
+    checked = sinks.write_vectors_tsv(embeddings(spark, sf).withColumnRenamed("vec_id", "sample_id"), "embedding", ["sample_id", "label"], path)
+    both = sinks.read_lines(spark, f"{path}/vectors").withColumnRenamed("lines", "v").join(sinks.read_lines(spark, f"{path}/metadata").withColumnRenamed("lines", "m"), "part")
+    rows = both.select("part", F.posexplode(F.arrays_zip("v", "m")).alias("at", "x"))
+    total = F.aggregate(F.transform(F.split("x.v", "\t"), lambda t: t.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    about = F.split("x.m", "\t")
+    rows = rows.select((F.col("part").cast("bigint") * sinks.LINES + F.col("at") + 1).alias("line"), F.get(about, 0).cast("bigint").alias("sample_id"), F.get(about, 1).cast("int").alias("label"), total.alias("total"))
+    return rounded(rows.crossJoin(F.broadcast(checked.drop("rows"))), 4)  # one row
+
+
 @query("snk6_csv_report", with_ctes("SELECT primary_attack, count(*) AS n FROM seq GROUP BY 1", "seq"))
 def snk6(spark, sf):
     path = scratch_path(spark, "report")

@@ -88,9 +88,15 @@ def spl8_counts(spark, sf):
     return sp.holdout_counts(purged(spark, sf), ["Type1", "Type3"])
 
 
-@query("spl9_holdout_residual", with_ctes(f"SELECT attack, count(*) AS sequences, CAST(sum(a.flows) AS BIGINT) AS flows FROM kept k JOIN att a USING ({K}) WHERE fold = 0 AND attack IN ('Type0', 'Type1') AND primary_attack <> attack GROUP BY 1", "kept", "att"))
+_SECOND = "att9 AS (SELECT source_ip, window_start_ms, attack, flows FROM att UNION ALL SELECT source_ip, window_start_ms, 'Type1', 2 FROM att WHERE attack <> 'Type1' AND window_start_ms // 86400000 % 3 = 0)"
+
+
+@query("spl9_holdout_residual", with_ctes(f"+{_SECOND} SELECT attack, count(*) AS sequences, CAST(sum(a.flows) AS BIGINT) AS flows FROM kept k JOIN att9 a USING ({K}) WHERE fold = 0 AND attack IN ('Type0', 'Type1') AND primary_attack <> attack GROUP BY 1", "kept", "att"))
 def spl9(spark, sf):
-    return sp.holdout_residual(purged(spark, sf), attacks(spark, sf), ["Type0", "Type1"])
+    """A second type is planted in the attack sequences of every third day, as the test events have one type a host."""
+    held = attacks(spark, sf)
+    second = held.where(f"attack <> 'Type1' AND (window_start_ms div {W}) % 3 = 0").select("source_ip", "window_start_ms", F.lit("Type1").alias("attack"), F.lit(2).cast("bigint").alias("flows"))
+    return sp.holdout_residual(purged(spark, sf), held.unionByName(second), ["Type0", "Type1"])
 
 
 _COVER = ", ".join(f"count(*) FILTER (fold = {c}) AS {n}_sequences, CAST(coalesce(sum(a.flows) FILTER (fold = {c}), 0) AS BIGINT) AS {n}_flows" for c, n in enumerate(sp.NAMES[:3]))
@@ -113,9 +119,11 @@ def spl10_faults(spark, sf):
     return sp.split_faults(purged(spark, sf), W, BLOCK)
 
 
-@query("dq9_partition_faults", with_ctes(f"SELECT (SELECT count(*) FROM (SELECT count(DISTINCT fold) AS k FROM kept WHERE fold < 3 GROUP BY window_start_ms // {BLOCK}) WHERE k > 1) AS shared_blocks, CAST(0 AS BIGINT) AS overlapping", "kept"))
+@query("dq9_partition_faults", with_ctes(f"+ f9 AS (SELECT * REPLACE (CASE WHEN sequence_id % 97 = 0 THEN (fold + 1) % 3 ELSE fold END AS fold) FROM fold) SELECT (SELECT count(*) FROM (SELECT count(DISTINCT fold) AS k FROM f9 GROUP BY window_start_ms // {BLOCK}) WHERE k > 1) AS shared_blocks, (SELECT count(*) FROM f9 x WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT window_start_ms AS o, fold AS of_ FROM f9) o WHERE o.o > x.first_ms - {W} AND o.o <= x.max_end_ms AND o.of_ <> x.fold)) AS overlapping", "fold"))
 def dq9(spark, sf):
-    return dq.partition_faults(purged(spark, sf), BLOCK, W)
+    """Folds before the purge, of which some sequences have been put into the next one."""
+    moved = folded(spark, sf).withColumn("fold", F.expr("CASE WHEN sequence_id % 97 = 0 THEN (fold + 1) % 3 ELSE fold END"))
+    return dq.partition_faults(moved, BLOCK, W)
 
 
 @query("spl11_probe_partition", with_ctes(f"+ tr AS (SELECT * FROM kept WHERE fold = 0) SELECT {K}, CASE WHEN CAST('0x' || substr(md5('1:' || (window_start_ms - window_start_ms % {BLOCK})), 1, 12) AS BIGINT) % 1000 < 800 THEN 0 ELSE 1 END AS assigned FROM tr", "kept"))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens.operators.ordering import numbered
+from flowlens.storage import exists, materialise, remove, rename
+
 DAY_MS = 86_400_000
+#: Lines of a file of vectors.
+LINES = 10_000
 
 
 def write_raw_buckets(buckets: DataFrame, path: str) -> None:
@@ -31,13 +38,33 @@ def write_samples(samples: DataFrame, path: str, buckets: int, width: int) -> No
 
 
 def write_metadata(frames: dict[str, DataFrame], path: str) -> None:
-    """SNK4: schema, scaler, manifest and notes as JSON lines; ``complete`` is written last."""
-    spark = None
-    for name, frame in frames.items():
-        spark = frame.sparkSession
-        frame.coalesce(1).write.mode("errorifexists").json(f"{path}/{name}")
-    if spark is not None:
-        spark.createDataFrame([(sorted(frames),)], "tables array<string>").coalesce(1).write.mode("errorifexists").json(f"{path}/complete")
+    """SNK4: schema, scaler, manifest and notes as JSON lines, replaced as one set.
+
+    The set is written aside, ``complete`` last, and then renamed to ``path``; a set that was there before is renamed away
+    first and removed at the end. So a reader never finds a part of a set, and a write that fails leaves the old one.
+    """
+    if not frames:
+        return
+    spark, mark = next(iter(frames.values())).sparkSession, uuid.uuid4().hex
+    aside, old = f"{path}.new-{mark}", f"{path}.old-{mark}"
+    try:
+        for name, frame in frames.items():
+            frame.coalesce(1).write.mode("errorifexists").json(f"{aside}/{name}")
+        spark.createDataFrame([(sorted(frames),)], "tables array<string>").coalesce(1).write.mode("errorifexists").json(f"{aside}/complete")
+    except Exception:
+        remove(spark, aside)
+        raise
+    had = exists(spark, path)
+    if had:
+        rename(spark, path, old)
+    try:
+        rename(spark, aside, path)
+    except OSError:
+        if had:
+            rename(spark, old, path)
+        raise
+    if had:
+        remove(spark, old)
 
 
 def flow_metadata(samples: DataFrame, sequences: DataFrame, split: str) -> DataFrame:
@@ -58,14 +85,42 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 def vector_lines(rows: DataFrame, vector: str, key: str = "sample_id", digits: int = 6) -> DataFrame:
     """SNK7: vectors as tab-separated text in the order of their ids."""
-    text = F.array_join(F.transform(vector, lambda v: F.format_string(f"%.{digits}f", v.cast("double"))), "\t")
-    return rows.orderBy(key).select(text.alias("value"))
+    return rows.orderBy(key).select(_vector_text(vector, digits).alias("value"))
 
 
-def write_vectors_tsv(rows: DataFrame, vector: str, meta: list[str], path: str, key: str = "sample_id") -> None:
-    """SNK7: vectors and metadata in the same row order."""
-    vector_lines(rows, vector, key).write.mode("errorifexists").text(f"{path}/vectors")
-    rows.orderBy(key).select(F.concat_ws("\t", *(F.coalesce(F.col(m).cast("string"), F.lit("")) for m in meta)).alias("value")).write.mode("errorifexists").text(f"{path}/metadata")
+def _vector_text(vector: str, digits: int) -> Column:
+    return F.array_join(F.transform(vector, lambda v: F.format_string(f"%.{digits}f", v.cast("double"))), "\t")
+
+
+def write_vectors_tsv(rows: DataFrame, vector: str, meta: list[str], path: str, key: str = "sample_id", digits: int = 6) -> DataFrame:
+    """SNK7: vectors and metadata in the same row order; returns rows, ``vectors_differ`` and ``metadata_differ``.
+
+    Both texts of a row are made at once and numbered in one order by id (ties by the texts), which is written. The two
+    outputs are two columns of that table, in the same files of LINES lines, so that line n of one belongs to line n of
+    the other. Both are read back and compared with it, file by file and line by line; what differs is counted by files. A
+    vector with a value that is not finite stops the write.
+    """
+    spark = rows.sparkSession
+    number = lambda v: v.cast("double")
+    finite = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(number(v)) & (F.abs(number(v)) != float("inf")))
+    text = F.when(F.coalesce(finite, F.lit(False)), _vector_text(vector, digits)).otherwise(F.raise_error(F.lit("a vector holds a value that is not finite")).cast("string"))
+    about = F.concat_ws("\t", *(F.regexp_replace(F.coalesce(F.col(m).cast("string"), F.lit("")), "[\t\n\r]", " ") for m in meta))
+    lines = materialise(numbered(rows.select(F.col(key).alias("id"), text.alias("vectors"), about.alias("metadata")), [], ["id", "vectors", "metadata"], "line"), "lines")
+    lines = lines.select(F.floor((F.col("line") - 1) / LINES).cast("int").alias("part"), "line", "vectors", "metadata")
+    dealt = lines.repartition("part").sortWithinPartitions("part", "line")
+    want = lines.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("line", "vectors", "metadata"))).alias("all"))  # at most LINES
+    found = want
+    for name in ("vectors", "metadata"):
+        dealt.select("part", F.col(name).alias("value")).write.mode("errorifexists").partitionBy("part").text(f"{path}/{name}")
+        found = found.join(read_lines(spark, f"{path}/{name}").withColumnRenamed("lines", f"got_{name}"), "part", "left")
+    differ = lambda name: F.sum((~F.coalesce(F.transform("all", lambda x: x[name]) == F.col(f"got_{name}"), F.lit(False))).cast("bigint")).alias(f"{name}_differ")
+    return found.agg(F.coalesce(F.sum(F.size("all")), F.lit(0)).cast("bigint").alias("rows"), differ("vectors"), differ("metadata"))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """SNK7: (part, lines) of an output of ``write_vectors_tsv``, a file as one row of at most LINES lines."""
+    whole = spark.read.schema("value string, part int").text(path, wholetext=True)
+    return whole.select("part", F.split(F.regexp_replace("value", "\n$", ""), "\n").alias("lines"))
 
 
 def attack_subsets(rows: DataFrame) -> DataFrame:

@@ -39,6 +39,29 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def _located(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path as it knows it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _located(spark, path)
+    return fs.exists(target)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """One rename of the file system; an error if it refuses."""
+    fs, target = _located(spark, path)
+    if not fs.rename(target, _located(spark, to)[1]):
+        raise OSError(f"{path} could not be renamed to {to}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, target = _located(spark, path)
+    fs.delete(target, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; what is written there is removed when the driver exits."""
     path = f"{shared_dir(spark)}/flowlens-{name}-{uuid.uuid4().hex}"
