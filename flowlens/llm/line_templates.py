@@ -31,6 +31,8 @@ empty table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +46,9 @@ LADDER = 4
 VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*"
 #: Last letters of words after which a text is cut for its sketch, where a letter of A-M follows.
 SPLIT_AFTER = "eyaoдия"
-PIECES = rf"\n|(?<=[{SPLIT_AFTER}]) (?=[a-mA-Mа-мА-М])"
+PIECES = rf"\n| (?<=[{SPLIT_AFTER}] )(?=[a-mA-Mа-мА-М])"
+#: White space that is not a single blank between words: what must occur for ``masks`` to rewrite spaces.
+ODD_SPACE = ("  ", "\t", "\x0b", "\f", "\r")
 SKETCH = 4
 #: New word pairs, with those at the ends of a line, that make a text differ from its near copies.
 OWN = 4
@@ -53,7 +57,8 @@ OWN = 4
 def masks(text: Column) -> Column:
     """Each line of the text with single spaces and each token that holds a digit as a wildcard."""
     whole = F.when(text.rlike("[0-9]"), F.regexp_replace(text, VARIABLE, WILD)).otherwise(text)
-    spaced = F.regexp_replace(whole, r"[^\S\n]{2,}|[^\S\n ]", " ")
+    odd = reduce(Column.__or__, (F.contains(text, F.lit(x)) for x in ODD_SPACE))
+    spaced = F.when(odd, F.regexp_replace(whole, r"[^\S\n]{2,}|[^\S\n ]", " ")).otherwise(whole)
     return F.transform(F.split(spaced, "\n"), lambda x: F.trim(x))
 
 
