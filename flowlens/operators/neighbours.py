@@ -46,10 +46,10 @@ def _matrix(column) -> np.ndarray:
     return np.array(column.to_pylist(), dtype=np.float64) if len(column) else np.zeros((0, 0))
 
 
-def pivots_of(pool: DataFrame, most: int = PIVOTS) -> np.ndarray:
-    """A sample by hash of about the root of the number of vectors, ``most`` at most."""
+def pivots_of(pool: DataFrame, block: int = BLOCK, most: int = PIVOTS) -> np.ndarray:
+    """A sample by hash of about as many vectors as there will be blocks, ``most`` at most."""
     n = pool.count()
-    wanted = min(most, max(1, int(n**0.5)))
+    wanted = min(most, max(1, -(-n // block)))
     share = min(1.0, 2.0 * wanted / max(1, n))
     rows = pool.where(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).orderBy(F.xxhash64("id"), "id").limit(wanted).select("v").collect()
     return np.unique(np.array([r["v"] for r in rows], dtype=np.float64), axis=0) if rows else np.zeros((0, 0))
@@ -182,7 +182,7 @@ def prepared(queries: DataFrame, pool: DataFrame, id_col: str, vector: str, bloc
     """Groups of queries, blocks of the pool, and the pivots."""
     side = lambda t: t.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     pool = side(pool)
-    pivots = pivots_of(pool)
+    pivots = pivots_of(pool, block)
     groups = packed(side(queries), pivots, GROUP, "queries").drop("lo", "hi", "cell") if len(pivots) else None
     return groups, packed(pool, pivots, block, "pool") if len(pivots) else None, pivots
 
@@ -197,6 +197,8 @@ def knn(queries: DataFrame, pool: DataFrame, k: int, id_col: str, vector: str, e
         return queries.sparkSession.createDataFrame([], "query_id bigint, neighbour_id bigint, distance double, rank int")
     none = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.lit(None).cast("double"))
     asked = groups.withColumn("within", none)
+    if blocks.count() <= 4 * FIRST:  # a threshold would save nothing
+        return nearest(reachable(asked, blocks, pivots, None), asked, blocks, k, exclude_self).drop("grp", "spot")
     begun = materialise(nearest(reachable(asked, blocks, pivots, FIRST), asked, blocks, k, exclude_self), "begun")
     asked = materialise(thresholds(groups, begun, k), "within")
     return nearest(reachable(asked, blocks, pivots, None), asked, blocks, k, exclude_self).drop("grp", "spot")
