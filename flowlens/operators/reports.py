@@ -128,7 +128,7 @@ def compare_arms(measures: DataFrame, arm: str, control: str, withheld: list[str
     pairs = rows.join(base, [seed, *item], "left").join(checked, arm).where("_ok = 1").withColumn("delta", F.col("value") - F.col("control"))
     sides = {"control": "control", "arm": "value", "delta": "delta"}
     sd = lambda c: F.when(F.count(c) == 1, F.lit(0.0)).otherwise(F.stddev_samp(c))
-    text = lambda c: F.coalesce(F.format_string(f"%.{digits}f", c), F.lit("n/a"))
+    text = lambda c: F.when(c.isNull(), "n/a").otherwise(F.format_string(f"%.{digits}f", c))
     listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(seed, text(F.col(c)).alias("t")))), lambda s: s["t"]), ";")  # noqa: E731  a value for each seed
     values = [a for n, c in sides.items() for a in (F.avg(c).alias(f"{n}_mean"), sd(c).alias(f"{n}_sd"), listed(c).alias(f"{n}_by_seed"))]
     out = pairs.groupBy(arm, *item).agg(F.max("n").alias("n"), F.max("hosts").alias("hosts"), *values, F.sum((F.col("delta") < 0).cast("bigint")).alias("seeds_lower"))
