@@ -93,8 +93,9 @@ def window_class(flows: Column, attacks: Column) -> Column:
 def attack_inventory(events: DataFrame) -> DataFrame:
     """ED1 (meaning inferred from the column names of a result table): each type's flows, hosts, windows."""
     both = sequence_index(events).select(*KEYS, window_class(F.col("flows"), F.col("attack_flows")).alias("kind"))
-    per = events.where("label = 1").groupBy("attack", *KEYS).agg(F.count("*").alias("n"), F.collect_set("ipv4_dst_addr").alias("dst")).join(both, KEYS)
-    dst = per.select("attack", F.explode("dst").alias("d")).groupBy("attack").agg(F.countDistinct("d").alias("destinations"))
+    bad = events.where("label = 1")
+    per = bad.groupBy("attack", *KEYS).agg(F.count("*").alias("n")).join(both, KEYS)
+    dst = bad.select("attack", "ipv4_dst_addr").distinct().groupBy("attack").agg(F.count("ipv4_dst_addr").alias("destinations"))
     hybrid = F.sum((F.col("kind") == "hybrid").cast("bigint"))
     return per.groupBy("attack").agg(F.sum("n").alias("flows"), F.countDistinct("source_ip").alias("sources"), F.count("*").alias("windows"), hybrid.alias("hybrid_windows"), (hybrid / F.count("*")).alias("hybrid_share")).join(dst, "attack")
 
@@ -124,11 +125,18 @@ def window_scales(flows: DataFrame, seconds: list[int], buckets: int = 10) -> Da
 
 
 def attack_episodes(events: DataFrame, gap_ms: int = 300_000) -> DataFrame:
-    """ED6 (inferred): runs of attack flows of one source and type without a gap over ``gap_ms``."""
-    w = Window.partitionBy("source_ip", "attack").orderBy("flow_start_milliseconds", "raw_rowid")
-    rows = events.where("label = 1").withColumn("_new", F.coalesce((F.col("flow_start_milliseconds") - F.lag("flow_start_milliseconds").over(w) > gap_ms).cast("int"), F.lit(1)))
-    rows = rows.withColumn("episode", F.sum("_new").over(w))
-    return rows.groupBy("source_ip", "attack", "episode").agg(F.count("*").alias("flows"), F.min("flow_start_milliseconds").alias("first_ms"), F.max("flow_start_milliseconds").alias("last_ms"))
+    """ED6 (inferred): runs of attack flows of one source and type without a gap over ``gap_ms``.
+
+    The start before another is in the same bin of ``gap_ms`` or in the one before, else the gap is wider; so order
+    inside a bin and the bins' last starts tell where episodes begin. Episodes are numbered over ranges of time.
+    """
+    who, start = ["source_ip", "attack"], "flow_start_milliseconds"
+    starts = events.where("label = 1").groupBy(*who, F.col(start).alias("t")).agg(F.count("*").alias("n")).withColumn("bin", F.floor(F.col("t") / gap_ms))
+    last = starts.groupBy(*who, (F.col("bin") + 1).alias("bin")).agg(F.max("t").alias("last"))
+    rows = starts.join(last, [*who, "bin"], "left").withColumn("before", F.lag("t").over(Window.partitionBy(*who, "bin").orderBy("t")))
+    begins = F.coalesce((F.col("t") - F.coalesce("before", "last") > gap_ms).cast("int"), F.lit(1))
+    rows = running_sums(rows.select(*who, "t", "n", begins.alias("new")), who, ["t"], {"episode": F.col("new")})
+    return rows.groupBy(*who, "episode").agg(F.sum("n").alias("flows"), F.min("t").alias("first_ms"), F.max("t").alias("last_ms"))
 
 
 def error_concentration(errors: DataFrame, fractions: list[float], loss: str = "loss", key: str = "sample_id") -> DataFrame:
