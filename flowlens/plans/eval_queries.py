@@ -703,15 +703,15 @@ def ml4(spark, sf):
 
 @query("ml5_host_probe")
 def ml5(spark, sf):
-    """How well the first bucket's vector tells the host, on the cohort of SM7."""
+    """How well a sequence's vectors tell the host, on the cohort of SM7."""
     from flowlens.operators.ordering import numbered
     from flowlens.plans.split_queries import _encoded
 
     rows = with_ids(spark, sf).select(F.col("sequence_id").alias("sample_id"), "source_ip", F.when(F.col("sequence_id") % 5 == 0, "eval").otherwise("fit").alias("part"))
     cohort = rs.probe_cohort(rows, 1)
     hosts = numbered(cohort.select("source_ip").distinct(), [], ["source_ip"], "label").withColumn("label", (F.col("label") - 1).cast("double"))
-    vectors = _encoded(spark, sf).select(F.col("sequence_id").alias("sample_id"), F.get("x", 0).alias("v"))
-    return ml.host_probe(cohort.join(hosts, "source_ip").join(vectors, "sample_id"), "v", "label", hidden=8)
+    vectors = _encoded(spark, sf).select(F.col("sequence_id").alias("sample_id"), F.flatten("x").alias("v"))
+    return ml.host_probe(cohort.join(hosts, "source_ip").join(vectors, "sample_id"), "v", "label")
 
 
 @query("ml6_projection")
