@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,8 +80,19 @@ def population_differences(rows: DataFrame, run: str, baseline, columns: list[st
 
 
 def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """DQ6: order-free digest of each column and the row count: sums of seeded keys of the values as text."""
-    return rows.agg(F.count("*").alias("n_rows"), *(F.coalesce(F.sum(seeded_key(0, F.coalesce(F.col(c).cast("string"), F.lit("")))), F.lit(0)).alias(c) for c in columns))
+    """DQ6: order-free digest of each column and the row count: sums of seeded keys of the values as text.
+
+    A sum beyond 64 bits wraps round, as two's complement does, so that tables of any size have a digest.
+    """
+    return rows.agg(F.count("*").alias("n_rows"), *(_wrapped_sum(seeded_key(0, F.coalesce(F.col(c).cast("string"), F.lit("")))).alias(c) for c in columns))
+
+
+def _wrapped_sum(key: Column) -> Column:
+    """Sum of keys of 48 bits modulo 2**64, as a signed number; neither half of the keys can overflow by itself."""
+    high, low = F.sum(F.shiftright(key, 24)), F.sum(key.bitwiseAND(F.lit((1 << 24) - 1)))
+    number = lambda v: F.lit(Decimal(v))
+    total = (high.cast("decimal(20,0)") * number(1 << 24) + low.cast("decimal(20,0)")) % number(1 << 64)
+    return F.coalesce(F.when(total >= number(1 << 63), total - number(1 << 64)).otherwise(total).cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def replay_differences(found: DataFrame, saved: DataFrame, keys: list[str], values: list[str], tolerance: float = 1e-12) -> DataFrame:
