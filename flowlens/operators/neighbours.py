@@ -5,8 +5,8 @@ written blocks of at most BLOCK vectors. A block thus lies in a shell around its
 the distance of a query to everything in it; another bound comes from the pivot nearest to the query, as whatever is
 in a cell is nearer to the cell's pivot. A group of queries first reads the FIRST blocks with the least bounds; the
 k-th distance found there is a threshold, and then only blocks are read whose bound does not exceed it. The result
-is exact. Groups of queries meet pages of the block directory, and single blocks, so that no side is ever whole in a task,
-and copies of one vector that fill a cell are many blocks.
+is exact. Groups of queries meet pages of the block directory, and single blocks, so that no side is ever whole in a task.
+Of copies of one vector only the few that can be among the k are searched.
 """
 
 from __future__ import annotations
@@ -187,21 +187,39 @@ def prepared(queries: DataFrame, pool: DataFrame, id_col: str, vector: str, bloc
     return groups, packed(pool, pivots, block, "pool") if len(pivots) else None, pivots
 
 
+def _searched(queries: DataFrame, pool: DataFrame, k: int, slice_rows: int) -> DataFrame | None:
+    """(query_id, neighbour_id, distance): the k exact neighbours of each query; none without a pool."""
+    groups, blocks, pivots = prepared(queries, pool, "id", "v", slice_rows)
+    if groups is None:
+        return None
+    none = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.lit(None).cast("double"))
+    asked = groups.withColumn("within", none)
+    if blocks.count() > 4 * FIRST:  # else a threshold would save nothing
+        begun = materialise(nearest(reachable(asked, blocks, pivots, FIRST), asked, blocks, k, False), "begun")
+        asked = materialise(thresholds(groups, begun, k), "within")
+    return nearest(reachable(asked, blocks, pivots, None), asked, blocks, k, False).select("query_id", "neighbour_id", "distance")
+
+
 def knn(queries: DataFrame, pool: DataFrame, k: int, id_col: str, vector: str, exclude_self: bool = True, slice_rows: int = BLOCK) -> DataFrame:
     """(query_id, neighbour_id, distance, rank): the k exact Euclidean neighbours of each query, ties by id.
 
-    ``slice_rows``: vectors of a block.
+    Ids are unique in the pool. Of equal vectors only the least ids can be neighbours, one more than k if a query's own
+    is left out, and equal queries have the same neighbours but for their own: so copies are neither searched nor asked
+    twice. ``slice_rows``: vectors of a block.
     """
-    groups, blocks, pivots = prepared(queries, pool, id_col, vector, slice_rows)
-    if groups is None:
+    number = lambda x: x.cast("double") + F.lit(0.0)  # noqa: E731  no -0.0
+    side = lambda t: t.select(F.col(id_col).cast("bigint").alias("id"), F.transform(vector, number).alias("v"))
+    most, place = k + int(exclude_self), F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    few = materialise(side(pool).withColumn("place", place).where(F.col("place") <= most).drop("place"), "uncopied")
+    asked = materialise(side(queries).groupBy("v").agg(F.min("id").alias("id")), "asked")
+    found = _searched(asked, few, most, slice_rows)
+    if found is None:
         return queries.sparkSession.createDataFrame([], "query_id bigint, neighbour_id bigint, distance double, rank int")
-    none = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.lit(None).cast("double"))
-    asked = groups.withColumn("within", none)
-    if blocks.count() <= 4 * FIRST:  # a threshold would save nothing
-        return nearest(reachable(asked, blocks, pivots, None), asked, blocks, k, exclude_self).drop("grp", "spot")
-    begun = materialise(nearest(reachable(asked, blocks, pivots, FIRST), asked, blocks, k, exclude_self), "begun")
-    asked = materialise(thresholds(groups, begun, k), "within")
-    return nearest(reachable(asked, blocks, pivots, None), asked, blocks, k, exclude_self).drop("grp", "spot")
+    near = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbour_id"))).alias("near"))  # at most k + 1
+    near = asked.join(near, F.col("id") == F.col("query_id")).select("v", "near")
+    own = F.filter("near", lambda x: x["neighbour_id"] != F.col("id")) if exclude_self else F.col("near")
+    rows = side(queries).join(near, "v").select(F.col("id").alias("query_id"), F.posexplode(F.slice(own, 1, k)).alias("at", "x"))
+    return rows.select("query_id", "x.neighbour_id", "x.distance", (F.col("at") + 1).alias("rank"))
 
 
 def approximate_knn(queries: DataFrame, pool: DataFrame, k: int, id_col: str, vector: str, within: float, tables: int = 4, exclude_self: bool = True) -> DataFrame:
