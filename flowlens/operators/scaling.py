@@ -23,10 +23,14 @@ def fit_scaler(stats: DataFrame, train: DataFrame, names: list[str]) -> DataFram
 
 
 def standardize(stats: DataFrame, scaler: DataFrame, names: list[str]) -> DataFrame:
-    """(log1p(x) - mean) / scale of each feature. The scaler is one row for each feature."""
-    row = scaler.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "scale")))).alias("_s"))
+    """(log1p(x) - mean) / scale of each feature. The scaler is one row for each feature.
+
+    The one row that is joined holds a feature's values at its place in ``names``: a map would be searched for each value.
+    """
+    row = scaler.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "scale")))).alias("_m"))
+    row = row.select(*(F.array(*(F.element_at("_m", F.lit(n))[c] for n in names)).alias(f"_{c}") for c in ("mean", "scale")))
     joined = stats.crossJoin(F.broadcast(row))  # one row
-    scaled = [((logged(n) - F.element_at("_s", F.lit(n))["mean"]) / F.element_at("_s", F.lit(n))["scale"]).alias(n) for n in names]
+    scaled = [((logged(n) - F.get("_mean", F.lit(i))) / F.get("_scale", F.lit(i))).alias(n) for i, n in enumerate(names)]
     return joined.select(*(c for c in stats.columns if c not in names), *scaled)
 
 
