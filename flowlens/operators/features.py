@@ -97,9 +97,12 @@ def bucket_diversity(events: DataFrame) -> DataFrame:
     return measured.groupBy(*BUCKET).agg(*columns)
 
 
-def bucket_stats(events: DataFrame) -> DataFrame:
+def bucket_stats(events: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """AG5: the 82 numeric features of every active bucket, with flows, attack_flows and y_bucket.
 
+    ``marks`` has a row for each sequence; its columns are added while rows are narrow, so that no later join on the
+    sequence moves the features.
+
     Plain features are one aggregate without distinct counts, so that it is combined before its shuffle. The
     longest gap sorts distinct starts alone, by bucket; the join on the bucket keys reuses that partitioning.
     """
@@ -108,8 +111,10 @@ def bucket_stats(events: DataFrame) -> DataFrame:
     starts = events.select(*BUCKET, start).distinct()
     gap = F.col(start) - F.lag(start).over(Window.partitionBy(*BUCKET).orderBy(start))
     gaps = starts.select(*BUCKET, gap.alias("gap")).groupBy(*BUCKET).agg(F.coalesce(F.max("gap"), F.lit(0)).cast("double").alias(LONGEST_GAP))
+    added = [] if marks is None else [c for c in marks.columns if c not in KEYS]
+    gaps = gaps if marks is None else gaps.join(marks, KEYS)
     found = plain.join(bucket_diversity(events), BUCKET).join(gaps, BUCKET)
-    return found.select(*BUCKET, *FEATURES, "flows", "attack_flows", (F.col("attack_flows") > 0).cast("int").alias("y_bucket"))
+    return found.select(*BUCKET, *FEATURES, "flows", "attack_flows", (F.col("attack_flows") > 0).cast("int").alias("y_bucket"), *added)
 
 
 def feature_faults(stats: DataFrame) -> DataFrame:

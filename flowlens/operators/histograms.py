@@ -46,3 +46,27 @@ def l7_ratios(events: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """AG6: share of each known L7 code, and of all others together (code null)."""
     dense = dense_histogram(category_histogram(events, "l7"), vocabulary)
     return dense.join(F.broadcast(vocabulary), "slot", "left").select(*BUCKET, "code", "share")
+
+
+def fit_vocabularies(events: DataFrame, train: DataFrame, fields: tuple[str, ...]) -> dict[str, list[int]]:
+    """AG9 of several fields in one pass: their codes in training sequences, in order; a code's slot is its place from 1."""
+    keys = ["source_ip", "window_start_ms"]
+    codes = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), code_column(f).alias("code")) for f in fields))).alias("x")
+    seen = events.join(train.select(*keys).distinct(), keys, "left_semi").select(codes).select("x.*").where("code IS NOT NULL").distinct()
+    found = {f: [] for f in fields}
+    for row in seen.orderBy("field", "code").collect():  # one row for each code
+        found[row["field"]].append(row["code"])
+    return found
+
+
+def share_arrays(events: DataFrame, vocabularies: dict[str, list[int]]) -> DataFrame:
+    """AG8 of several fields as arrays <field>_shares, in one aggregate: shares of slot 0 (all other codes) and of each code."""
+    count = lambda f, c: F.sum((code_column(f).eqNullSafe(F.lit(c))).cast("bigint"))
+    sums = [count(f, c).alias(f"_{f}_{i}") for f, codes in vocabularies.items() for i, c in enumerate(codes)]
+    found = events.groupBy(*BUCKET).agg(F.count("*").alias("_n"), *sums)
+    arrays = []
+    for f, codes in vocabularies.items():
+        known = [F.col(f"_{f}_{i}") for i in range(len(codes))]
+        rest = F.col("_n") - sum(known, F.lit(0).cast("bigint"))
+        arrays.append(F.array(*(n / F.col("_n") for n in (rest, *known))).alias(f"{f}_shares"))
+    return found.select(*BUCKET, *arrays)

@@ -10,16 +10,20 @@ from flowlens.functions.scalars import logged
 CONSTANT = 1e-12
 
 
-def fit_scaler(stats: DataFrame, train: DataFrame, names: list[str]) -> DataFrame:
+def fit_scaler(stats: DataFrame, train: DataFrame | None, names: list[str]) -> DataFrame:
     """AG10: (feature, n, mean, scale, constant) of log1p values over active training buckets.
 
-    One partial and one final aggregate; mean and deviation merge by Spark's own moments.
+    ``train`` lists the training sequences; without it all rows of ``stats`` are training buckets.
+
+    One partial and one final aggregate over (feature, value); mean and deviation merge by Spark's own moments. An
+    aggregate with columns for each feature would be too long to be compiled.
     """
-    rows = stats.join(train.select("source_ip", "window_start_ms").distinct(), ["source_ip", "window_start_ms"], "left_semi")
-    found = rows.select(*(logged(n).alias(n) for n in names)).agg(*(F.struct(F.count(n).alias("n"), F.avg(n).alias("mean"), F.stddev_pop(n).alias("std")).alias(n) for n in names))
-    entries = F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).alias("m")) for n in names)))
-    constant = F.col("m.std") < CONSTANT
-    return found.select(entries.alias("e")).select("e.feature", "e.m").select("feature", "m.n", "m.mean", F.when(constant, 1.0).otherwise(F.col("m.std")).alias("scale"), constant.alias("constant"))
+    rows = stats if train is None else stats.join(train.select("source_ip", "window_start_ms").distinct(), ["source_ip", "window_start_ms"], "left_semi")
+    values = F.posexplode(F.array(*(logged(n).cast("double") for n in names))).alias("i", "x")
+    found = rows.select(values).groupBy("i").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    constant = F.col("std") < CONSTANT
+    feature = F.get(F.array(*(F.lit(n) for n in names)), F.col("i")).alias("feature")
+    return found.select(feature, "n", "mean", F.when(constant, 1.0).otherwise(F.col("std")).alias("scale"), constant.alias("constant"))
 
 
 def standardize(stats: DataFrame, scaler: DataFrame, names: list[str]) -> DataFrame:

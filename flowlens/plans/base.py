@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.grid import TemporalGrid
 from flowlens.functions.scalars import seeded_key
+from flowlens.operators import features as ft
 from flowlens.operators import ordering
 from flowlens.operators import sequences as sq
 from flowlens.operators import split as sp
@@ -128,6 +129,12 @@ def folded(spark: SparkSession, sf: str) -> DataFrame:
     return sp.hash_folds(with_ids(spark, sf), 1, BLOCK)
 
 
+@shared
+def statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """The 82 features of every bucket, with the fold of its sequence."""
+    return ft.bucket_stats(events(spark, sf), folded(spark, sf).select(*sq.KEYS, "fold"))
+
+
 @shared
 def purged(spark: SparkSession, sf: str) -> DataFrame:
     return sp.exclude_boundaries(folded(spark, sf), GRID.window_ms, EMBARGO, BLOCK)

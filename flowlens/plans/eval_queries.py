@@ -14,7 +14,7 @@ from flowlens.operators import reports as rp
 from flowlens.operators import resampling as rs
 from flowlens.operators.context import GEOMETRIES, MEDIANS
 from flowlens.plans import query
-from flowlens.plans.base import BLOCK, GRID, attacks, curve_ctes, embeddings, events, folded, hits, predictions, purged, rounded, sequences, shared, with_ctes, with_ids
+from flowlens.plans.base import BLOCK, GRID, attacks, curve_ctes, embeddings, events, folded, hits, predictions, purged, rounded, sequences, shared, statistics, with_ctes, with_ids
 from flowlens.plans.flow_queries import r
 from flowlens.plans.split_queries import _PLAN, _encoded, _plan
 
@@ -590,15 +590,10 @@ def _encoder_inputs(spark, sf):
     from flowlens.operators import histograms as hg
     from flowlens.operators.scaling import fit_scaler, standardize
 
-    stats = ft.bucket_stats(events(spark, sf))
-    train = folded(spark, sf).where("fold = 0")
-    rows = standardize(stats, fit_scaler(stats, train, ft.FEATURES), ft.FEATURES)
-    for field in HISTOGRAMS:
-        counts = hg.category_histogram(events(spark, sf), field)
-        vocabulary = hg.fit_vocabulary(counts, train)
-        shares = hg.histogram_arrays(hg.dense_histogram(counts, vocabulary), vocabulary.count())
-        rows = rows.join(shares.select(*ft.BUCKET, array_to_vector("shares").alias(f"{field}_shares")), ft.BUCKET)
-    return rows.join(folded(spark, sf).select("source_ip", "window_start_ms", "fold"), ["source_ip", "window_start_ms"])
+    stats = statistics(spark, sf)
+    rows = standardize(stats, fit_scaler(stats.where("fold = 0"), None, ft.FEATURES), ft.FEATURES)
+    shares = hg.share_arrays(events(spark, sf), hg.fit_vocabularies(events(spark, sf), folded(spark, sf).where("fold = 0"), HISTOGRAMS))
+    return rows.join(shares.select(*ft.BUCKET, *(array_to_vector(f"{f}_shares").alias(f"{f}_shares") for f in HISTOGRAMS)), ft.BUCKET)
 
 
 HISTOGRAMS = ("protocol", "l7", "service")

@@ -13,9 +13,10 @@ from flowlens.operators import quality as dq
 from flowlens.operators import scaling as sl
 from flowlens.operators import sequences as sq
 from flowlens.plans import query
-from flowlens.plans.base import GRID, attacks, events, folded, key_sql, rounded, sequences, with_ctes, with_ids
+from flowlens.plans.base import GRID, attacks, events, folded, key_sql, rounded, sequences, statistics, with_ctes, with_ids
 from flowlens.sources import flows as src
 from flowlens.sources import sinks
+from flowlens.storage import materialise
 
 B = "source_ip, window_start_ms, bucket"
 
@@ -213,9 +214,11 @@ def _extended_sql() -> str:
 @query("ag12_extended_features", with_ctes(_extended_sql(), "g", "fold"))
 def ag12(spark, sf):
     train = folded(spark, sf).where("fold = 0")
-    stats = ft.bucket_stats(events(spark, sf)).select(*ft.BUCKET, *ft.FEATURES)
-    base = sl.standardize(stats, sl.fit_scaler(stats, train, ft.FEATURES), ft.FEATURES)
-    return rounded(sl.extend_features(base, ft.distribution_features(events(spark, sf)), train, _ADDED, ft.BUCKET), 5)
+    stats = statistics(spark, sf)
+    scaler = sl.fit_scaler(stats.where("fold = 0"), None, ft.FEATURES)
+    base = sl.standardize(stats.select(*ft.BUCKET, *ft.FEATURES), scaler, ft.FEATURES)
+    added = materialise(ft.distribution_features(events(spark, sf)), "distribution")  # read to fit its scaler, and again
+    return rounded(sl.extend_features(base, added, train, _ADDED, ft.BUCKET), 5)
 
 
 def _candidate_sql() -> str:
