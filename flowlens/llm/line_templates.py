@@ -46,7 +46,7 @@ LADDER = 4
 VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*"
 #: Last letters of words after which a text is cut for its sketch, where a letter of A-M follows.
 SPLIT_AFTER = "eyaoдия"
-PIECES = rf"\n| (?<=[{SPLIT_AFTER}] )(?=[a-mA-Mа-мА-М])"
+PIECES = rf"[ \n](?:(?<=[{SPLIT_AFTER}] )(?=[a-mA-Mа-мА-М])|(?<=\n))"
 #: White space that is not a single blank between words: what must occur for ``masks`` to rewrite spaces.
 ODD_SPACE = ("  ", "\t", "\x0b", "\f", "\r")
 SKETCH = 4
@@ -56,15 +56,16 @@ OWN = 4
 
 def masks(text: Column) -> Column:
     """Each line of the text with single spaces and each token that holds a digit as a wildcard."""
-    whole = F.when(text.rlike("[0-9]"), F.regexp_replace(text, VARIABLE, WILD)).otherwise(text)
     odd = reduce(Column.__or__, (F.contains(text, F.lit(x)) for x in ODD_SPACE))
-    spaced = F.when(odd, F.regexp_replace(whole, r"[^\S\n]{2,}|[^\S\n ]", " ")).otherwise(whole)
-    return F.transform(F.split(spaced, "\n"), lambda x: F.trim(x))
+    spaced = F.when(odd, F.regexp_replace(text, r"[^\S\n]{2,}|[^\S\n ]", " ")).otherwise(text)
+    # few lines of a text hold a digit; tokens do not reach over line ends
+    whole = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, VARIABLE, WILD)).otherwise(x)
+    return F.transform(F.split(spaced, "\n"), lambda x: F.trim(whole(x)))
 
 
 def leaf(mask: Column, depth: int) -> Column:
     """Hash of the path in the tree: the token count and the first ``depth`` tokens."""
-    count = F.length(mask) - F.length(F.replace(mask, F.lit(" ")))
+    count = F.octet_length(mask) - F.octet_length(F.replace(mask, F.lit(" ")))
     return F.xxhash64(count, F.substring_index(mask, " ", depth))
 
 
