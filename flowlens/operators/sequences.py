@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.arrays import SEQ_KEY
-from flowlens.functions.grid import TemporalGrid, on_grid
+from flowlens.functions.grid import MAX_BUCKETS, TemporalGrid, on_grid
 from flowlens.operators.ordering import numbered, running_sums
 
 KEYS = list(SEQ_KEY)
@@ -38,23 +41,25 @@ def sequence_attacks(events: DataFrame) -> DataFrame:
 def primary_attack(events: DataFrame) -> DataFrame:
     """AG1 with AG3: the type with most attack flows, ties by name; Benign without any.
 
-    One shuffle on the sequence key: counts by type first, then sums of those counts.
+    Totals are numbers of fixed width (occupied buckets are bits, of which a grid has at most MAX_BUCKETS), so that they
+    are hashed in place; only attack flows are grouped by type and ordered by name.
     """
-    start = "flow_start_milliseconds"
-    kind = F.when(F.col("label") == 1, F.col("attack"))
-    parts = events.groupBy(*KEYS, kind.alias("kind"), "bucket").agg(F.count("*").alias("n"), F.min(start).alias("lo"), F.max(start).alias("hi"), F.max("flow_end_milliseconds").alias("end"))
-    kinds = parts.groupBy(*KEYS, "kind").agg(F.sum("n").alias("n"), F.collect_set("bucket").alias("b"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("end").alias("end"))
-    attack = F.col("kind").isNotNull()
-    best = F.min(F.when(attack, F.struct((-F.col("n")).alias("n"), F.col("kind"))))
-    return kinds.groupBy(*KEYS).agg(
-        F.sum("n").alias("flows"),
-        F.sum(F.when(attack, F.col("n")).otherwise(0)).alias("attack_flows"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("b")))).cast("bigint").alias("active_buckets"),
-        F.min("lo").alias("first_ms"),
-        F.max("hi").alias("last_ms"),
-        F.max("end").alias("max_end_ms"),
-        F.coalesce(best["kind"], F.lit("Benign")).alias("primary_attack"),
+    start, bad = "flow_start_milliseconds", (F.col("label") == 1) & F.col("attack").isNotNull()
+    words = range(-(-MAX_BUCKETS // 64))
+    bit = lambda w: F.when(F.floor(F.col("bucket") / 64) == w, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bucket") - 64 * w))
+    total = events.groupBy(*KEYS).agg(
+        F.count("*").alias("flows"),
+        F.sum(F.when(bad, 1).otherwise(0)).alias("attack_flows"),
+        F.min(start).alias("first_ms"),
+        F.max(start).alias("last_ms"),
+        F.max("flow_end_milliseconds").alias("max_end_ms"),
+        *(F.bit_or(bit(w)).alias(f"_b{w}") for w in words),
     )
+    occupied = sum((F.coalesce(F.bit_count(f"_b{w}"), F.lit(0)) for w in words), F.lit(0)).cast("bigint")
+    kinds = events.where(bad).groupBy(*KEYS, "attack").agg(F.count("*").alias("n"))
+    best = kinds.groupBy(*KEYS).agg(F.min(F.struct((-F.col("n")).alias("n"), "attack"))["attack"].alias("_best"))
+    same = [total[k].eqNullSafe(best[k]) for k in KEYS]
+    return total.join(best, reduce(and_, same), "left").select(*(total[k] for k in KEYS), "flows", "attack_flows", occupied.alias("active_buckets"), "first_ms", "last_ms", "max_end_ms", F.coalesce("_best", F.lit("Benign")).alias("primary_attack"))
 
 
 def dense_ids(sequences: DataFrame, order: list[str] | None = None, name: str = "sequence_id") -> DataFrame:

@@ -104,8 +104,8 @@ def release() -> None:
     ordering.release()
 
 
-@shared
 def events(spark: SparkSession, sf: str) -> DataFrame:
+    """Every column is a short expression of one row, so that reading the table again costs less than writing all of them."""
     return sq.events_on_grid(event_flows(spark, sf, extra=True), GRID)
 
 
