@@ -61,3 +61,10 @@ def test_statistics_hold_the_fold(spark):
     assert rows.drop("fold").exceptAll(plain).isEmpty() and rows.count() == plain.count()
     folds = folded(spark, SF).select("source_ip", "window_start_ms", "fold")
     assert rows.join(folds, ["source_ip", "window_start_ms", "fold"], "left_anti").isEmpty()
+
+
+def test_candidate_features_shuffle_rows_and_no_buffers(spark):
+    """Where no group is large, rows meet before they are aggregated: one shuffle."""
+    out = ft.candidate_features(events(spark, SF))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
